@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, mpeg_audio, url_filter
+from . import bpe, mixing, mpeg_audio, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_bpe": bpe.op5_bpe,
     "op8_mixing": mixing.op8_mixing,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
 }
