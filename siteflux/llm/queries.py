@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, mpeg_audio, pii, url_filter
+from . import bpe, mixing, mpeg_audio, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
     "op8_mixing": mixing.op8_mixing,
