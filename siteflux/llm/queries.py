@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, mpeg_audio, pii, toxicity, url_filter
+from . import bpe, mixing, mpeg_audio, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
 }
 
