@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, mpeg_audio, pii, quality, toxicity, url_filter
+from . import ann, bpe, mixing, mpeg_audio, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
+    "op7_ann": ann.op7_ann,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
