@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, mpeg_audio, pii, quality, toxicity, url_filter
+from . import ann, bpe, mixing, mpeg_audio, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
