@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, mpeg_audio, pii, quality, substring_dedup, toxicity, url_filter
+from . import ann, bpe, mixing, mpeg_audio, near_dedup, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_ann": ann.op7_ann,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
