@@ -18,6 +18,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -204,25 +205,29 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Each document encoded and decoded again, as counts and digests."""
+def digest_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Each document encoded and decoded again, as counts and digests, and ids if asked for."""
     path = path or vocabulary_path()
 
     def run(batches):
         coder = bpe(path)
         for b in batches:
-            counts, ids, texts = [], [], []
+            counts, ids, texts, kept = [], [], [], []
             for t in b.column(1):
                 n, joined, back = coder.summary(t.as_py() or "")
                 counts.append(n)
+                if with_ids:
+                    kept.append(np.fromstring(joined, "int32", sep=",") if n else np.zeros(0, "int32"))
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, "int64"), pa.array(ids, "string"), pa.array(texts, "string")],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+            columns = [b.column(0), pa.array(counts, "int64"), pa.array(ids, "string"), pa.array(texts, "string")]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

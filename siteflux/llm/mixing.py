@@ -59,14 +59,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs, with doc_id, size, source_size, target, taken, offset, slope and
-    order, in no order: how many of the document's words the mix takes, repeats counted.
+    """One row for each row of docs, with doc_id, size, source_size, target, taken, offset, slope,
+    order and row, in no particular order: how many of the document's words the mix takes, repeats
+    counted. row is a hash of source and text, which tells rows of one id apart.
 
     A null text has no words and gives none. Documents without an id, and repeated rows, count each
     as a document. An empty table gives no rows. Only doc_id, source and text are read.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("row")))
     keyed = sizes.withColumn("order", key)
     keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("order", 1, 7), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int"))
     sums = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -75,15 +76,19 @@ def mix(docs: DataFrame) -> DataFrame:
         F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
     )
     starts = starts.join(source_targets(sizes).withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t")))
-    inside = Window.partitionBy("source", "_bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("_run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = run.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     offset = F.col("_start") + F.col("_run")
     return placed.select(
-        "doc_id", "size", "source_size", "target", taken_words(offset).alias("taken"), offset.alias("offset"), "slope", "order"
+        "doc_id", "size", "source_size", "target", taken_words(offset).alias("taken"), offset.alias("offset"), "slope", "order", "row"
     )
 
 
+def row_key() -> Column:
+    return F.xxhash64("source", "text")
+
+
 def taken_words(offset: Column) -> Column:
     whole = F.floor("target").cast("long")
     return sum(
@@ -93,14 +98,27 @@ def taken_words(offset: Column) -> Column:
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each reading of a document, sorted by its training position: doc_id, epoch,
-    position, words. A range sort; hash order splits equal positions."""
+    """One row for each reading of a document: doc_id, row, epoch, position, size, words and order.
+    Sorted by position, then order, they are the curriculum."""
     start = F.col("offset") + F.col("epoch") * F.col("source_size")
     words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target").cast("long") - start))
     readings = mixed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))))
     readings = readings.withColumn("words", words).filter("words > 0")
     position = position_of(start.cast("double") / F.col("target"), F.col("slope"))
-    return readings.withColumn("position", position).orderBy("position", "order", "doc_id").select("doc_id", "epoch", "position", "words")
+    return readings.select("doc_id", "row", "epoch", position.alias("position"), "size", "words", "order")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix in training order, range-sorted by position, with the columns of docs.
+
+    A document is there once for each reading; the reading that meets its source's target counts
+    if the mix takes half of its words or more, and whole documents come out. Documents without words
+    are not read."""
+    readings = training_order(mix(docs)).filter(2 * F.col("words") >= F.col("size"))
+    readings = readings.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "position", "order")
+    texts = docs.withColumn("_key", row_key()).dropDuplicates(["doc_id", "_key"])
+    joined = texts.join(readings, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.orderBy("position", "order").select(*[F.col(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
