@@ -1 +1,23 @@
 """siteflux: hazard and exposure analytics on Spark DataFrames."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, for sessions whose executors can't import it."""
+    context = spark.sparkContext
+    if getattr(context, "_siteflux_shipped", False):
+        return
+    here = Path(__file__).parent
+    target = Path(tempfile.mkdtemp()) / "siteflux.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._siteflux_shipped = True
