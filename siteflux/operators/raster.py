@@ -108,13 +108,13 @@ def flow_paths(cells: DataFrame, dy: float, dx: float, most: int = 1000) -> Data
         F.when(F.col("_in"), F.col("dist")).otherwise(0.0).alias("dist"),
     )
     state = cut(state)
+    #: True ends step nowhere from the start; a cycle only comes back to itself.
+    ends = cut(state.filter("i = ni AND j = nj").select("ni", "nj", F.lit(True).alias("_end")))
     for _ in range(max(1, int(np.ceil(np.log2(most))))):
         nxt = state.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("ni").alias("_i"), F.col("nj").alias("_j"), F.col("dist").alias("_d"))
         state = cut(state.join(nxt, ["ni", "nj"]).select("i", "j", F.col("_i").alias("ni"), F.col("_j").alias("nj"), (F.col("dist") + F.col("_d")).alias("dist")))
-        still = state.filter("i = ni AND j = nj").select("ni", "nj")
-        if not state.join(still, ["ni", "nj"], "left_anti").take(1):
+        if not state.join(ends, ["ni", "nj"], "left_anti").take(1):
             break
-    ends = state.filter("i = ni AND j = nj").select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.lit(True).alias("_end"))
     joined = state.join(ends, ["ni", "nj"], "left")
     ok = F.col("_end").isNotNull()
     return joined.select("i", "j", F.when(ok, F.col("dist")).alias("dist"), F.when(ok, F.col("ni")).alias("end_i"), F.when(ok, F.col("nj")).alias("end_j"))

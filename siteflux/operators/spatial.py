@@ -7,6 +7,7 @@ bounds touch and a point under its own, so joins are equi-joins that Spark can d
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,24 +129,34 @@ def polygon_lists(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return left.select(left_id).join(lists, left_id, "left")
 
 
-def clip(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+def clip(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:
     """The part of a ring inside a box: one half-plane after the other."""
-    none = F.array().cast("array<struct<x:double,y:double>>")
+    for axis, limit, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0)):
+        out: list[tuple[float, float]] = []
+        for k, q in enumerate(ring):
+            p = ring[k - 1]
+            a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
+            if (a >= 0) != (b >= 0):
+                t = a / (a - b)
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+            if b >= 0:
+                out.append(q)
+        ring = out
+    return ring
 
-    def half(axis: str, limit: Column, sign: float):
-        def cut_side(e):
-            a, b = sign * (e[f"{axis}1"] - limit), sign * (e[f"{axis}2"] - limit)
-            t = a / F.when(a != b, a - b)
-            meet = F.struct((e["x1"] + t * (e["x2"] - e["x1"])).alias("x"), (e["y1"] + t * (e["y2"] - e["y1"])).alias("y"))
-            end = F.struct(e["x2"].alias("x"), e["y2"].alias("y"))
-            both, leaves, enters = (a >= 0) & (b >= 0), (a >= 0) & (b < 0), (a < 0) & (b >= 0)
-            return F.when(both, F.array(end)).when(leaves, F.array(meet)).when(enters, F.array(meet, end)).otherwise(none)
 
-        return cut_side
+def clipped_area(ring: Column, *box: Column) -> Column:
+    """Area of the part of a ring inside a box (x0, y0, x1, y1)."""
 
-    for side in (half("x", x0, 1.0), half("x", x1, -1.0), half("y", y0, 1.0), half("y", y1, -1.0)):
-        ring = F.flatten(F.transform(_edges(ring), side))
-    return ring
+    def one(r, *limits) -> float:
+        c = clip([(p["x"], p["y"]) for p in r], *limits)
+        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(c, [*c[1:], *c[:1]]))) / 2
+
+    @F.pandas_udf("double")
+    def areas(rings: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(rings, x0, y0, x1, y1)], dtype="float64")
+
+    return areas(ring, *[b.cast("double") for b in box])
 
 
 def grid_overlap(polygons: DataFrame, polygon: str, x0: float, y0: float, step: float) -> DataFrame:
@@ -155,8 +166,8 @@ def grid_overlap(polygons: DataFrame, polygon: str, x0: float, y0: float, step:
     cells = polygons.select(polygon, "ring", *bounds(F.col("ring")))
     cells = cells.withColumn("i", F.explode(F.sequence(first("ymin", y0), first("ymax", y0)))).withColumn("j", F.explode(F.sequence(first("xmin", x0), first("xmax", x0))))
     left, low = x0 + F.col("j") * step, y0 + F.col("i") * step
-    part = clip(F.col("ring"), left, low, left + step, low + step)
-    return cells.select(polygon, "i", "j", area(part).alias("overlap_area")).filter("overlap_area > 0")
+    part = clipped_area(F.col("ring"), left, low, left + step, low + step)
+    return cells.select(polygon, "i", "j", part.alias("overlap_area")).filter("overlap_area > 0")
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
