@@ -169,20 +169,21 @@ def bias_and_error(df: DataFrame, by: list[str], estimates: list[str], truths: d
     return long.groupBy(*by, "param").agg(F.avg(d).alias("bias"), F.sqrt(F.avg(F.pow(d, F.lit(2.0)))).alias("rmse"))
 
 
-def density(df: DataFrame, by: list[str], value: str, low: float, high: float, points: int) -> DataFrame:
-    """Gaussian kernel density on a grid, with Scott's bandwidth. Values are binned at a fiftieth of a
-    bandwidth first, so each group meets the grid with its bins rather than its rows."""
+def density(df: DataFrame, by: list[str], value: str, low: float, high: float, points: int, bins: int | None = None) -> DataFrame:
+    """Gaussian kernel density on a grid, with Scott's bandwidth. Each group meets the grid with its
+    distinct values and their counts; for large tables bins rounds values to that part of a bandwidth
+    first, so that the rows no longer follow the input."""
     stats = df.groupBy(*by).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_s"))
     h = F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))
     stats = stats.select(*[F.col(c).alias(f"_{c}_") for c in by], "_n", h.alias("_h")).filter("_h > 0")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by]
     cells = df.filter(F.col(value).isNotNull()).join(stats, on)
-    width = F.col("_h") / 50
-    cells = cells.groupBy(*by, "_n", "_h", F.round(F.col(value) / width).alias("_k")).agg(F.count("*").alias("_m"))
+    at = F.col(value) if bins is None else F.round(F.col(value) * bins / F.col("_h")) * F.col("_h") / bins
+    cells = cells.groupBy(*by, "_n", "_h", at.alias("_v")).agg(F.count("*").alias("_m"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_g")
     at = low + F.col("_g") * ((high - low) / (points - 1))
     cells = cells.select("*", grid).withColumn("x", at)
-    u = (F.col("x") - F.col("_k") * width) / F.col("_h")
+    u = (F.col("x") - F.col("_v")) / F.col("_h")
     total = F.sum(F.col("_m") * F.exp(-0.5 * u * u)) / (F.first("_n") * F.first("_h") * float(np.sqrt(2 * np.pi)))
     return cells.groupBy(*by, "x").agg(total.alias("density"))
 

@@ -156,10 +156,10 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT event_type, stddev_samp(value) * pow(count(*), -0.2) AS h, count(*) AS n FROM events GROUP BY event_type),
 g AS (SELECT unnest(generate_series(0, 20)) * 5.0 AS x)
-SELECT e.event_type, g.x, round(avg(exp(-0.5 * pow((g.x - e.value) / s.h, 2))) / (any_value(s.h) * sqrt(2 * pi())), 5) AS density FROM events e JOIN s ON s.event_type = e.event_type, g GROUP BY e.event_type, g.x""")
+SELECT e.event_type, g.x::INTEGER AS x, round(avg(exp(-0.5 * pow((g.x - e.value) / s.h, 2))) / (any_value(s.h) * sqrt(2 * pi())), 5) AS density FROM events e JOIN s ON s.event_type = e.event_type, g GROUP BY e.event_type, g.x""")
 def value_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = stats.density(table(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value", 0.0, 100.0, 21)
-    return d.select("event_type", "x", F.round("density", 5).alias("density"))
+    return d.select("event_type", F.col("x").cast("int").alias("x"), F.round("density", 5).alias("density"))
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:

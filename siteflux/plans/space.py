@@ -205,16 +205,16 @@ def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.distance_transform(c, 20.0, 10.0).select("i", "j", F.round("dist", 6).alias("dist"))
 
 
-@query(f"""WITH {_CELLS}, c AS (SELECT * FROM cells WHERE k < 1200), s AS (SELECT i, j, value FROM c WHERE k = 5 OR k = 1010)
+@query(f"""WITH {_CELLS}, c AS (SELECT * FROM cells WHERE k < 1200), s AS (SELECT i, j, value FROM c WHERE k = 5 OR k = 150)
 SELECT c.i, c.j, arg_min(s.value, sqrt(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0 + 0.0, 2))) AS value FROM c, s GROUP BY c.i, c.j
 HAVING min(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0, 2)) < max(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0, 2))""")
 def nearest_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that are as near to one site as to the other are left out, as either is right."""
-    c = _cells(spark, sf_dir).filter("k < 1200").withColumn("site", F.col("k").isin(5, 1010))
+    c = _cells(spark, sf_dir).filter("k < 1200").withColumn("site", F.col("k").isin(5, 150))
     sites = c.filter("site").select("i", "j", "value")
     near = raster.allocated(raster.distance_transform(c, 20.0, 10.0), sites)
     even = lambda k: F.pow((F.col("i") - k // WIDTH) * 20.0, F.lit(2.0)) + F.pow((F.col("j") - k % WIDTH) * 10.0, F.lit(2.0))
-    return near.filter(even(5) != even(1010))
+    return near.filter(even(5) != even(150))
 
 
 @query(f"""WITH RECURSIVE {_CELLS}, c AS (SELECT i, j, k % 97 = 3 AS seed FROM cells WHERE k < 1200 AND (k * 7919 % 10) < 6),
