@@ -115,10 +115,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     if the mix takes half of its words or more, and whole documents come out. Documents without words
     are not read."""
     readings = training_order(mix(docs)).filter(2 * F.col("words") >= F.col("size"))
-    readings = readings.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "position", "order")
-    texts = docs.withColumn("_key", row_key()).dropDuplicates(["doc_id", "_key"])
-    joined = texts.join(readings, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.orderBy("position", "order").select(*[F.col(c) for c in docs.columns])
+    readings = readings.select("doc_id", "row", "position", "order")
+    #: Whole rows travel as one column, so that no name of docs can clash.
+    texts = docs.select(F.col("doc_id").alias("_id"), row_key().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    texts = texts.dropDuplicates(["_id", "_row"])
+    joined = texts.join(readings, (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    return joined.orderBy("position", "order").select("_whole.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

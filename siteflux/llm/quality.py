@@ -138,14 +138,15 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
         tails = sent.value.tails(coded)
         return pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, 0]})
 
-    scored = docs.withColumn("_quality", run(F.col("text")))
-    scored = scored.withColumns({"expected_grade": F.col("_quality.expected"), "tail_probability": F.col("_quality.tail")}).drop("_quality")
-    return scored.withColumn("keep", F.col("tail_probability") >= KEEP)
+    added = {"expected_grade": F.col("_made.expected"), "tail_probability": F.col("_made.tail"), "keep": F.col("_made.tail") >= KEEP}
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), run(F.col("text")).alias("_made"))
+    return held.select(*[F.col("_whole")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(n) for n, v in added.items()])
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return score(docs, fit(docs, labels)).filter("keep").select(*docs.columns)
+    held = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    return score(held, fit(docs, labels)).filter("keep").select("_whole.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

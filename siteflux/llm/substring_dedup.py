@@ -367,9 +367,11 @@ class Repeats:
         def left(texts, copies, starts):
             return texts.where(texts.isna(), [t if not c and s is None else "" if c else b" ".join(kept_words(t.encode(), list(s), window)).decode() if t is not None else t for t, c, s in zip(texts, copies, starts)])
 
-        keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", same_of("text"))
+        whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_whole")
+        keyed = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"), same_of("text").alias("_digest"))
         joined = keyed.join(marks, (F.col("_key") == F.col("_doc")) & (F.col("_digest") == F.col("_same")), "left")
-        return joined.withColumn("text", left("text", "_copy", "starts")).select(*docs.columns)
+        text = left("_whole.text", "_copy", "starts").alias("text")
+        return joined.select(*[text if c == "text" else F.col("_whole")[c].alias(c) for c in docs.columns])
 
 
 def _tagging(batches):
