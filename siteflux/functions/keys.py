@@ -78,6 +78,11 @@ def key_part(match_key: Column, name: str) -> Column:
     return F.when(got != "", got)
 
 
+def naive(ts: Column) -> Column:
+    """A timestamp as it is written: an offset or Z at its end is dropped, not applied."""
+    return F.to_timestamp_ntz(F.regexp_replace(ts.cast("string"), r"(Z|[+-]\d\d:?\d\d)$", ""))
+
+
 def recode(x: Column, rules: dict[int, int]) -> Column:
     """All rules at once, judged on the original value."""
     pairs = [F.lit(v) for kv in rules.items() for v in kv]

@@ -213,3 +213,16 @@ def impute_nearest(df: DataFrame, key: str, x: str, y: str, columns: list[str],
 def nearest_index(v: Column, first: float, step: float, size: int) -> Column:
     """Index of the nearest coordinate on a regular axis, ends included."""
     return F.greatest(F.lit(0), F.least(F.lit(size - 1), F.round((v - first) / step).cast("int")))
+
+
+def block_of(i: Column, j: Column, rows: int, columns: int, blocks_across: int) -> Column:
+    """Number of the fixed-size block that a grid cell lies in, row by row."""
+    return F.floor(i / rows).cast("long") * blocks_across + F.floor(j / columns).cast("long")
+
+
+def near_mask(points: DataFrame, polygons: DataFrame, point: str, x: str, y: str, radius: float, tile: float) -> DataFrame:
+    """The points inside any polygon or within radius of one: the mask's buffer is never built."""
+    p = _point_tile(points.select(point, x, y), x, y, tile)
+    g = _tiles(polygons.select("ring", *bounds(F.col("ring"))), tile, radius)
+    hits = p.join(g, ["_tx", "_ty"]).filter(distance_to(F.col("ring"), F.col(x), F.col(y)) <= radius)
+    return points.join(hits.select(point).distinct(), point, "left_semi")

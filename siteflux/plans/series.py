@@ -203,3 +203,13 @@ def change_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = o.select("o_orderpriority", "o_orderstatus").distinct()
     ranked = keys.withColumn("rank_no", F.dense_rank().over(Window.orderBy("o_orderpriority", "o_orderstatus")))
     return o.join(ranked, ["o_orderpriority", "o_orderstatus"]).select("o_orderkey", "rank_no")
+
+
+@query("""SELECT event_id, ts + INTERVAL 90 MINUTE AS naive_ts, CASE WHEN value <= 50 THEN value END AS masked, year(ts)::INTEGER AS yr FROM events""")
+def timezone_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.keys import naive
+    from ..functions.physics import masked_above
+
+    e = table(spark, sf_dir, "events", "event_id", "ts", "value")
+    text = F.concat(F.date_format(F.col("ts") + F.expr("interval 90 minutes"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    return e.select("event_id", naive(text).alias("naive_ts"), masked_above(F.col("value"), 50.0).alias("masked"), F.year("ts").alias("yr"))

@@ -227,3 +227,15 @@ def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def landforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.landforms(_cells(spark, sf_dir), 5, 30.0, 30.0)
+
+
+@query(f"""WITH {_CELLS} SELECT (i // 7) * 8 + j // 5 AS block, count(*) AS n, min(i) AS i0, min(j) AS j0, round(sum(value), 4) AS total FROM cells GROUP BY 1""")
+def spatial_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cells(spark, sf_dir).withColumn("block", spatial.block_of(F.col("i"), F.col("j"), 7, 5, 8))
+    return c.groupBy("block").agg(F.count("*").alias("n"), F.min("i").alias("i0"), F.min("j").alias("j0"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""WITH {_TRI}, s AS (SELECT p.c_custkey, p.x, p.y, e.*, greatest(0.0, least(1.0, ((p.x - ax) * (b_x - ax) + (p.y - ay) * (b_y - ay)) / ((b_x - ax) * (b_x - ax) + (b_y - ay) * (b_y - ay)))) AS t FROM pt p, e)
+SELECT c_custkey FROM s WHERE sqrt(pow(x - ax - t * (b_x - ax), 2) + pow(y - ay - t * (b_y - ay), 2)) <= 2.5 UNION SELECT c_custkey FROM hit""")
+def near_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.near_mask(_points(spark, sf_dir), _triangles(spark, sf_dir), "c_custkey", "x", "y", 2.5, 500.0).select("c_custkey")
