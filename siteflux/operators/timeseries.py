@@ -70,7 +70,7 @@ def hourly(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     sums = df.groupBy(*keys, F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour")).agg(F.sum(value).alias("total"))
     span = sums.agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
     spine = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
-    grid = spine.crossJoin(F.broadcast(df.select(*keys).distinct())) if keys else spine
+    grid = df.select(*keys).distinct().crossJoin(F.broadcast(spine)) if keys else spine  # hours of a calendar
     return grid.join(sums, [*keys, "hour"], "left").na.fill(0.0, ["total"])
 
 
