@@ -150,7 +150,9 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         F.max(F.when(F.col("is_rule"), F.struct(F.length("key").alias("n"), F.col("key"), F.col("_verdict")))).alias("_rule"),
         F.max(F.when(~F.col("is_rule"), F.col("_verdict"))).alias("_listed"),
     )
-    return rows.join(verdicts, ["host", "_head"], "left").select(
+    #: Joined by one string: dealt anew on both sides, so that the join can split a hot host.
+    verdicts = verdicts.select(F.concat("host", "_head").alias("_at"), "_rule", "_listed")
+    return rows.withColumn("_at", F.concat("host", "_head")).join(verdicts, "_at", "left").select(
         F.col(id_col),
         "host",
         "path",
