@@ -28,7 +28,7 @@ from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Most entries in each cache of a worker.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -134,8 +134,9 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     def run(texts):
         import pandas as pd
 
-        coded = encode([b"" if t is None else t.encode() for t in texts])
-        tails = sent.value.tails(coded)
+        raw = [b"" if t is None else t.encode() for t in texts]
+        tails = [sent.value.tails(encode(raw[i:j])) for i, j in chunks(raw)]  # a few MB at a time
+        tails = np.concatenate(tails) if tails else np.zeros((0, GRADES - 1))
         return pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, 0]})
 
     added = {"expected_grade": F.col("_made.expected"), "tail_probability": F.col("_made.tail"), "keep": F.col("_made.tail") >= KEEP}
