@@ -310,7 +310,8 @@ class Repeats:
         #: Rows of one id with different texts are documents of their own only if the text is told too.
         tagged = bool(sums.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a != b").take(1))
         sums = sums if tagged else sums.withColumn("tag", F.lit(0).cast("long"))
-        first = sums.filter(F.col("n_words") >= window).groupBy("same").agg(F.min("doc_id").alias("_first"))
+        #: Written first, so that the join can split a text that many rows have.
+        first = cut(sums.filter(F.col("n_words") >= window).groupBy("same").agg(F.min("doc_id").alias("_first")))
         self.rows = cut(
             sums.join(first, "same", "left").select("doc_id", "tag", "n_words", "same", F.coalesce(F.col("_first") < F.col("doc_id"), F.lit(False)).alias("copy"))
         )

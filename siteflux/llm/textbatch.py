@@ -7,7 +7,6 @@ Words are runs of bytes other than the six ASCII white-space bytes. Hashes are p
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Texts of about so many bytes are worked on at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,16 +29,17 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(31))
 
 
-@lru_cache(8)
-def _powers(base: int, room: int) -> np.ndarray:
-    out = np.full(room, base, "uint64")
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
+    """base to the powers 0 to n - 1. One table for each base, which grows by need."""
+    if len(_POWERS.get(base, ())) < n:
+        table = np.full(-(-n // (1 << 18)) << 18, base, "uint64")
+        table[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.multiply.accumulate(table, out=table)
+    return _POWERS[base][:n]
 
 
 class Sums:
