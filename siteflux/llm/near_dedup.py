@@ -8,8 +8,10 @@ share a node. A node with more than ``LIMIT`` documents branches by one or two f
 chooses, so that documents part as their tokens differ; smaller ones are leaves and are compared
 exhaustively. Two documents of similarity s share a first node of a tree with 1 - (1 - s)^2 and stay
 together in a branching node with about s + (1 - s) s / 2; with eight trees a pair at 0.8 misses all
-first nodes with 3e-6. What is still large at the last level is a dense crowd: it is cut into blocks of
-a leaf's size, all of which also get the same few pivots that join them.
+first nodes with 3e-6. What is still large at the last level is a crowd: it is cut into blocks of
+a leaf's size, all of which also get the same few pivots. That joins a dense crowd. Where a crowd's members
+are not one component after that, those outside of its largest one meet all others of the crowd on full
+sets, in pairs of bounded blocks: exact, at a cost of their number times the crowd's size.
 
 A leaf is compared twice: signatures part it into groups and drop those without a partner (at an
 estimate 0.2 below the threshold, over five standard errors), and groups that several leaves have in
@@ -40,6 +42,8 @@ DEPTH, CHOICES = 5, 16
 SLOTS = TREES * ROOTS + DEPTH * CHOICES
 LIMIT = 256
 PIVOTS = 8
+#: Bounds of a block whose full sets meet those of another: documents, and elements of their sets.
+BLOCK, ELEMENTS = 1024, 1_000_000
 #: A leaf's first look uses BITS of each token, and an estimate that is SLACK below the threshold.
 BITS = 2
 SLACK = 0.25
@@ -156,9 +160,9 @@ def _branch(rows: DataFrame, level: int, percent: int) -> DataFrame:
     return rows.select("node", "rep", "tokens", "bits").mapInArrow(run, "node long, rep long, bits binary")
 
 
-def _leaves(reps: DataFrame, percent: int) -> DataFrame:
-    """leaf, rep, bits: leaves with two documents or more. The few bytes for a leaf's first look travel
-    down the tree, which spares a join of all leaves."""
+def _leaves(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """leaf, rep, bits: leaves with two documents or more; and node, rep of the crowds, if there are any. The
+    few bytes for a leaf's first look travel down the tree, which spares a join of all leaves."""
     rows, leaves = _roots(reps), None
     for level in range(1, DEPTH + 2):
         #: Written first, so that the join can split a node that many rows have.
@@ -168,12 +172,12 @@ def _leaves(reps: DataFrame, percent: int) -> DataFrame:
         leaves = done if leaves is None else leaves.unionByName(done)
         large = rows.filter(F.col("_n") > LIMIT)
         if not large.take(1):
-            return leaves
+            return leaves, None
         if level <= DEPTH:
             start = 4 * (TREES * ROOTS + (level - 1) * CHOICES)
             tokens = reps.select("rep", F.substring("sig", start + 1, 4 * CHOICES).alias("tokens"))
             rows = cut(_branch(large.select("node", "rep", "bits").join(tokens, "rep"), level, percent))
-    return leaves.unionByName(_crowds(large))
+    return leaves.unionByName(_crowds(large)), large.select("node", "rep")
 
 
 def _crowds(large: DataFrame) -> DataFrame:
@@ -186,6 +190,24 @@ def _crowds(large: DataFrame) -> DataFrame:
     return own.unionByName(spread.select(F.xxhash64("node", "_k").alias("leaf"), "rep", "bits")).distinct()
 
 
+def _across(crowds: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """leaf, rep: pairs of blocks for each crowd (node, rep) that is more than one component. Two documents
+    of a crowd share a leaf unless both are in its largest component. Crowds of which one component is the
+    greater part go together, as its documents are mostly the same."""
+    known = reps.select("rep", "n").join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("part"))
+    rows = cut(_once(crowds.withColumnRenamed("node", "leaf")).withColumnRenamed("leaf", "node").join(known, "rep"))
+    whole = rows.groupBy("node", "part").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "part")).alias("_t"), F.sum("m").alias("m"))
+    whole = whole.filter("m > _t.m").select("node", F.col("_t.part").alias("top"), F.when(F.expr("2 * _t.m <= m"), F.col("node")).alias("own"))
+    rows = cut(rows.join(cut(whole), "node").select(F.xxhash64("top", "own").alias("crowd"), "rep", "n", (F.col("part") == F.col("top")).alias("main")).distinct())
+    blocks = lambda on: F.ceil(F.greatest(F.count_if(on) / BLOCK, F.sum(F.when(on, F.col("n")).otherwise(0)) / ELEMENTS)).cast("long")
+    sizes = rows.groupBy("crowd").agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains"))
+    rows = rows.join(cut(sizes), "crowd").withColumn("h", F.xxhash64("rep", F.lit(2)))
+    x = F.when(F.col("main"), F.col("others") + F.pmod("h", "mains")).otherwise(F.pmod("h", "others"))
+    last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    pairs = rows.select("crowd", "rep", x.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("y")).filter("x != y")
+    return pairs.select(F.xxhash64("crowd", F.least("x", "y"), F.greatest("x", "y")).alias("leaf"), "rep")
+
+
 def _once(rows: DataFrame) -> DataFrame:
     """The rows of one leaf only out of those with the same members."""
     marks = rows.groupBy("leaf").agg(
@@ -275,7 +297,7 @@ def confirmed(members: list[np.ndarray], percent: int) -> np.ndarray:
     both = np.zeros((n, n))
     if len(column):
         column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-        width = 1 << 14
+        width = max(1, (1 << 22) // n)
         for c in range(0, int(column[-1]) + 1, width):
             i, j = np.searchsorted(column, (c, c + width))
             m = np.zeros((n, min(width, int(column[-1]) + 1 - c)), "float32")
@@ -345,9 +367,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = cut(_features(read))
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "sig", "bits")).alias("_m"))
     reps = cut(classes.select("a", "b", "n", F.col("_m.doc_id").alias("rep"), F.col("_m.sig").alias("sig"), F.col("_m.bits").alias("bits")))
-    leaves = cut(_once(_leaves(reps, percent)))
-    groups = cut(_once(cut(_sifted(leaves, percent))))
-    roots = components(_edges(groups, read.filter("doc_id IS NOT NULL"), percent))
+    leaves, crowds = _leaves(reps, percent)
+    groups = cut(_once(cut(_sifted(cut(_once(leaves)), percent))))
+    texts = read.filter("doc_id IS NOT NULL")
+    roots = components(_edges(groups, texts, percent))
+    if crowds is not None:
+        left = cut(_across(crowds, reps, roots))
+        if left.take(1):
+            roots = components(roots.withColumnRenamed("root", "v").unionByName(_edges(left, texts, percent)))
     named = reps.join(roots, reps["rep"] == roots["u"], "left")
     named = cut(named.select("a", "b", "n", F.coalesce("root", "rep").alias("_root")))
     #: Many rows have one set: a many-to-one join, whose large keys can be split.

@@ -172,6 +172,24 @@ def test_dense_crowd_is_one_component(documents, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_sparse_crowd_keeps_its_links(documents, monkeypatch):
+    """Edited copies of a template, few of them alike, that link through one lightly edited copy only."""
+    monkeypatch.setattr(near_dedup, "LIMIT", 8)
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng, rows = random.Random(5), []
+    for crowd in range(4):
+        base = [f"t{crowd}x{k}" for k in range(400)]
+        for copy in range(80):
+            t = list(base)
+            for k in range(8 if copy < 79 else 0):
+                t[rng.randrange(49 * k, 49 * k + 49)] = f"e{crowd}x{copy}x{k}"
+            rows.append((len(rows), " ".join(t)))
+    want = brute_components(rows, 80)
+    assert len(set(r for _, r in want.values())) == 4
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(documents(rows), 80).collect()} == want
+
+
 def test_near_dedup_keeps_one(documents):
     a = prose(random.Random(3), 40)
     rows = [(1, a), (2, a), (3, a + " tail"), (1, a), (None, "lone text"), (None, "lone text"), (9, None), (8, "")]
