@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Equal vectors form one class, which keeps its smallest row ids: as many as a result can name. Inner
+Equal vectors form one class, which keeps its smallest distinct ids, as many as a result can name, and
+the number of rows of each. Inner
 products become Euclidean distances by one more component, sqrt(M^2 - |x|^2), M the largest norm.
 
 The index is fitted on a bounded sample of classes: halving it again and again at the median along the
@@ -134,6 +135,19 @@ def _finite(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def enough(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Which places (ids and their numbers of rows, best first) can be among the k best rows when those of any
+    one id don't count: at most k rows of an id matter, and k rows of the others before a place end it."""
+    by = np.argsort(ids, kind="stable")
+    total = np.cumsum(rows[by])
+    first = np.flatnonzero(np.concatenate(([True], ids[by][1:] != ids[by][:-1]))[: len(by)])
+    own = np.empty(len(by), "int64")
+    own[by] = total - np.repeat((total - rows[by])[first], np.diff(np.append(first, len(by))))
+    left = np.clip(k - (own - rows), 0, rows)
+    most = np.concatenate(([0], np.maximum.accumulate(np.minimum(own, k))))[: len(by)]
+    return (left > 0) & (np.cumsum(left) - left - most < k)
+
+
 def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows found nearest to each row whose vec_id is divisible by
     every, over all other rows, by (vec_id, embedding).
@@ -148,9 +162,12 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     rows = vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(_finite(F.col("v")))
     rows = rows.select("vec_id", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float")).alias("v"))
     rows = rows.select("vec_id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
-    #: At most k + 1 rows of each class; ids of a class's rows are at most so many.
-    classes = ranked.groupBy("a", "b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
+    distinct = rows.groupBy("a", "b", "vec_id").agg(F.count("*").alias("_rows"), F.first("v").alias("v"))
+    ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
+    #: At most k + 1 distinct ids of each class; a query leaves out its own and reads at most k rows.
+    ranked = ranked.select("a", "b", "v", F.struct("vec_id", F.least("_rows", F.lit(k)).alias("rows")).alias("_id"))
+    classes = ranked.groupBy("a", "b").agg(F.sort_array(F.collect_list("_id")).alias("_ids"), F.first("v").alias("v"))
+    classes = classes.select("a", "b", "v", F.col("_ids.vec_id").alias("ids"), F.col("_ids.rows").alias("rows"))
     asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("a").alias("qa"), F.col("b").alias("qb"))
     asking = asked.select(F.col("qa").alias("a"), F.col("qb").alias("b")).distinct().withColumn("asked", F.lit(True))
     classes = cut(classes.join(asking, ["a", "b"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))))
@@ -176,7 +193,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
             yield pd.DataFrame(
                 {
                     "list": np.concatenate(copies), "a": np.repeat(b["a"].to_numpy(), sizes), "b": np.repeat(b["b"].to_numpy(), sizes),
-                    "ids": np.repeat(b["ids"].to_numpy(), sizes), "v": np.repeat(np.array(blob, object), sizes), "asks": False,
+                    "ids": np.repeat(b["ids"].to_numpy(), sizes), "rows": np.repeat(b["rows"].to_numpy(), sizes), "v": np.repeat(np.array(blob, object), sizes), "asks": False,
                 }
             )
             q = b[asks]
@@ -186,43 +203,55 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
                 yield pd.DataFrame(
                     {
                         "list": np.concatenate(reads), "a": np.repeat(q["a"].to_numpy(), sizes), "b": np.repeat(q["b"].to_numpy(), sizes),
-                        "ids": [None] * sum(sizes), "v": np.repeat(blob, sizes), "asks": True,
+                        "ids": [None] * sum(sizes), "rows": [None] * sum(sizes), "v": np.repeat(blob, sizes), "asks": True,
                     }
                 )
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
         """The best rows of one list for each class that asks it."""
         held, asks = group[~group["asks"]], group[group["asks"]]
-        out = {"qa": [], "qb": [], "vec_id": [], "score": []}
+        out = {"qa": [], "qb": [], "ca": [], "cb": [], "vec_id": [], "rows": [], "score": []}
         if len(held) and len(asks):
             x = np.frombuffer(b"".join(held["v"]), "<f4").reshape(len(held), -1).astype("float64")
             sizes = held["ids"].map(len).to_numpy()
             ids, of = np.concatenate(held["ids"].to_numpy()), np.repeat(np.arange(len(held)), sizes)
+            rows = np.concatenate(held["rows"].to_numpy())
+            repeated = len(np.unique(ids)) < len(ids)
             for i in range(0, len(asks), 256):
                 part = asks.iloc[i : i + 256]
                 q = np.frombuffer(b"".join(part["v"]), "<f4").reshape(len(part), -1).astype("float64")
                 scores = q @ x.T
                 for j in range(len(part)):
                     s = scores[j][of]
-                    if len(s) > 4 * k:  # all rows that tie with the last place stay for the sort
+                    if len(s) > 4 * k and not repeated:  # all rows that tie with the last place stay for the sort
                         top = np.flatnonzero(s >= -np.partition(-s, k)[k])
                     else:
                         top = np.arange(len(s))
-                    top = top[np.lexsort((ids[top], -s[top]))][: k + 1]
+                    top = top[np.lexsort((ids[top], -s[top]))]
+                    top = top[enough(ids[top], rows[top], k)]
                     out["qa"].append(np.full(len(top), part["a"].iat[j])), out["qb"].append(np.full(len(top), part["b"].iat[j]))
-                    out["vec_id"].append(ids[top]), out["score"].append(s[top])
+                    out["ca"].append(held["a"].to_numpy()[of[top]]), out["cb"].append(held["b"].to_numpy()[of[top]])
+                    out["vec_id"].append(ids[top]), out["rows"].append(rows[top]), out["score"].append(s[top])
         return pd.DataFrame({n: np.concatenate(c) if c else np.zeros(0, "float64" if n == "score" else "int64") for n, c in out.items()})
 
-    placed = classes.select("a", "b", "ids", "v", "asked").mapInPandas(assign, "list int, a long, b long, ids array<long>, v binary, asks boolean")
-    best = placed.groupBy("list").applyInPandas(read, "qa long, qb long, vec_id long, score double")
-    best = best.groupBy("qa", "qb", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("qa", "qb").orderBy(F.desc("score"), "vec_id"))
-    best = best.withColumn("_n", place).filter(F.col("_n") <= k + 1)
-    #: One row of at most k + 1 places for each class; many queries of one class then share it.
-    best = best.groupBy("qa", "qb").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("_best"))
+    placed = classes.select("a", "b", "ids", "rows", "v", "asked").mapInPandas(assign, "list int, a long, b long, ids array<long>, rows array<long>, v binary, asks boolean")
+    best = placed.groupBy("list").applyInPandas(read, "qa long, qb long, ca long, cb long, vec_id long, rows long, score double")
+    best = best.groupBy("qa", "qb", "ca", "cb", "vec_id").agg(F.max("score").alias("score"), F.max("rows").alias("rows"))
+    #: What enough() keeps, by the best rows of all lists.
+    order = [F.desc("score"), F.col("vec_id"), F.col("ca"), F.col("cb")]
+    own = Window.partitionBy("qa", "qb", "vec_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    best = best.withColumn("_own", F.sum("rows").over(own)).filter(F.col("_own") - F.col("rows") < k)
+    best = best.withColumn("rows", F.least("rows", k - F.col("_own") + F.col("rows"))).withColumn("_own", F.least("_own", F.lit(k)))
+    place = Window.partitionBy("qa", "qb").orderBy(*order)
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    others = F.coalesce(F.sum("rows").over(before) - F.max("_own").over(before), F.lit(0))
+    best = best.withColumn("_n", F.row_number().over(place)).withColumn("_others", others).filter(F.col("_others") < k)
+    #: A bounded row of places for each class; many queries of one class then share it.
+    best = best.groupBy("qa", "qb").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score", "rows"))).alias("_best"))
     best = best.select(F.concat_ws(":", "qa", "qb").alias("_q"), "_best")
     joined = asked.select("query_id", F.concat_ws(":", "qa", "qb").alias("_q")).join(best, "_q")
-    others = F.slice(F.filter("_best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.filter("_best", lambda x: x["vec_id"] != F.col("query_id"))
+    others = F.slice(F.flatten(F.transform(others, lambda x: F.array_repeat(x, x["rows"].cast("int")))), 1, k)
     return joined.select("query_id", F.posexplode(others)).select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score")
     )

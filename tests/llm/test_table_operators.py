@@ -128,6 +128,23 @@ def test_neighbours_small_is_exact(spark, clash):
     assert set(got) == set(want) and all(got[q] == [j for _, j in want[q]] for q in want)
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Equal vectors under many ids and rows, an id with several vectors, and an id repeated above k times."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), rng.normal(size=4).tolist()) for i in range(100, 160)] + [(i, [3.0] * 4) for i in range(30)] * 2
+    rows += [(201, [-3.0, 3.0, 0.0, 0.0])] * 25 + [(i, [-3.0, 3.0, 0.0, 0.0]) for i in range(202, 230)]
+    rows += [(240, [0.0, 0.0, 5.0, -5.0 - i / 8]) for i in range(30)] + [(i, [0.0, 0.0, 4.0, -4.0]) for i in range(241, 270)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault((r["query_id"], r["rank"]), set()).add((r["vec_id"], round(r["score"], 6)))
+    want, ok = {}, [(i, np.array(v, "float32").astype(float)) for i, v in rows]
+    for i, q in ok:
+        if i % 20 == 0:
+            for rank, (s, j) in enumerate(sorted((-float(q @ v), j) for j, v in ok if j != i)[:20], 1):
+                want.setdefault((i, rank), set()).add((j, round(-s, 6)))
+    assert got == want
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 16)).astype("float32")
