@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, partitions, table, word_count
 from .textbatch import LOWER, Sums, U, chunks, mix, text_bytes, words
 from .url_filter import blocked_bloom
 
@@ -386,12 +386,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one with the smallest id, with the columns of docs. Rows that
-    repeat an id, or have none and the same text, leave one row."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_own")
-    whole = docs.select("doc_id", own, F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
-    return whole.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "_own"]).select("_whole.*")
+    """One document of each group, the one with the smallest id, with the columns of docs. Where ids repeat
+    or are null, each id and text is a document of its own: those without an id come last, texts of one id
+    in the order of their hashes, and rows equal in both leave the one with the smallest hash."""
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        gone = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id")
+        return docs.select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole")).join(gone, "doc_id", "left_anti").select("_whole.*")
+    text = F.when(word_count(F.col("text")) > 0, F.col("text")).otherwise("")
+    whole = docs.select("doc_id", F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"), F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    one = whole.groupBy("doc_id", "_a", "_b").agg(F.min_by("_whole", F.xxhash64("_whole")).alias("_whole"))
+    one = cut(one.orderBy(F.asc_nulls_last("doc_id"), "_a", "_b").select(F.monotonically_increasing_id().alias("_row"), "_whole"))
+    gone = near_duplicates(one.select(F.col("_row").alias("doc_id"), "_whole.text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+    return one.join(gone, "_row", "left_anti").select("_whole.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,19 @@ def test_near_dedup_keeps_one(documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
 
 
+def test_near_dedup_decides_by_row(documents):
+    """A clean text that shares its id with a copy stays, a copy without an id goes, and the order of rows
+    doesn't matter."""
+    rng = random.Random(4)
+    a, clean, lone, c = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a + " tail"), (2, clean), (None, a), (None, lone), (4, c), (4, c), (5, None), (5, "")]
+    sources = ["p", "q", "r", "s", "t", "u", "v", "w", "x"]
+    runs = [near_dedup.deduplicated(documents(rows[::d], sources[::d]).coalesce(1)).collect() for d in (1, -1)]
+    kept = [sorted((str(r["doc_id"]), r["text"] or "", r["source"]) for r in run) for run in runs]
+    assert kept[0] == kept[1]
+    assert [k[:2] for k in kept[0]] == sorted([("1", a), ("2", clean), ("None", lone), ("4", c), ("5", "")])
+
+
 # --- BPE
 
 def test_bpe_equals_library(documents, clash):
