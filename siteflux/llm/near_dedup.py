@@ -297,7 +297,7 @@ def confirmed(members: list[np.ndarray], percent: int) -> np.ndarray:
     both = np.zeros((n, n))
     if len(column):
         column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-        width = max(1, (1 << 22) // n)
+        width = min(1 << 14, max(1, (1 << 22) // n))
         for c in range(0, int(column[-1]) + 1, width):
             i, j = np.searchsorted(column, (c, c + width))
             m = np.zeros((n, min(width, int(column[-1]) + 1 - c)), "float32")
