@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_PER_FILE = 20_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,15 +29,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, written to the folder that the cluster names in
-    spark.checkpoint.dir. Where none is set (tests on one machine) a temporary folder serves."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set a temporary folder
+    serves, but only if the executors are threads of this process: others could not read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/siteflux-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows without their lineage, written to the shared folder. rows: a bound of their
+    number, by which few rows go to few files."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/siteflux-{uuid.uuid4().hex}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint(eager=True)
 
 
+def frugal(df: DataFrame) -> DataFrame:
+    """df, in a session that sends Arrow batches of 4 MB rather than 64: a batch is held in the JVM, in the
+    worker and again in what the worker makes of it. A size that the session has set itself stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES).strip("b") in (str(1 << 26), "64m"):
+        conf.set(BATCH_BYTES, str(1 << 22))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

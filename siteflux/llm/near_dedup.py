@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, word_count
-from .textbatch import LOWER, Sums, U, chunks, mix, text_bytes, words
+from .common import ROWS_PER_FILE, cut, frugal, partitions, table, word_count
+from .textbatch import LOWER, Sums, U, lean, mix, runs, text_bytes, word_hashes
 from .url_filter import blocked_bloom
 
 SHINGLE = 5
@@ -42,8 +43,12 @@ DEPTH, CHOICES = 5, 16
 SLOTS = TREES * ROOTS + DEPTH * CHOICES
 LIMIT = 256
 PIVOTS = 8
+#: Crowds in which a document meets pivots.
+HOMES = 4
 #: Bounds of a block whose full sets meet those of another: documents, and elements of their sets.
-BLOCK, ELEMENTS = 1024, 1_000_000
+BLOCK, ELEMENTS = 512, 500_000
+#: At most so many ids are broadcast: 8 MB.
+BROADCAST_IDS = 1 << 20
 #: A leaf's first look uses BITS of each token, and an estimate that is SLACK below the threshold.
 BITS = 2
 SLACK = 0.25
@@ -56,16 +61,15 @@ _TERMS = mix(np.arange(1001, SLOTS + 1001, dtype="uint64"))
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' sets one after the other, each sorted, and their bounds. Fewer words than a shingle
     make one element of the whole sequence; no words make none."""
-    w = words(texts, LOWER)
-    hashes = Sums(w.data).of(w.starts, w.ends)
-    sizes = np.diff(w.bounds)
-    ends = np.repeat(w.bounds[1:], sizes)
+    hashes, words_of = word_hashes(texts, LOWER)
+    sizes = np.diff(words_of)
     starts = np.arange(len(hashes))
-    starts = starts[starts + SHINGLE <= ends]
+    starts = starts[starts + SHINGLE <= np.repeat(words_of[1:], sizes)]
     few = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
     sums = Sums(hashes)
-    h = np.concatenate([sums.of(starts, starts + SHINGLE), sums.of(w.bounds[few], w.bounds[few + 1])])
-    doc = np.concatenate([np.searchsorted(w.bounds, starts, "right") - 1, few])
+    h = np.concatenate([sums.of(starts, starts + SHINGLE), sums.of(words_of[few], words_of[few + 1])])
+    doc = np.concatenate([np.searchsorted(words_of, starts, "right") - 1, few]).astype("int32")
+    del starts, hashes, sums
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[: len(h)]
@@ -90,9 +94,8 @@ def _features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for i, j in chunks(texts):
-                h, bounds = sets(texts[i:j])
+            for i, j, texts in runs(batch.column(1)):
+                h, bounds = sets(texts)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 a, b = np.zeros(j - i, "uint64"), np.zeros(j - i, "uint64")
@@ -108,7 +111,7 @@ def _features(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "a", "b", "sig", "bits"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, sig binary, bits binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, a long, b long, sig binary, bits binary")
 
 
 def _sig_matrix(column: pa.Array) -> np.ndarray:
@@ -131,8 +134,8 @@ def _roots(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig", "bits").mapInArrow(run, "node long, rep long, bits binary")
 
 
-def _branch(rows: DataFrame, level: int, percent: int) -> DataFrame:
-    """node, rep, bits of the children of (node, rep, tokens of the level, bits): 100 / percent for each
+def _branch(docs: DataFrame, level: int, percent: int) -> DataFrame:
+    """node, rep, bits of the children of (rep, nodes, tokens of the level, bits): 100 / percent for each
     node on average."""
     twice = U(int((1 << 16) * (100 / percent - 1)))
 
@@ -140,48 +143,54 @@ def _branch(rows: DataFrame, level: int, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            node = b.column(0).to_numpy(zero_copy_only=False).view("uint64")
-            rep = b.column(1).to_numpy(zero_copy_only=False)
+            node = b.column(1).flatten().to_numpy(zero_copy_only=False).view("uint64")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
             tokens = np.frombuffer(b"".join(text_bytes(b.column(2))), "<u4").reshape(-1, CHOICES)
             h = mix(node ^ U(level))
             first = (h % U(CHOICES)).astype("int64")
             second = (first + 1 + ((h >> U(20)) % U(CHOICES - 1)).astype("int64")) % CHOICES
             two = h >> U(48) < twice
-            out_n, out_r, out_b = [], [], []
+            out_n, out_r = [], []
             for choice, on in ((first, np.ones(len(h), bool)), (second, two)):
-                token = tokens[np.flatnonzero(on), choice[on]].astype("uint64")
+                token = tokens[row[on], choice[on]].astype("uint64")
                 with np.errstate(over="ignore"):
                     out_n.append(mix(mix(node[on] + choice[on].astype("uint64")) ^ token))
-                out_r.append(rep[on])
-                out_b.append(np.flatnonzero(on))
-            bits = b.column(3).take(pa.array(np.concatenate(out_b)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_n).view("int64")), pa.array(np.concatenate(out_r)), bits], ["node", "rep", "bits"])
+                out_r.append(row[on])
+            at = pa.array(np.concatenate(out_r))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_n).view("int64")), b.column(0).take(at), b.column(3).take(at)], ["node", "rep", "bits"])
 
-    return rows.select("node", "rep", "tokens", "bits").mapInArrow(run, "node long, rep long, bits binary")
+    return docs.select("rep", "nodes", "tokens", "bits").mapInArrow(run, "node long, rep long, bits binary")
 
 
 def _leaves(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """leaf, rep, bits: leaves with two documents or more; and node, rep of the crowds, if there are any. The
-    few bytes for a leaf's first look travel down the tree, which spares a join of all leaves."""
+    few bytes for a leaf's first look travel down the tree, which spares a join of all leaves. From level
+    to level a document is one row with all of its large nodes, so its tokens are joined once."""
+    most = reps.count() * TREES * ROOTS
     rows, leaves = _roots(reps), None
     for level in range(1, DEPTH + 2):
         #: Written first, so that the join can split a node that many rows have.
-        counts = cut(rows.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1"))
-        rows = cut(rows.join(counts, "node"))
+        counts = cut(rows.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1"), most)
+        rows = cut(rows.join(counts, "node"), most)
         done = rows.filter(F.col("_n") <= LIMIT).select(F.col("node").alias("leaf"), "rep", "bits")
         leaves = done if leaves is None else leaves.unionByName(done)
         large = rows.filter(F.col("_n") > LIMIT)
-        if not large.take(1):
+        n = large.count()
+        if not n:
             return leaves, None
         if level <= DEPTH:
-            start = 4 * (TREES * ROOTS + (level - 1) * CHOICES)
-            tokens = reps.select("rep", F.substring("sig", start + 1, 4 * CHOICES).alias("tokens"))
-            rows = cut(_branch(large.select("node", "rep", "bits").join(tokens, "rep"), level, percent))
+            start, most = 4 * (TREES * ROOTS + (level - 1) * CHOICES), 2 * n
+            tokens = reps.select("rep", F.substring("sig", start + 1, 4 * CHOICES).alias("tokens"), "bits")
+            nodes = large.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+            rows = cut(_branch(nodes.join(tokens, "rep"), level, percent), most)
     return leaves.unionByName(_crowds(large)), large.select("node", "rep")
 
 
 def _crowds(large: DataFrame) -> DataFrame:
-    """Blocks of (node, rep, bits, _n), each with the node's pivots."""
+    """Blocks of (node, rep, bits, _n), each with the node's pivots. A document goes to the HOMES largest of
+    its crowds; all of them count in _across()."""
+    homes = large.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("_n", "node")), False), 1, HOMES).alias("_h"), F.first("bits").alias("bits"))
+    large = homes.select("rep", "bits", F.explode("_h").alias("_h")).select("rep", "bits", "_h.node", "_h._n")
     blocks = F.ceil(F.col("_n") / (LIMIT // 2)).cast("long")
     own = large.select(F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), blocks)).alias("leaf"), "rep", "bits")
     pick = F.pmod(F.xxhash64("rep", "node"), F.lit(PIVOTS))
@@ -276,7 +285,7 @@ def _sifted(leaves: DataFrame, percent: int) -> DataFrame:
                 names, members = [], []
         yield _pairs(names, members)
 
-    return _by_leaf(leaves.select("leaf", "rep", "bits")).mapInArrow(run, "leaf long, rep long")
+    return _by_leaf(leaves.select("leaf", "rep", "bits")).mapInArrow(lean(run), "leaf long, rep long")
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray], names=("leaf", "rep")) -> pa.RecordBatch:
@@ -284,27 +293,40 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray], names=("leaf", "rep")) -> p
     return pa.RecordBatch.from_arrays([pa.array(x, "int64") for x in both], list(names))
 
 
-def confirmed(members: list[np.ndarray], percent: int) -> np.ndarray:
-    """The smallest linked member of each set: exact sizes of all intersections in the group."""
-    n, sizes = len(members), np.array([len(m) for m in members], "int64")
-    flat, owner = np.concatenate(members), np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1  # elements of one set only meet nothing
-    column, owner = column[shared], owner[shared]
-    both = np.zeros((n, n))
-    if len(column):
+def packed_sets(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all sets in binary columns, and the sets' sizes, with one copy."""
+    flat, sizes = [], []
+    for c in columns:
+        ends = np.frombuffer(c.buffers()[1], "<i4")[c.offset : c.offset + len(c) + 1]
+        flat.append(np.frombuffer(c.buffers()[2] or b"", "<u8", (ends[-1] - ends[0]) // 8, int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, "<u8"))
+        sizes.append(np.diff(ends) // 8)
+    return np.concatenate(flat), np.concatenate(sizes).astype("int64")
+
+
+def confirmed(flat: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest linked member of each set: exact sizes of all intersections in the group, added up
+    over slices of the elements' hashes, so that memory follows the sets themselves."""
+    n, slices = len(sizes), -(-max(1, len(flat)) // ELEMENTS)
+    owner, both = np.repeat(np.arange(n, dtype="int32"), sizes), np.zeros((n, n), "float32")
+    for k in range(slices):
+        part = np.flatnonzero((flat >> U(20)) % U(slices) == k) if slices > 1 else slice(None)
+        h, of = flat[part], owner[part]
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        column = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]) - 1
+        shared = np.bincount(column)[column] > 1 if len(h) else np.zeros(0, bool)  # elements of one set only meet nothing
+        column, of = column[shared], of[shared]
+        if not len(column):
+            continue
         column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-        width = min(1 << 14, max(1, (1 << 22) // n))
+        width = min(1 << 14, max(1, (1 << 21) // n))
         for c in range(0, int(column[-1]) + 1, width):
             i, j = np.searchsorted(column, (c, c + width))
             m = np.zeros((n, min(width, int(column[-1]) + 1 - c)), "float32")
-            m[owner[i:j], column[i:j] - c] = 1
+            m[of[i:j], column[i:j] - c] = 1
             both += m @ m.T
-    union = sizes[:, None] + sizes - both
-    return linked(100 * both >= percent * union)
+    both = both.astype("int64")
+    return linked(100 * both >= percent * (sizes[:, None] + sizes - both))
 
 
 def _edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -314,9 +336,8 @@ def _edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def make(batches):
         for b in batches:
-            texts = text_bytes(b.column(1))
-            for i, j in chunks(texts):
-                h, bounds = sets(texts[i:j])
+            for i, j, texts in runs(b.column(1)):
+                h, bounds = sets(texts)
                 blob = [h[a:z].astype("<u8").tobytes() for a, z in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(blob, "binary")], ["rep", "set"])
 
@@ -325,7 +346,7 @@ def _edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for t in _groups(batches):
             if t.num_rows > 1:
                 rep = t.column(1).to_numpy()
-                label = confirmed([np.frombuffer(x, "<u8") for c in t.column(2).chunks for x in text_bytes(c)], percent)
+                label = confirmed(*packed_sets(t.column(2).chunks), percent)
                 low = np.full(len(rep), np.iinfo("int64").max)
                 np.minimum.at(low, label, rep)
                 keep = low[label] < rep
@@ -335,20 +356,22 @@ def _edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 us, vs = [], []
         yield _pairs(us, vs, ("u", "v"))
 
-    full = near.select("rep", "text").mapInArrow(make, "rep long, set binary")
-    return _by_leaf(groups.join(full, "rep").select("leaf", "rep", "set")).mapInArrow(run, "u long, v long").distinct()
+    full = near.select("rep", "text").mapInArrow(lean(make), "rep long, set binary")
+    return _by_leaf(groups.join(full, "rep").select("leaf", "rep", "set")).mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """u, root: every document with a link to a smaller one, and the smallest that it reaches."""
     edges, before = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    most = edges.count()  # no round adds to them
+    edges = edges.coalesce(max(1, -(-most // ROWS_PER_FILE)))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), most)
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), most)
         small = large.join(low, "u")
-        edges = cut(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), most)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select("u", F.col("v").alias("root"))
@@ -363,7 +386,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     its set, or none (and is kept) if no row with an id has that set or a linked one. Ties can't
     arise: a component's name is its smallest id.
     """
-    read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    read = frugal(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = cut(_features(read))
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "sig", "bits")).alias("_m"))
     reps = cut(classes.select("a", "b", "n", F.col("_m.doc_id").alias("rep"), F.col("_m.sig").alias("sig"), F.col("_m.bits").alias("bits")))
@@ -391,15 +414,23 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     in the order of their hashes, and rows equal in both leave the one with the smallest hash."""
     n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if n["rows"] == n["ids"]:
-        gone = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id")
-        return docs.select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole")).join(gone, "doc_id", "left_anti").select("_whole.*")
+        whole = docs.select("doc_id", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+        return _without(whole, near_duplicates(docs, percent), "doc_id")
     text = F.when(word_count(F.col("text")) > 0, F.col("text")).otherwise("")
     whole = docs.select("doc_id", F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"), F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
     one = whole.groupBy("doc_id", "_a", "_b").agg(F.min_by("_whole", F.xxhash64("_whole")).alias("_whole"))
     one = cut(one.orderBy(F.asc_nulls_last("doc_id"), "_a", "_b").select(F.monotonically_increasing_id().alias("_row"), "_whole"))
-    gone = near_duplicates(one.select(F.col("_row").alias("doc_id"), "_whole.text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
-    return one.join(gone, "_row", "left_anti").select("_whole.*")
+    found = near_duplicates(one.select(F.col("_row").alias("doc_id"), "_whole.text"), percent)
+    return _without(one, found.withColumnRenamed("doc_id", "_row"), "_row")
+
+
+def _without(whole: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of (key, _whole) that stay. A few ids go to the documents, else both sides meet by key."""
+    gone = cut(found.filter(~F.col("kept")).select(key))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return whole.join(gone, key, "left_anti").select("_whole.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of documents at 85 %: the same rules for nulls, repeats and ties."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
