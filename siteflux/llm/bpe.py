@@ -5,7 +5,7 @@ pairs in a priority queue; the lowest rank, leftmost first, merges, and entries
 since changed are skipped as stale. Decoding joins the strings that the vocabulary has for the ids.
 
 Texts are cut where the pre-tokenizer must cut them anyway, at a single space between two other
-characters, and results are kept for each piece in two caches of fixed size, so that the work for a
+characters, and results are kept for each piece in two caches bounded in bytes, so that the work for a
 worker follows its distinct pieces. The vocabulary is read once in a worker, from a path that each
 executor can open.
 """
@@ -24,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
+from .textbatch import lean
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Most entries in each cache of a worker.
-CACHE = 300_000
+#: About so many bytes in each half of a worker's two caches: of pre-tokens, and of fields.
+PIECE_BYTES, FIELD_BYTES = 15_000_000, 45_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,16 +46,22 @@ def byte_symbols() -> list[str]:
 
 
 class _Kept(dict):
-    """A dict that fills itself, and starts anew when it is full."""
+    """A dict that fills itself. Once its entries take so many bytes they become the older half, which is
+    asked before an entry is made anew, and the older half of before goes: what comes again stays."""
 
-    def __init__(self, make):
+    def __init__(self, make, most, cost):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.cost, self.older, self.bytes = make, most, cost, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.bytes += 150 + 2 * len(key) + self.cost(value)
+        if self.bytes > self.most:
+            self.older, self.bytes = dict(self), 0
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -85,8 +92,8 @@ class Bpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(self.PATTERN)
         self.edge = regex.compile(r"\s")
-        self.by_piece = _Kept(self.merge)
-        self.by_field = _Kept(self._field)
+        self.by_piece = _Kept(self.merge, PIECE_BYTES, lambda ids: 60 + 36 * len(ids))
+        self.by_field = _Kept(self._field, FIELD_BYTES, lambda x: 0 if x is None else 180 + len(x[0]) + len(x[2]))
         self.marks = {c: self._known(self.merge(c)) for c in ".,;:!?"}
 
     def merge(self, piece: str) -> list[int]:
@@ -186,7 +193,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [coder.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return frugal(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -199,7 +206,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if x is None else coder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, "string")], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return frugal(encoded).select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -227,8 +234,9 @@ def digest_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
+    return frugal(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), DIGESTS + ", ids array<int>" * with_ids)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest_documents() of documents: null texts are empty, repeated rows stay."""
     return digest_documents(table(spark, sf_dir, "documents"))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import text_bytes
+from .common import frugal
+from .textbatch import lean, runs
 
 #: Documented bounds of a training sample: rows of each grade, and bytes of a text.
 ROWS_PER_GRADE = 2000
@@ -45,10 +46,11 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, encod
 
     def run(batches):
         for b in batches:
-            codes = encode(text_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.tobytes() for c in codes], "binary")], ["doc_id", "_grade", "_code"])
+            for i, j, part in runs(b.column(1)):
+                codes = pa.array([c.tobytes() for c in encode(part)], "binary")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), codes], ["doc_id", "_grade", "_code"])
 
-    got = texts.select("doc_id", "text", F.col("_grade").cast("int")).mapInArrow(run, "doc_id long, _grade int, _code binary").collect()
+    got = frugal(texts).select("doc_id", "text", F.col("_grade").cast("int")).mapInArrow(lean(run), "doc_id long, _grade int, _code binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["_code"])))
     return (
         [np.frombuffer(r["_code"], "int32") for r in got],

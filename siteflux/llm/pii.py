@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import table
+from .common import frugal, table
+from .textbatch import lean
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING = 6000
@@ -265,7 +266,7 @@ def find(docs: DataFrame) -> DataFrame:
             kinds = ["int64"] * 4 + ["string"] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(NAMES, TYPES)))
+    return frugal(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in zip(NAMES, TYPES)))
 
 
 NAMES = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
@@ -275,13 +276,18 @@ TYPES = ["long"] * 5 + ["string"] * 2
 def redact_column(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with all spans of one string column replaced; other columns and null texts stay."""
     found = detector()
+    others = [c for c in docs.columns if c.lower() != column.lower()]
+    rows = frugal(docs).select(F.struct(F.lit(0).alias("_none"), *[F.col(c) for c in others]).alias("_rest"), F.col(column).alias("_text"))
 
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: redact(t, found), na_action="ignore")
+    def run(batches):
+        for b in batches:
+            texts = [redact(t.as_py(), found) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, "string")], ["_rest", "_text"])
 
-    return docs.withColumn(column, run(F.col(column)))
+    made = rows.mapInArrow(lean(run), rows.schema)
+    return made.select(*[F.col("_rest")[c].alias(c) if c in others else F.col("_text").alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find() over documents: the same rules for nulls, repeats and empty tables."""
     return find(table(spark, sf_dir, "documents"))

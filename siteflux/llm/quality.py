@@ -16,12 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
-from .common import table
-from .textbatch import LOWER, Sums, chunks, text_bytes, words
+from .common import frugal, table
+from .textbatch import LOWER, Sums, chunks, lean, runs, words
 
 BUCKETS = 1 << 16
 GRADES = 3
@@ -85,12 +87,12 @@ def train(coded: list[np.ndarray], grade: np.ndarray, counts: np.ndarray) -> Ord
     share = counts / max(1, counts.sum())
     drawn = np.bincount(grade, minlength=GRADES) / max(1, len(grade))
     weight = (share / np.maximum(drawn, 1e-9))[grade]
-    sizes = np.array([len(c) for c in coded], "int64")
-    flat, doc = np.concatenate(coded), np.repeat(np.arange(len(coded)), sizes)
     #: Each text's distinct features and their share of it.
-    key, n = np.unique(doc * BUCKETS + flat, return_counts=True)
-    row, column = key // BUCKETS, key % BUCKETS
-    value = 3.0 * n / sizes[row]
+    each = [np.unique(c, return_counts=True) for c in coded]
+    row = np.repeat(np.arange(len(coded), dtype="int32"), [len(k) for k, _ in each])
+    column = np.concatenate([k for k, _ in each])
+    value = np.concatenate([3.0 * n / max(1, len(c)) for (_, n), c in zip(each, coded)])
+    del each
     known = np.bincount(column, minlength=BUCKETS) >= MIN_TEXTS
     row, column, value = row[known[column]], column[known[column]], value[known[column]]
     tail = np.array([share[k:].sum() for k in range(1, GRADES)])
@@ -124,34 +126,43 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
     return train(coded, y, counts)
 
 
-def score(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """docs with expected_grade, tail_probability, P(grade >= 1), and keep. A null or empty text has
-    no features and gets the grades' shares, so it is kept. All columns of docs stay; three names
-    are added, which replace columns of the same names."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # half a MB, whatever the input
+def _tails(rows: DataFrame, model: Ordinal, text: int | None) -> DataFrame:
+    """_whole, expected and tail of (_whole, text), or of (_whole) alone whose field number text has the text."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # half a MB, whatever the input
+
+    def run(batches):
+        for b in batches:
+            column = b.column(1) if text is None else pc.struct_field(b.column(0), [text])
+            for i, j, texts in runs(column):
+                tails = sent.value.tails(encode(texts))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(tails.sum(1)), pa.array(tails[:, 0])], ["_whole", "expected", "tail"])
+
+    out = StructType([StructField("_whole", rows.schema["_whole"].dataType), StructField("expected", DoubleType()), StructField("tail", DoubleType())])
+    return frugal(rows).mapInArrow(lean(run), out)
 
-    @F.pandas_udf("expected double, tail double")
-    def run(texts):
-        import pandas as pd
 
-        raw = [b"" if t is None else t.encode() for t in texts]
-        tails = [sent.value.tails(encode(raw[i:j])) for i, j in chunks(raw)]  # a few MB at a time
-        tails = np.concatenate(tails) if tails else np.zeros((0, GRADES - 1))
-        return pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, 0]})
+def _held(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """Whole rows travel as one column, so that no name of docs can clash."""
+    at = [c.lower() for c in docs.columns].index("text")
+    return _tails(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole")), model, at)
 
-    added = {"expected_grade": F.col("_made.expected"), "tail_probability": F.col("_made.tail"), "keep": F.col("_made.tail") >= KEEP}
-    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), run(F.col("text")).alias("_made"))
-    return held.select(*[F.col("_whole")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(n) for n, v in added.items()])
+
+def score(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """docs with expected_grade, tail_probability, P(grade >= 1), and keep. A null or empty text has
+    no features and gets the grades' shares: it is kept unless low grades are the majority of the labels.
+    All columns of docs stay; three names are added, which replace columns of the same names. Repeated
+    rows stay, and an empty table gives no rows."""
+    added = {"expected_grade": F.col("expected"), "tail_probability": F.col("tail"), "keep": F.col("tail") >= KEEP}
+    return _held(docs, model).select(*[F.col("_whole")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(n) for n, v in added.items()])
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    held = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
-    return score(held, fit(docs, labels)).filter("keep").select("_whole.*")
+    return _held(docs, fit(docs, labels)).filter(F.col("tail") >= KEEP).select("_whole.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's expected grade, tail probability and whether it is kept."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", "expected_grade", "tail_probability", "keep")
+    scored = _tails(docs.select(F.struct("doc_id").alias("_whole"), "text"), fit(docs, labels), None)
+    return scored.select("_whole.doc_id", F.col("expected").alias("expected_grade"), F.col("tail").alias("tail_probability"), (F.col("tail") >= KEEP).alias("keep"))

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting, labelled
-from .common import cut, table
-from .textbatch import Sums, chunks, text_bytes, words
+from .common import cut, frugal, table
+from .textbatch import Sums, chunks, lean, runs, words
 
 BUCKETS = 1 << 15
 STEM = 5  # bytes
@@ -237,13 +237,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, max(1, b.num_rows), 2048):
-                part = b.slice(i, 2048)
-                s = sent.value.scores(encode(text_bytes(part.column(2)))) if part.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, "float64")], ["doc_id", "lang", "score"])
+            for i, j, texts in runs(b.column(2)):
+                s = sent.value.scores(encode(texts))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(s, "float64")], ["doc_id", "lang", "score"])
 
-    read = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary").alias("text"))
-    scored = read.mapInArrow(run, "doc_id long, lang string, score double")
+    read = frugal(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary").alias("text"))
+    scored = read.mapInArrow(lean(run), "doc_id long, lang string, score double")
     return scored.select(
         "doc_id",
         "lang",
