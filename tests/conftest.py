@@ -1,5 +1,6 @@
 import os
 import sys
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -34,6 +35,7 @@ def duck():
 
 
 def _plain(v):
+    v = float(v) if isinstance(v, Decimal) else v
     if v is None or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "isoformat"):
