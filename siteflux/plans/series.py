@@ -70,12 +70,13 @@ def event_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS v FROM events WHERE user_id NOT IN (SELECT DISTINCT user_id FROM events WHERE user_id % 7 = 3) GROUP BY ALL)
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS v FROM events WHERE user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING max(value) > 250) GROUP BY ALL)
 SELECT c.event, d.user_id, max(d.v) AS event_max FROM d JOIN {CATALOGUE_SQL} ON d.date BETWEEN c."start" AND c."end" GROUP BY ALL
 """)
 def event_window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "user_id", "ts", "value")
-    dropped = e.filter("user_id % 7 = 3").select("user_id").distinct()
+    #: Entities with an implausible value are left out whole.
+    dropped = e.filter("value > 250").select("user_id").distinct()
     daily = ts.daily_max(e.join(dropped, "user_id", "left_anti"), ["user_id"], "ts", "value", dense=False).withColumn("at", F.col("date").cast("timestamp_ntz"))
     return ev.window_max(daily, "at", "value_max", ["user_id"], catalogue(spark))
 
@@ -83,10 +84,10 @@ def event_window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTS = f"""
 claims AS (SELECT c.event, e.user_id AS key, count(*) AS n FROM events e JOIN {CATALOGUE_SQL} ON e.ts BETWEEN c."start" AND c."end" WHERE e.event_type = 'error' GROUP BY ALL),
 pol AS (SELECT o_custkey % 15 AS key, DATE '2023-12-15' + CAST(o_orderkey % 40 AS INTEGER) AS eff,
-        DATE '2023-12-15' + CAST(o_orderkey % 40 + o_orderkey % 20 AS INTEGER) AS term FROM orders WHERE o_orderkey % 5 = 0),
+        DATE '2023-12-15' + CAST(o_orderkey % 40 + o_orderkey % 20 AS INTEGER) AS term FROM orders),
 pols AS (SELECT c.event, p.key, count(*) AS n FROM pol p JOIN {CATALOGUE_SQL}
         ON p.eff <= greatest(c."start" + (c."end" - c."start") / 2, TIMESTAMP '2010-01-01') AND p.term >= greatest(c."start" + (c."end" - c."start") / 2, TIMESTAMP '2010-01-01') GROUP BY ALL),
-b AS (SELECT c_custkey % 15 AS key, count(*) AS nb FROM customer WHERE c_custkey % 3 = 0 GROUP BY ALL),
+b AS (SELECT c_custkey % 15 AS key, count(*) AS nb FROM customer GROUP BY ALL),
 j AS (SELECT coalesce(cl.event, p.event) AS event, coalesce(cl.key, p.key) AS key, coalesce(cl.n, 0) AS num_claims, coalesce(p.n, 0) AS num_policies
       FROM claims cl FULL JOIN pols p ON cl.event = p.event AND cl.key = p.key),
 k AS (SELECT j.*, coalesce(b.nb, 0) AS num_buildings, least(num_claims, coalesce(b.nb, 0)) AS num_presence FROM j LEFT JOIN b ON b.key = j.key),
@@ -99,10 +100,10 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "user_id", "ts", "event_type").filter("event_type = 'error'")
     claims = ev.inside(e, "ts", catalogue(spark)).select("event", F.col("user_id").alias("key"))
     day = lambda n: F.date_add(F.lit("2023-12-15").cast("date"), n.cast("int")).cast("timestamp_ntz")
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     o = o.select((F.col("o_custkey") % 15).alias("key"), day(F.col("o_orderkey") % 40).alias("eff"), day(F.col("o_orderkey") % 40 + F.col("o_orderkey") % 20).alias("term"))
     policies = ev.in_force(o, "eff", "term", catalogue(spark)).select("event", "key")
-    b = table(spark, sf_dir, "customer", "c_custkey").filter("c_custkey % 3 = 0").groupBy((F.col("c_custkey") % 15).alias("key")).agg(F.count("*").alias("num_buildings"))
+    b = table(spark, sf_dir, "customer", "c_custkey").groupBy((F.col("c_custkey") % 15).alias("key")).agg(F.count("*").alias("num_buildings"))
     return ev.presence_absence(claims, policies, b, ["event", "key"], "key")
 
 
@@ -177,23 +178,23 @@ def union_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys[0].unionByName(keys[1]).unionByName(keys[2]).distinct()
 
 
-@query("""SELECT n_nationkey AS chunk FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 AND c_nationkey IS NOT NULL)""")
+@query("""SELECT n_nationkey AS chunk FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 AND c_nationkey IS NOT NULL)""")
 def semi_anti_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import pending
 
-    done = table(spark, sf_dir, "customer", "c_nationkey", "c_acctbal").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("chunk"))
+    done = table(spark, sf_dir, "customer", "c_nationkey", "c_acctbal").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("chunk"))
     return pending(table(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").alias("chunk")), done, ["chunk"])
 
 
-@query("""WITH u AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v, 0 AS r FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice, 1 FROM orders WHERE o_orderkey % 3 = 1)
+@query("""WITH u AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v, 0 AS r FROM orders WHERE o_orderpriority < '3'
+UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice, 1 FROM orders WHERE o_orderpriority >= '3')
 SELECT k AS custkey, d AS day, arg_min(v, r) AS price FROM (SELECT k, d, r, max(v) AS v FROM u GROUP BY ALL) GROUP BY k, d""")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import first_source
 
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    part = lambda r: o.filter(f"o_orderkey % 3 = {r}").groupBy(F.col("o_custkey").alias("custkey"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price"))
-    return first_source([part(0), part(1)], ["custkey", "day"])
+    o = table(spark, sf_dir, "orders", "o_orderpriority", "o_custkey", "o_orderdate", "o_totalprice")
+    part = lambda urgent: o.filter((F.col("o_orderpriority") < "3") == urgent).groupBy(F.col("o_custkey").alias("custkey"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price"))
+    return first_source([part(True), part(False)], ["custkey", "day"])
 
 
 @query("""SELECT o_orderkey, rank_no FROM (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority, o_orderstatus) AS rank_no FROM orders)""")

@@ -198,33 +198,41 @@ def flowpath_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.join(hand, ["i", "j"])
 
 
-@query(f"""WITH {_CELLS}, c AS (SELECT * FROM cells WHERE k < 1200), s AS (SELECT i, j, value FROM c WHERE k % 61 = 5)
+@query(f"""WITH {_CELLS}, c AS (SELECT * FROM cells), s AS (SELECT i, j, value FROM c WHERE k % 61 = 5)
 SELECT c.i, c.j, round(min(sqrt(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0, 2))), 6) AS dist FROM c, s GROUP BY c.i, c.j""")
 def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cells(spark, sf_dir).filter("k < 1200").withColumn("site", F.col("k") % 61 == 5)
+    c = _cells(spark, sf_dir).withColumn("site", F.col("k") % 61 == 5)
     return raster.distance_transform(c, 20.0, 10.0).select("i", "j", F.round("dist", 6).alias("dist"))
 
 
-@query(f"""WITH {_CELLS}, c AS (SELECT * FROM cells WHERE k < 1200), s AS (SELECT i, j, value FROM c WHERE k = 5 OR k = 150)
+@query(f"""WITH {_CELLS}, c AS (SELECT * FROM cells), s AS (SELECT i, j, value FROM c WHERE k = 5 OR k = 150)
 SELECT c.i, c.j, arg_min(s.value, sqrt(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0 + 0.0, 2))) AS value FROM c, s GROUP BY c.i, c.j
 HAVING min(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0, 2)) < max(pow((c.i - s.i) * 20.0, 2) + pow((c.j - s.j) * 10.0, 2))""")
 def nearest_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that are as near to one site as to the other are left out, as either is right."""
-    c = _cells(spark, sf_dir).filter("k < 1200").withColumn("site", F.col("k").isin(5, 150))
+    c = _cells(spark, sf_dir).withColumn("site", F.col("k").isin(5, 150))
     sites = c.filter("site").select("i", "j", "value")
     near = raster.allocated(raster.distance_transform(c, 20.0, 10.0), sites)
     even = lambda k: F.pow((F.col("i") - k // WIDTH) * 20.0, F.lit(2.0)) + F.pow((F.col("j") - k % WIDTH) * 10.0, F.lit(2.0))
     return near.filter(even(5) != even(150))
 
 
-@query(f"""WITH RECURSIVE {_CELLS}, c AS (SELECT i, j, k % 97 = 3 AS seed FROM cells WHERE k < 1200 AND (k * 7919 % 10) < 6),
+@query(f"""WITH RECURSIVE {_CELLS}, c AS (SELECT i, j, k % 97 = 3 AS seed FROM cells WHERE (k * 7919 % 10) < 6),
 w AS (SELECT i, j FROM c WHERE seed UNION SELECT c.i, c.j FROM w JOIN c ON abs(c.i - w.i) + abs(c.j - w.j) = 1) SELECT i, j FROM w""")
 def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k = _cells(spark, sf_dir).filter("k < 1200"), F.col("k")
+    c, k = _cells(spark, sf_dir), F.col("k")
     return raster.flood_fill(c.select("i", "j", ((k * 7919) % 10 < 6).alias("mask"), (k % 97 == 3).alias("seed")))
 
 
-@query()
+_RAYS = ", ".join(f"({a}, {b})" for a, b in raster.D8.values())
+_FORMS = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in row) + "]" for row in raster.FORMS) + "]"
+
+
+@query(f"""WITH {_CELLS}, seen AS (SELECT c.i, c.j, d.a, d.b, degrees(atan((n.value - c.value) / sqrt(pow(d.a * r.r * 30.0, 2) + pow(d.b * r.r * 30.0, 2)))) AS angle
+  FROM cells c, (VALUES {_RAYS}) d(a, b), generate_series(1, 5) r(r), cells n WHERE n.i = c.i + d.a * r.r AND n.j = c.j + d.b * r.r),
+rays AS (SELECT i, j, max(angle) AS up, max(-angle) AS down FROM seen GROUP BY i, j, a, b),
+turned AS (SELECT i, j, CASE WHEN abs(up - down) < 1 THEN 0 WHEN up > down THEN 1 ELSE -1 END AS t FROM rays)
+SELECT i, j, ({_FORMS})[count(*) FILTER (t = -1) + 1][count(*) FILTER (t = 1) + 1] AS form FROM turned GROUP BY i, j""")
 def landforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.landforms(_cells(spark, sf_dir), 5, 30.0, 30.0)
 
