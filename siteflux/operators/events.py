@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A catalogue of at most so many events is broadcast; a larger one is joined by day.
+#: A catalogue of at most so many events is broadcast; a larger one is dealt out by day or span.
 SMALL_CATALOGUE = 10_000
+#: Ranges of records meet an event's midpoint in spans of so many days.
+SPAN = 32
 
 
-def _during(facts: DataFrame, events: DataFrame, test: Column) -> DataFrame:
-    n = events.limit(SMALL_CATALOGUE + 1).count()
-    return facts.join(F.broadcast(events) if n <= SMALL_CATALOGUE else events, test)
+def _sent(events: DataFrame) -> DataFrame:
+    return F.broadcast(events) if events.limit(SMALL_CATALOGUE + 1).count() <= SMALL_CATALOGUE else events
+
+
+def _spans(first: Column, last: Column, days: int) -> Column:
+    """Numbers of the spans of days that a closed range touches; none if it has no or unordered ends."""
+    number = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    return F.explode(F.when(first <= last, F.sequence(number(first), number(last))))
 
 
 def inside(facts: DataFrame, ts: str, events: DataFrame) -> DataFrame:
     """Rows of facts with each event (event, start, end) whose closed range holds their time."""
-    return _during(facts, events, F.col(ts).between(F.col("start"), F.col("end")))
+    days = events.withColumn("_day", _spans(F.col("start"), F.col("end"), 1))
+    dated = facts.withColumn("_day", F.unix_date(F.to_date(ts)).cast("long"))
+    return dated.join(_sent(days), "_day").filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("_day")
 
 
 def in_force(policies: DataFrame, opened: str, closed: str, events: DataFrame, floor: str = "2010-01-01") -> DataFrame:
     """Rows whose closed range holds an event's midpoint; midpoints before floor count as floor."""
     middle = F.greatest(F.col("start") + (F.col("end") - F.col("start")) / 2, F.lit(floor).cast("timestamp_ntz"))
-    return _during(policies, events, (F.col(opened) <= middle) & (F.col(closed) >= middle))
+    at = events.withColumn("_middle", middle).withColumn("_span", F.floor(F.unix_date(F.to_date("_middle")) / SPAN))
+    held = policies.withColumn("_span", _spans(F.col(opened), F.col(closed), SPAN))
+    return held.join(_sent(at), "_span").filter(F.col("_middle").between(F.col(opened), F.col(closed))).drop("_span", "_middle")
 
 
 def presence_absence(claims: DataFrame, policies: DataFrame, buildings: DataFrame, keys: list[str], key: str) -> DataFrame:

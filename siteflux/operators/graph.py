@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .iterate import cut
 
+#: Steps of reach() after which its parts are put together.
+COMPACT = 16
+
 
 def impute_median(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     """Nulls become the exact median of their group (aggregate and join, so no group meets in a window)."""
@@ -35,17 +38,20 @@ def reach(edges: DataFrame, sources: DataFrame, cutoff: float, most_steps: int =
     """source, node, dist: the shortest travel time to every node within the cutoff, each source
     itself included. The frontier moves one edge at a time and only better distances go on, so cycles end;
     edges are dealt once by their start, and the frontier joins them there."""
-    best = cut(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
-    frontier, e = best, edges.filter(F.col("weight") <= cutoff).select(F.col("src").alias("node"), "dst", "weight")
-    for _ in range(most_steps):
+    known = frontier = cut(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
+    e = edges.filter(F.col("weight") <= cutoff).select(F.col("src").alias("node"), "dst", "weight")
+    for k in range(most_steps):
         step = frontier.join(e, "node").select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
         step = step.filter(F.col("dist") <= cutoff).groupBy("source", "node").agg(F.min("dist").alias("dist"))
-        known = best.select("source", "node", F.col("dist").alias("_old"))
-        frontier = cut(step.join(known, ["source", "node"], "left").filter("_old IS NULL OR dist < _old").drop("_old"))
-        if not frontier.take(1):
+        old = known.groupBy("source", "node").agg(F.min("dist").alias("_old"))
+        frontier = cut(step.join(old, ["source", "node"], "left").filter("_old IS NULL OR dist < _old").drop("_old"))
+        if frontier.isEmpty():
             break
-        best = cut(best.unionByName(frontier).groupBy("source", "node").agg(F.min("dist").alias("dist")))
-    return best
+        #: Only the frontier is written; what is known is its parts, put together now and then.
+        known = known.unionByName(frontier)
+        if k % COMPACT == COMPACT - 1:
+            known = cut(known.groupBy("source", "node").agg(F.min("dist").alias("dist")))
+    return known.groupBy("source", "node").agg(F.min("dist").alias("dist"))
 
 
 def within_thresholds(reached: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -21,11 +21,13 @@ def assign(counts: DataFrame, lookup: DataFrame, key: str, item: str, replicates
     """replicate, key, item and flooded: in each replicate a key's num_presence + num_absence items are
     drawn and the first num_presence of them are 1.
 
-    Keys that draw nothing leave before the candidates are expanded, and a key's candidates are sorted
-    once for each replicate.
+    Keys that draw nothing leave before the candidates are expanded. No key draws more than the largest
+    number asked for, which is known before the plan is made: tasks drop the candidates beyond it before
+    they deal them out, so a hot key's group holds so many rows for each task at most.
     """
+    most = counts.agg(F.max(F.col("num_presence") + F.col("num_absence"))).first()[0] or 0
     asked = counts.filter("num_presence + num_absence > 0").select(key, "num_presence", "num_absence")
     rows = asked.join(lookup.select(key, item), key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     w = Window.partitionBy("replicate", key).orderBy(hash_order(seed, "replicate", key, item), item)
-    drawn = rows.withColumn("_n", F.row_number().over(w)).filter("_n <= num_presence + num_absence")
+    drawn = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= int(most)).filter("_n <= num_presence + num_absence")
     return drawn.select("replicate", key, item, (F.col("_n") <= F.col("num_presence")).cast("int").alias("flooded"))
