@@ -5,14 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the folder named in spark.checkpoint.dir, which all executors share, so
-    that a lost executor costs no earlier round. Only where none is set a temporary folder serves."""
+    that a lost executor costs no earlier round."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/siteflux-{uuid.uuid4().hex}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a temporary one only where all executors are threads of
+    this process, as no other could read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/siteflux-{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 
 @dataclass
 class PrefixMatch:
@@ -58,13 +60,13 @@ class PrefixMatch:
     def run(self, records: DataFrame, candidates: DataFrame, record_id: str, candidate_id: str) -> tuple[DataFrame, DataFrame]:
         """(record_id, match_key, match_type, match_precision, num_matches) for each record, and the
         distinct (match_key, candidate_id)."""
-        # to_json leaves nulls out but names the rest, so it tells combinations apart
-        combo = F.xxhash64(F.to_json(F.struct(*self.attributes)))
-        cls = F.xxhash64(F.to_json(F.struct(*self._held())))
+        # to_json leaves nulls out but names the rest, so it tells combinations apart; 128 bits of it do
+        combo = F.md5(F.to_json(F.struct(*self.attributes)))
+        cls = F.md5(F.to_json(F.struct(*self._held())))
         combos = records.select(combo.alias("_combo"), *self.attributes).dropDuplicates(["_combo"])
         keyed = candidates.withColumn("_class", cls)
         classes = keyed.groupBy("_class", *self._held()).agg(F.count("*").alias("_rows"))
-        depths = self._depths(combos, classes)
+        depths = cut(self._depths(combos, classes))  # read twice
         best = depths.groupBy("_combo", "d").agg(F.sum("_rows").alias("n")).groupBy("_combo")
         best = best.agg(F.max(F.struct("d", "n")).alias("_b")).select("_combo", F.col("_b.d").alias("match_precision"), F.col("_b.n").alias("num_matches"))
         found = combos.join(best, "_combo", "left").na.fill(0, ["match_precision", "num_matches"])

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 # The reference settings that have an equivalent here.
 SETTINGS = {"stepSize": 0.01, "maxDepth": 4, "minInstancesPerNode": 1000, "minInfoGain": 0.1, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"}
 
@@ -22,7 +24,8 @@ def fold_of(block: str, folds: int, seed: int) -> Column:
 @dataclass
 class BlockedBoosting:
     """fit() finds, for each fold of blocks, the round from which the held-out error no longer falls by
-    min_delta, and refits all rows with the mean of those rounds."""
+    min_delta within patience rounds, and refits all rows with the mean of those rounds, cut to a whole
+    number. keep_held_out: held_out has all rows with the prediction of the folds that never saw them."""
 
     features: list[str]
     outcome: str
@@ -32,42 +35,88 @@ class BlockedBoosting:
     settings: dict = field(default_factory=lambda: dict(SETTINGS))
     rounds: int = 2000
     folds: int = 5
+    patience: int = 100
     min_delta: float = 1e-5
     seed: int = 1
+    keep_held_out: bool = False
     model: object = None
     stages: list = field(default_factory=list)
+    medians: dict = field(default_factory=dict)
+    best: list = field(default_factory=list)
+    held_out: DataFrame | None = None
 
     def _booster(self, rounds: int) -> GBTRegressor:
         extra = {"weightCol": self.weight} if self.weight else {}
         return GBTRegressor(featuresCol="_x", labelCol=self.outcome, predictionCol="prediction", maxIter=rounds, seed=self.seed, **self.settings, **extra)
 
     def _vectors(self, data: DataFrame) -> DataFrame:
+        """Nulls and NaN of numbers become the training rows' median, beside a column that marks them."""
+        for f, middle in self.medians.items():
+            known = F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+            data = data.withColumns({f"_{f}": F.coalesce(known, F.lit(middle)), f"_{f}_none": known.isNull().cast("double")})
         for s in self.stages:
             data = s.transform(data)
         return data
 
-    def fit(self, data: DataFrame) -> BlockedBoosting:
-        self.stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep").fit(data) for c in self.categorical]
-        inputs = [f"_{f}" if f in self.categorical else f for f in self.features]
-        self.stages.append(VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="skip"))
-        rows = self._vectors(data).withColumn("_fold", fold_of(self.block, self.folds, self.seed)).persist()
-        best = []
-        for k in range(self.folds):
-            test = rows.filter(F.col("_fold") == k)
-            if not test.take(1):
-                continue
-            errors = self._booster(self.rounds).fit(rows.filter(F.col("_fold") != k)).evaluateEachIteration(test, "squared")
+    def _rounds(self, train: DataFrame, test: DataFrame) -> int:
+        """The round from which the error on test has not fallen by min_delta for patience rounds. The rounds
+        that are fitted double until that is known, so that a quick end costs few of them."""
+        n = min(self.rounds, max(1, 2 * self.patience))
+        while True:
+            errors = self._booster(n).fit(train).evaluateEachIteration(test, "squared")
             low, at = float("inf"), 0
             for i, e in enumerate(errors):
                 if e < low - self.min_delta:
                     low, at = e, i
-            best.append(at + 1)
-        self.model = self._booster(max(1, round(sum(best) / max(1, len(best))))).fit(rows)
-        rows.unpersist()
+                elif i - at >= self.patience:
+                    return at + 1
+            if n >= self.rounds:
+                return at + 1
+            n = min(self.rounds, 2 * n)
+
+    def fit(self, data: DataFrame) -> BlockedBoosting:
+        numbers = [f for f in self.features if f not in self.categorical]
+        v = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+        found = data.agg(*[F.median(v(f)).alias(f) for f in numbers]).first() if numbers else {}
+        self.medians = {f: 0.0 if found[f] is None else float(found[f]) for f in numbers}
+        self.stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep").fit(data) for c in self.categorical]
+        inputs = [x for f in self.features for x in ([f"_{f}"] if f in self.categorical else [f"_{f}", f"_{f}_none"])]
+        self.stages.append(VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error"))
+        rows = cut(self._vectors(data).withColumn("_fold", fold_of(self.block, self.folds, self.seed)))
+        self.best, self.held_out = [], None
+        for k in range(self.folds):
+            test, train = rows.filter(F.col("_fold") == k), rows.filter(F.col("_fold") != k)
+            if test.isEmpty() or train.isEmpty():
+                continue
+            self.best.append(self._rounds(train, test))
+            if self.keep_held_out:
+                part = self._booster(self.best[-1]).fit(train).transform(test)
+                self.held_out = part if self.held_out is None else self.held_out.unionByName(part)
+        self.held_out = None if self.held_out is None else self._plain(self.held_out)
+        self.model = self._booster(max(1, sum(self.best) // max(1, len(self.best)))).fit(rows)
+        return self
+
+    def _plain(self, data: DataFrame) -> DataFrame:
+        return data.drop("_x", "_fold", *[f"_{c}" for c in self.features], *[f"_{c}_none" for c in self.medians])
+
+    def save(self, path: str) -> None:
+        """The model as the library writes it, and what its inputs need as a table beside it."""
+        self.model.write().overwrite().save(f"{path}/model")
+        for k, s in enumerate(self.stages):
+            s.write().overwrite().save(f"{path}/stages/{k}")
+        SparkSession.active().createDataFrame([(f, m) for f, m in self.medians.items()], "feature string, median double").write.mode("overwrite").parquet(f"{path}/medians")
+
+    def load(self, path: str) -> BlockedBoosting:
+        spark = SparkSession.active()
+        self.model = GBTRegressionModel.load(f"{path}/model")
+        n = len(self.categorical)
+        self.stages = [StringIndexerModel.load(f"{path}/stages/{k}") for k in range(n)] + [VectorAssembler.load(f"{path}/stages/{n}")]
+        self.medians = {r["feature"]: r["median"] for r in spark.read.parquet(f"{path}/medians").collect()}  # one row a feature
         return self
 
     def predict(self, data: DataFrame) -> DataFrame:
-        return self.model.transform(self._vectors(data)).drop("_x", *[f"_{c}" for c in self.categorical])
+        """Every row of data with its prediction, also those with nulls."""
+        return self._plain(self.model.transform(self._vectors(data)))
 
 
 def leave_one_out(data: DataFrame, event: str, events: list, make) -> DataFrame:

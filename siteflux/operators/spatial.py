@@ -183,27 +183,29 @@ def grid_polygons(df: DataFrame, nx: int, ny: int, x0: float, y0: float, step: f
     return g.withColumn("ring", box(left, low, left + step, low + step))
 
 
-def impute_nearest(df: DataFrame, key: str, x: str, y: str, columns: list[str], tile: float, rings: int = 64) -> DataFrame:
+def impute_nearest(df: DataFrame, key: str, x: str, y: str, columns: list[str], tile: float) -> DataFrame:
     """Rows whose columns have a null get all of them from the nearest row that has none (equals: the
-    lowest key). Tiles around the row are searched in rings that double, until none is left; a
-    hit counts once its distance lies inside the searched square."""
+    lowest key), however far. The nine tiles around a row are searched, with tiles that double until no
+    row is left; a hit counts once it is no farther than a tile is wide. Rows without finite coordinates
+    take and give nothing, and stay as they are."""
     from .iterate import cut
 
     whole = F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull()
-    full = _point_tile(df.filter(whole), x, y, tile).select("_tx", "_ty", F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), *[F.col(c).alias(f"_{c}") for c in columns])
-    open_, done, r = df.filter(~whole).select(key, x, y), None, 1
-    while r <= rings and open_.take(1):
-        around = F.sequence(F.lit(-r).cast("long"), F.lit(r).cast("long"))
-        asked = _point_tile(open_, x, y, tile).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+    placed = lambda d: d.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    full = cut(placed(df.filter(whole)).select(F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), *[F.col(c).alias(f"_{c}") for c in columns]))
+    open_, done, size = cut(placed(df.filter(~whole)).select(key, x, y)), None, tile
+    around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
+    d = F.sqrt(F.pow(F.col(x) - F.col("_x"), F.lit(2.0)) + F.pow(F.col(y) - F.col("_y"), F.lit(2.0)))
+    while not full.isEmpty() and not open_.isEmpty():
+        asked = _point_tile(open_, x, y, size).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
         asked = asked.withColumn("_tx", F.col("_tx") + F.col("_dx")).withColumn("_ty", F.col("_ty") + F.col("_dy"))
-        d = F.sqrt(F.pow(F.col(x) - F.col("_x"), F.lit(2.0)) + F.pow(F.col(y) - F.col("_y"), F.lit(2.0)))
-        hits = asked.join(full, ["_tx", "_ty"]).withColumn("_d", d)
-        best = hits.groupBy(key).agg(F.min(F.struct("_d", "_k", *[f"_{c}" for c in columns])).alias("_b")).filter(F.col("_b._d") <= r * tile)
+        hits = asked.join(_point_tile(full, "_x", "_y", size), ["_tx", "_ty"]).withColumn("_d", d).filter(F.col("_d") <= size)
+        best = hits.groupBy(key).agg(F.min(F.struct("_d", "_k", *[f"_{c}" for c in columns])).alias("_b"))
         best = cut(best.select(key, *[F.col(f"_b._{c}").alias(f"_new_{c}") for c in columns]))
         done = best if done is None else done.unionByName(best)
-        open_, r = cut(open_.join(best, key, "left_anti")), r * 2
+        open_, size = cut(open_.join(best, key, "left_anti")), size * 2
     if done is None:
         return df
     joined = df.join(done, key, "left")
