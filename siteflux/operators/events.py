@@ -65,4 +65,4 @@ def window_max(values: DataFrame, ts: str, value: str, by: list[str], events: Da
 
 def rolled_up(rows: DataFrame, identity: list[str], constants: list[str], features: list[str]) -> DataFrame:
     """Means of features for each identity; constants are the same in all of its rows."""
-    return rows.groupBy(*identity).agg(*[F.max(c).alias(c) for c in constants], *[F.avg(f).alias(f) for f in features])
+    return rows.groupBy(*identity).agg(*[F.max(c).alias(c) for c in constants], *[F.try_divide(F.sum(f).cast("double"), F.count(f)).alias(f) for f in features])

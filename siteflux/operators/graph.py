@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import cut
 
 #: Steps of reach() after which its parts are put together.
 COMPACT = 16
+#: Paths that reach() makes beforehand, as a multiple of the edges.
+GROWTH = 8
 
 
 def impute_median(df: DataFrame, columns: list[str], by: str) -> DataFrame:
@@ -36,10 +38,10 @@ def first_nodes(*frames: DataFrame, key: str) -> DataFrame:
 
 def reach(edges: DataFrame, sources: DataFrame, cutoff: float, most_steps: int = 10_000) -> DataFrame:
     """source, node, dist: the shortest travel time to every node within the cutoff, each source
-    itself included. The frontier moves one edge at a time and only better distances go on, so cycles end;
-    edges are dealt once by their start, and the frontier joins them there."""
+    itself included. Weights are not below 0. The frontier moves a stride of up to four edges at a time and
+    only better distances go on, so cycles end."""
     known = frontier = cut(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
-    e = edges.filter(F.col("weight") <= cutoff).select(F.col("src").alias("node"), "dst", "weight")
+    e = _strides(edges.filter(F.col("weight") <= cutoff).select(F.col("src").alias("node"), "dst", "weight"), cutoff)
     for k in range(most_steps):
         step = frontier.join(e, "node").select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
         step = step.filter(F.col("dist") <= cutoff).groupBy("source", "node").agg(F.min("dist").alias("dist"))
@@ -54,6 +56,22 @@ def reach(edges: DataFrame, sources: DataFrame, cutoff: float, most_steps: int =
     return known.groupBy("source", "node").agg(F.min("dist").alias("dist"))
 
 
+def _strides(edges: DataFrame, cutoff: float) -> DataFrame:
+    """The edges, and paths of two and of four of them within the cutoff as edges of their own, as long as
+    these are few: their number is known from the nodes' degrees before any path is made."""
+    edges = cut(edges.groupBy("node", "dst").agg(F.min("weight").alias("weight")))
+    most = GROWTH * edges.count()
+    for _ in range(2):
+        degree = edges.groupBy(F.col("node").alias("dst")).agg(F.count("*").alias("_n"))
+        paths = edges.join(degree, "dst").agg(F.sum("_n")).first()[0] or 0
+        if not 0 < paths <= most:
+            break
+        on = edges.select(F.col("node").alias("dst"), F.col("dst").alias("_to"), F.col("weight").alias("_w"))
+        two = edges.join(on, "dst").select("node", F.col("_to").alias("dst"), (F.col("weight") + F.col("_w")).alias("weight")).filter(F.col("weight") <= cutoff)
+        edges = cut(edges.unionByName(two).groupBy("node", "dst").agg(F.min("weight").alias("weight")))
+    return edges
+
+
 def within_thresholds(reached: DataFrame, thresholds: list[float]) -> DataFrame:
     """source, tau, node, dist: the nodes within each threshold, which nest."""
     taus = F.array(*[F.lit(float(t)) for t in thresholds])
@@ -64,9 +82,6 @@ def upstream_mean(reached: DataFrame, areas: DataFrame, values: DataFrame, by: l
     """Area-weighted mean over what each source and threshold reaches, by the columns in by; areas has
     node and area, values has node, value and by. Nodes without values don't count."""
     joined = reached.join(areas, "node").join(values, "node")
-    total = F.try_divide(F.sum(F.col("value") * F.col("area")), F.sum("area"))
-    return joined.groupBy("source", "tau", *by).agg(F.sum("area").alias("area"), total.alias("mean_value"))
-
-
-def depth_rank(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    area = F.sum("area").cast("double")
+    total = F.try_divide(F.sum(F.col("value") * F.col("area")).cast("double"), area)
+    return joined.groupBy("source", "tau", *by).agg(area.alias("area"), total.alias("mean_value"))

@@ -128,6 +128,19 @@ def leave_one_out(data: DataFrame, event: str, events: list, make) -> DataFrame:
     return out
 
 
+def assembled(data: DataFrame, features: list[str], name: str = "all") -> DataFrame:
+    """data with one array of the features, in their order; nulls stay null."""
+    return data.withColumn(name, F.array(*[F.col(f).cast("double") for f in features]))
+
+
+def chosen(data: DataFrame, features: list[str], part: list[str], name: str = "all", to: str = "part") -> DataFrame:
+    """data with the array of those features of an assembled one that a model is fitted on."""
+    missing = [f for f in part if f not in features]
+    if missing:
+        raise ValueError(f"not among the assembled features: {missing}")
+    return data.withColumn(to, F.array(*[F.get(name, F.lit(features.index(f))) for f in part]))
+
+
 def weighted_logistic(data: DataFrame, features: list[str], outcome: str, weight: str | None = None, c: float = 1.0):
     """L2-penalised logistic regression whose penalty is 1 / (2 c), as for summed losses; the
     library averages losses over the weights' sum, hence the conversion."""

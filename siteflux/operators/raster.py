@@ -22,6 +22,23 @@ def scaled(value: Column, factor: float = 100.0) -> Column:
     return (value * factor).cast("int")
 
 
+def shape_of(cells: DataFrame) -> DataFrame:
+    """One row: rows, columns, cells and repeats (cells that share a place); an empty raster has none."""
+    one = cells.groupBy("i", "j").agg(F.count("*").alias("_n"))
+    return one.agg(
+        (F.coalesce(F.max("i") - F.min("i") + 1, F.lit(0))).cast("long").alias("rows"), (F.coalesce(F.max("j") - F.min("j") + 1, F.lit(0))).cast("long").alias("columns"),
+        F.count("*").alias("cells"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("repeats"),
+    )
+
+
+def require_shape(cells: DataFrame, rows: int, columns: int) -> DataFrame:
+    """cells, if they are a whole raster of that shape; one aggregate, else an error."""
+    got = shape_of(cells).first()
+    if (got["rows"], got["columns"], got["cells"], got["repeats"]) != (rows, columns, rows * columns, 0):
+        raise ValueError(f"expected {rows} x {columns} cells, found {got.asDict()}")
+    return cells
+
+
 def step_of(direction: Column, dy: float, dx: float) -> tuple[Column, Column, Column]:
     """Row step, column step and length of a D8 direction; other codes stay in place."""
     table = lambda k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for c, s in D8.items() for v in (c, s[k])]), direction), F.lit(0))

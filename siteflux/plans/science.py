@@ -57,19 +57,18 @@ def upstream_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_REACH}, b AS (SELECT source, node, min(dist) AS dist FROM r GROUP BY ALL)
-SELECT b.source, t.tau, q.ev, round(sum(p.p_size + 1.0), 4) AS area, round(sum(p.p_retailprice * (1 + q.ev) * (p.p_size + 1.0)) / sum(p.p_size + 1.0), 4) AS mean_value
+SELECT b.source, t.tau, q.ev, sum(p.p_size + 1)::DOUBLE AS area, sum(p.p_retailprice::DECIMAL(18, 2) * (1 + q.ev) * (p.p_size + 1))::DOUBLE / sum(p.p_size + 1)::DOUBLE AS mean_value
 FROM b JOIN (VALUES (0.0::DOUBLE), (3.0), (9.0)) t(tau) ON b.dist <= t.tau JOIN part p ON p.p_partkey = b.node, (VALUES (0), (1)) q(ev) GROUP BY ALL""")
 def upstream_precipitation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
-    areas = p.select(F.col("p_partkey").alias("node"), (F.col("p_size") + 1.0).alias("area"))
+    areas = p.select(F.col("p_partkey").alias("node"), (F.col("p_size") + 1).cast("decimal(10,0)").alias("area"))
     values = p.select(F.col("p_partkey").alias("node"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ev"), "p_retailprice")
-    values = values.select("node", "ev", (F.col("p_retailprice") * (1 + F.col("ev"))).alias("value"))
-    out = graph.upstream_mean(graph.within_thresholds(_reached(spark, sf_dir), [0.0, 3.0, 9.0]), areas, values, ["ev"])
-    return out.select("source", "tau", "ev", F.round("area", 4).alias("area"), F.round("mean_value", 4).alias("mean_value"))
+    values = values.select("node", "ev", (F.col("p_retailprice").cast("decimal(18,2)") * (1 + F.col("ev"))).cast("decimal(18,2)").alias("value"))
+    return graph.upstream_mean(graph.within_thresholds(_reached(spark, sf_dir), [0.0, 3.0, 9.0]), areas, values, ["ev"])
 
 
-@query("""SELECT c.c_custkey, any_value(c.c_mktsegment) AS segment, round(sum(o.o_totalprice::DECIMAL(18, 2))::DOUBLE / count(o.o_totalprice), 3) AS mean_price,
-round(sum(l.q)::DOUBLE / count(l.q), 3) AS mean_quantity, round(sum(l.d)::DOUBLE / count(l.d), 5) AS mean_discount
+@query("""SELECT c.c_custkey, any_value(c.c_mktsegment) AS segment, sum(o.o_totalprice::DECIMAL(18, 2))::DOUBLE / count(o.o_totalprice) AS mean_price,
+sum(l.q)::DOUBLE / count(l.q) AS mean_quantity, sum(l.d)::DOUBLE / count(l.d) AS mean_discount
 FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT l_orderkey, sum(l_quantity::DECIMAL(18, 2)) AS q, round(sum(l_discount::DECIMAL(18, 2))::DOUBLE / count(*), 6)::DECIMAL(18, 6) AS d FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey GROUP BY c.c_custkey""")
 def feature_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_discount").groupBy("l_orderkey")  # noqa: E741
@@ -80,8 +79,7 @@ def feature_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", exact("o_totalprice").alias("mean_price"))
     c = table(spark, sf_dir, "customer", "c_custkey", F.col("c_mktsegment").alias("segment"))
     rows = c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    out = ev.rolled_up(rows, ["c_custkey"], ["segment"], ["mean_price", "mean_quantity", "mean_discount"])
-    return out.select("c_custkey", "segment", F.round("mean_price", 3).alias("mean_price"), F.round("mean_quantity", 3).alias("mean_quantity"), F.round("mean_discount", 5).alias("mean_discount"))
+    return ev.rolled_up(rows, ["c_custkey"], ["segment"], ["mean_price", "mean_quantity", "mean_discount"])
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS share, round(1.0 / count(*) OVER (PARTITION BY l_orderkey), 9) AS uniform FROM lineitem""")

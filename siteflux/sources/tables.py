@@ -41,6 +41,25 @@ def first_source(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
 
 
+def first_known(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each key: for each other column its first value that isn't null, by order."""
+    others = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in others])
+
+
+def steps(spark: SparkSession, first: int, last: int, step: int) -> DataFrame:
+    """value: first, first + step, ... below last, as a range over years or events."""
+    return spark.range(first, last, step).select(F.col("id").alias("value"))
+
+
+def set_aside(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with all of the columns, and those that lack any."""
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    return df.filter(whole), df.filter(~whole)
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
