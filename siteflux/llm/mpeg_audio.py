@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
+from .textbatch import lean
 
 UNIT = 576
 FILL = 255
@@ -218,7 +219,7 @@ def _parse_table(data: bytes, at: int, h: Header, out: Stream) -> bool:
             if flags & 4:
                 out.seek = data[p : p + 100]
             return True
-    if data[at + 36 : at + 40] == b"VBRI":
+    if data[at + 36 : at + 40] == b"VBRI" and len(data) >= at + 62:
         out.table = "VBRI"
         out.table_bytes, out.table_frames, n, _, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
         out.seek = data[at + 62 : at + 62 + n * width]
@@ -312,7 +313,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "media"],
             )
 
-    return _columns(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return frugal(_columns(docs)).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
@@ -338,8 +339,8 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
                 ["doc_id", "frames", "samples", "hertz", "duration_us", "seek_offsets", "bad_checksums", "skipped_bytes", "rate_table", "feature"],
             )
 
-    return df.select(F.col("doc_id").cast("long"), F.col(media).alias("media")).mapInArrow(
-        run,
+    return frugal(df).select(F.col("doc_id").cast("long"), F.col(media).alias("media")).mapInArrow(
+        lean(run),
         "doc_id long, frames long, samples long, hertz int, duration_us long, seek_offsets array<long>, "
         "bad_checksums long, skipped_bytes long, rate_table string, feature string",
     )
@@ -360,4 +361,4 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             names = [x.split()[0] for x in DIGESTS.split(", ")]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
 
-    return _columns(table(spark, sf_dir, "documents")).mapInArrow(run, DIGESTS)
+    return frugal(_columns(table(spark, sf_dir, "documents"))).mapInArrow(lean(run), DIGESTS)

@@ -270,6 +270,18 @@ def test_audio_damage_and_foreign_tables():
         assert len(mpeg_audio.read_stream(junk).offsets) == 0
 
 
+@given(st.lists(st.one_of(st.binary(max_size=80), st.sampled_from([b"\xff\xfb\x90\x00", b"\xff\xfa\x18\xc0", b"VBRI", b"Xing\x00\x00\x00\x07", b"ID3\x03\x00\x10\x00\x00\x00\x7f", b"APETAGEX", b"TAG", bytes(32), mpeg_audio.write_stream(bytes(576))])), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_audio_reader_never_raises(parts):
+    s = mpeg_audio.read_stream(b"".join(parts))
+    assert len(s.offsets) == sum(s.kbits.values()) and s.skipped >= 0
+    mpeg_audio.feature_of(s)
+
+
+def test_audio_short_table():
+    mpeg_audio.read_stream(b"\xff\xfb\x14\x00".ljust(36, b"\0") + b"VBRI" + bytes(12))
+
+
 def test_audio_columns(documents, clash):
     texts = [None, "", "abc", "x" * 577, "abc"]
     media = mpeg_audio.to_media(clash(documents(texts)))
