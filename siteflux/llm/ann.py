@@ -31,6 +31,8 @@ LIST_SIZE = 192
 MOST_LISTS = 16_384
 SAMPLE_NUMBERS = 16_000_000
 COPIES = 4
+#: About so many vectors, and so many queries, of a list meet in one group.
+MOST_HELD, MOST_ASKING = 8192, 65_536
 COPY_RATIO = 1.10
 DEGREE = 16
 COPY_BEAM = 16
@@ -72,10 +74,15 @@ class Index:
     largest: float  # norm
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        """Rows of the index: one more component makes all norms equal."""
-        rest = np.sqrt(np.maximum(self.largest**2 - (x.astype("float64") ** 2).sum(1), 0))
+        """Rows of the index, in units of the largest norm: one more component makes all norms equal."""
+        x = x.astype("float64") / self.largest
+        rest = np.sqrt(np.maximum(1 - (x**2).sum(1), 0))
         return np.concatenate([x, rest[:, None]], 1).astype("float32")
 
+    def asked(self, x: np.ndarray) -> np.ndarray:
+        """Queries in the same units."""
+        return np.pad((x.astype("float64") / self.largest).astype("float32"), ((0, 0), (0, 1)))
+
     def near(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The centroids that the walk finds for each row, nearest first, and their distances."""
         n, beam = len(x), min(beam, len(self.centroids))
@@ -158,9 +165,12 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     smaller vec_id. Fewer than k candidates give fewer rows, and an empty table none.
     """
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<float>")
+    #: Float vectors stay as they are; all others are doubles, so that scores are those of the original numbers.
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    code = "<f4" if kind == "float" else "<f8"
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = vectors.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(_finite(F.col("v")))
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float")).alias("v"))
+    rows = rows.select("vec_id", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast(kind)).alias("v"))
     rows = rows.select("vec_id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
     distinct = rows.groupBy("a", "b", "vec_id").agg(F.count("*").alias("_rows"), F.first("v").alias("v"))
     ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
@@ -172,7 +182,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     asking = asked.select(F.col("qa").alias("a"), F.col("qb").alias("b")).distinct().withColumn("asked", F.lit(True))
     classes = cut(classes.join(asking, ["a", "b"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    found = classes.agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.max(F.size("v")).alias("d")).first()
+    found = classes.agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.max(F.size("v")).alias("d"), F.count_if("asked").alias("q")).first()
     result = "query_id long, rank int, vec_id long, score double"
     if not found["n"]:
         return spark.createDataFrame([], result)
@@ -181,14 +191,20 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     picked = classes.select("v", F.xxhash64("a", "b").alias("h"))
     if found["n"] > most:
         picked = picked.filter(F.pmod(F.col("h"), F.lit(1 << 20)) < int((1 << 20) * most / found["n"]))
-    index = spark.sparkContext.broadcast(build(_matrix(picked.orderBy("h").toPandas()["v"], dim), found["n"], found["m"]))  # at most MOST_LISTS centroids
+    made = build(_matrix(picked.orderBy("h").toPandas()["v"], dim, code), found["n"], found["m"])
+    index = spark.sparkContext.broadcast(made)  # at most MOST_LISTS centroids
+    #: Beyond MOST_LISTS lists grow with the input: each then meets its askers in several groups of bounded size.
+    lists = len(made.centroids)
+    parts = max(1, -(-found["n"] * COPIES // (lists * MOST_HELD)))
+    sides = max(1, -(-found["q"] * READ_BEAM // (lists * MOST_ASKING)))
 
     def assign(batches):
         for b in batches:
-            x, asks = _matrix(b["v"], dim), b["asked"].to_numpy(bool)
+            x, asks = _matrix(b["v"], dim, code), b["asked"].to_numpy(bool)
             copies = index.value.lists(index.value.lift(x), COPY_RATIO, COPY_BEAM, COPIES)
-            reads = index.value.lists(np.pad(x[asks], ((0, 0), (0, 1))), READ_RATIO, READ_BEAM, READ_BEAM)
-            blob = [r.tobytes() for r in x.astype("<f4")]
+            reads = index.value.lists(index.value.asked(x[asks]), READ_RATIO, READ_BEAM, READ_BEAM)
+            blob = [r.tobytes() for r in x.astype(code)]
+            copies, reads = [_spread(c, b["a"].iat[i], parts, sides, 0) for i, c in enumerate(copies)], [_spread(r, q, sides, parts, 1) for r, q in zip(reads, b["a"].to_numpy()[asks])]
             sizes = [len(c) for c in copies]
             yield pd.DataFrame(
                 {
@@ -212,14 +228,14 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
         held, asks = group[~group["asks"]], group[group["asks"]]
         out = {"qa": [], "qb": [], "ca": [], "cb": [], "vec_id": [], "rows": [], "score": []}
         if len(held) and len(asks):
-            x = np.frombuffer(b"".join(held["v"]), "<f4").reshape(len(held), -1).astype("float64")
+            x = np.frombuffer(b"".join(held["v"]), code).reshape(len(held), -1).astype("float64")
             sizes = held["ids"].map(len).to_numpy()
             ids, of = np.concatenate(held["ids"].to_numpy()), np.repeat(np.arange(len(held)), sizes)
             rows = np.concatenate(held["rows"].to_numpy())
             repeated = len(np.unique(ids)) < len(ids)
             for i in range(0, len(asks), 256):
                 part = asks.iloc[i : i + 256]
-                q = np.frombuffer(b"".join(part["v"]), "<f4").reshape(len(part), -1).astype("float64")
+                q = np.frombuffer(b"".join(part["v"]), code).reshape(len(part), -1).astype("float64")
                 scores = q @ x.T
                 for j in range(len(part)):
                     s = scores[j][of]
@@ -234,7 +250,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
                     out["vec_id"].append(ids[top]), out["rows"].append(rows[top]), out["score"].append(s[top])
         return pd.DataFrame({n: np.concatenate(c) if c else np.zeros(0, "float64" if n == "score" else "int64") for n, c in out.items()})
 
-    placed = classes.select("a", "b", "ids", "rows", "v", "asked").mapInPandas(assign, "list int, a long, b long, ids array<long>, rows array<long>, v binary, asks boolean")
+    placed = classes.select("a", "b", "ids", "rows", "v", "asked").mapInPandas(assign, "list long, a long, b long, ids array<long>, rows array<long>, v binary, asks boolean")
     best = placed.groupBy("list").applyInPandas(read, "qa long, qb long, ca long, cb long, vec_id long, rows long, score double")
     best = best.groupBy("qa", "qb", "ca", "cb", "vec_id").agg(F.max("score").alias("score"), F.max("rows").alias("rows"))
     #: What enough() keeps, by the best rows of all lists.
@@ -257,12 +273,23 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     )
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim), "float32")
+def _spread(lists: np.ndarray, key: int, own: int, other: int, which: int) -> np.ndarray:
+    """The groups of a row in lists of own x other groups: one of own by its key, and all of other, so that
+    every vector of a list meets every query that reads it once."""
+    mine = int(key) % own
+    if own == other == 1:
+        return lists.astype("int64")
+    cells = [mine * other + k if not which else k * own + mine for k in range(other)]
+    return (lists.astype("int64")[:, None] * (own * other) + np.array(cells)).ravel()
+
+
+def _matrix(column: pd.Series, dim: int, code: str = "<f4") -> np.ndarray:
+    out = np.zeros((len(column), dim), code)
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search() over embeddings: every vec_id divisible by 20 against all rows."""
     return search(table(spark, sf_dir, "embeddings"))
