@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -22,8 +23,13 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, encode: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Encoded texts, grades, and each grade's number of labelled rows: at most ROWS_PER_GRADE rows
+def kept_apart(doc_id: Column) -> Column:
+    """A quarter of the rows that may be learnt from: calibrated on, not trained on."""
+    return F.floor(F.crc32(doc_id.cast("string").cast("binary")) / 3) % 4 == 3
+
+
+def sample(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, encode: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Encoded texts, grades, each grade's number of labelled rows, and which texts are kept_apart(): at most ROWS_PER_GRADE rows
     of each, in hash order of the id. Texts over LONGEST bytes, null ids, null grades and held-out
     rows are not sampled. An id with several labels takes the lowest grade, one with several texts the
     first of them."""
@@ -37,7 +43,7 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, encod
         picked = part if picked is None else picked.unionByName(part)
     rows = picked.collect()
     if not rows:
-        return [], np.zeros(0, "int64"), np.array([counts.get(g, 0) for g in range(grades)])
+        return [], np.zeros(0, "int64"), np.array([counts.get(g, 0) for g in range(grades)]), np.zeros(0, bool)
     spark = docs.sparkSession
     wanted = spark.createDataFrame(pa.table({"doc_id": [r["doc_id"] for r in rows], "_grade": [r["_grade"] for r in rows]}))
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.octet_length("text") <= LONGEST)
@@ -56,4 +62,5 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, encod
         [np.frombuffer(r["_code"], "int32") for r in got],
         np.array([r["_grade"] for r in got]),
         np.array([counts.get(g, 0) for g in range(grades)]),
+        np.array([zlib.crc32(str(r["doc_id"]).encode()) // 3 % 4 == 3 for r in got]),
     )

@@ -120,7 +120,7 @@ def train(coded: list[np.ndarray], grade: np.ndarray, counts: np.ndarray) -> Ord
 def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
     """With no labels, or one grade only, nothing is rejected."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("quality").isNotNull(), F.when(F.col("toxic") == 1, 1).otherwise(2))
-    coded, y, counts = labelled.sample(docs, labels, grade, GRADES, encode)
+    coded, y, counts, _ = labelled.sample(docs, labels, grade, GRADES, encode)
     if len(set(y.tolist())) < 2 or not sum(map(len, coded)):
         return Ordinal(np.zeros(BUCKETS), np.array([-3.0, -2.0]))
     return train(coded, y, counts)

@@ -6,7 +6,7 @@ known stem still count. Filters of widths 1 to 3 slide over the whole text, each
 kept, and a logistic layer reads the maxima. Training uses a bounded sample (see labelled.py), Adagrad,
 and the positions of the maxima. Part of the sample is kept apart to calibrate the score, so that the
 common threshold has the best balance there. Each language then has a threshold of its own from all
-rows that may be learnt from; a score never sees a language, and a language's threshold only adds a
+labelled rows of that part, sampled or not; a score never sees a language, and a language's threshold only adds a
 column beside it.
 """
 
@@ -34,6 +34,8 @@ MIN_TEXTS = 3
 BATCH = 32
 RATE = 0.1
 PREDICT = 0.7
+#: Thresholds of at most so many languages are broadcast.
+MOST_LANGUAGES = 10_000
 PAD = max(WIDTHS) - 1
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = bytes(32 if b in MARKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -64,18 +66,21 @@ class Network:
 
     def maxima(self, ids: np.ndarray, bounds: np.ndarray, where: bool = False):
         """Each text's maxima, and their positions in ids (2, n). Texts have PAD padding words at the
-        end; bounds has one more entry than there are texts."""
+        end, and the last has twice as many; bounds has one more entry than there are texts."""
         emb = self.tables[0][ids[0]] + self.tables[1][ids[1]]
         best, at = [], []
+        pad = (bounds[1:, None] - np.arange(1, PAD + 1)).ravel()
         for f in self.filters:
             n = len(emb) - len(f) + 1
             z = emb[:n] @ f[0]
             for j in range(1, len(f)):
                 z += emb[j : j + n] @ f[j]
-            #: Windows that would cross into the next text start in its predecessor's padding.
+            #: Windows that start in padding count as padding alone: they would reach into the next text.
+            z[pad] = 0
             top = np.maximum.reduceat(z, bounds[:-1])
             if where:
-                at.append(np.stack([a + z[a:b].argmax(0) for a, b in zip(bounds[:-1], np.minimum(bounds[1:], n))]))
+                first = np.stack([a + z[a:b].argmax(0) for a, b in zip(bounds[:-1], bounds[1:])])
+                at.append(np.where(first >= bounds[1:, None] - PAD, ids.shape[1] - 2 * PAD, first))
             best.append(top)
         return np.concatenate(best, 1), at
 
@@ -180,20 +185,21 @@ def _odds(coded: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """With no labels, or labels of one class only, the score is that of a network without weights:
     0.5, or 0 or 1 as all labels say."""
-    coded, grade, counts = labelled.sample(docs, labels, F.col("toxic"), 2, encode)
+    coded, grade, counts, apart = labelled.sample(docs, labels, F.col("toxic"), 2, encode)
     if len(set(grade.tolist())) < 2:
         zero = np.zeros(FILTERS * len(WIDTHS), "float32")
         blank = Network(np.zeros((2, BUCKETS, SIZE), "float32"), [np.zeros((w, SIZE, FILTERS), "float32") for w in WIDTHS], zero, zero, 0.0)
         blank.scale = (1.0, 0.0 if not len(grade) else 40.0 * (2 * int(grade[0]) - 1))
         return blank
-    return finish(coded, grade.astype("float64"), counts)
+    return finish(coded, grade.astype("float64"), counts, apart)
 
 
-def finish(coded: list[np.ndarray], y: np.ndarray, counts: np.ndarray) -> Network:
-    """Trains on three of four texts and calibrates on the fourth."""
-    keep = np.arange(len(coded)) % 4 == 3
+def finish(coded: list[np.ndarray], y: np.ndarray, counts: np.ndarray, keep: np.ndarray) -> Network:
+    """Trains on the texts that are not kept apart and calibrates on those that are."""
+    if keep.all() or len(set(y[~keep])) < 2:
+        keep = np.zeros(len(coded), bool)
     net = train([c for c, k in zip(coded, keep) if not k], y[~keep])
-    margin = net.margins([c for c, k in zip(coded, keep) if k]).astype("float64")
+    margin = net.margins([c for c, k in zip(coded, keep) if k]).astype("float64") if keep.any() else np.zeros(0)
     a = max(0.5, boosting.platt(margin, y[keep])[0]) if len(set(y[keep])) == 2 else 1.0
     #: The margin with the best F1 on the part kept apart, at the labels' true shares, scores PREDICT.
     share = np.where(y[keep] == 1, counts[1] / max(1.0, y[keep].sum()), counts[0] / max(1.0, (1 - y[keep]).sum()))
@@ -214,9 +220,10 @@ def best_cut(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def language_thresholds(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """lang and lang_threshold: the least score, in steps of 0.05, at which the labelled rows that may
-    be learnt from have their best F1 in that language. Aggregates only."""
-    known = labels.filter(~labelled.held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long")).agg(F.min("toxic").alias("_y"))
+    """lang and lang_threshold: the least score, in steps of 0.05, at which the labelled rows that are kept
+    apart from training have their best F1 in that language. Aggregates only."""
+    id_ = F.col("doc_id").cast("long")
+    known = labels.filter(~labelled.held_out(id_) & labelled.kept_apart(id_)).groupBy(F.col("doc_id").cast("long")).agg(F.min("toxic").alias("_y"))
     cells = scored.join(known.dropna(), "doc_id").groupBy("lang", F.floor(F.col("score") * 20).cast("int").alias("_cell"))
     cells = cells.agg(F.sum(F.col("_y").cast("long")).alias("_hits"), F.count("*").alias("_n"))
     grid = F.explode(F.sequence(F.lit(2), F.lit(19))).alias("_step")
@@ -253,10 +260,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, as score() has it, and its language's threshold: that of all, if it has none."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = cut(score(docs, fit(docs, labels)))
-    by_lang = language_thresholds(scored, labels).withColumnRenamed("lang", "_lang")
-    joined = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    by_lang = cut(language_thresholds(scored, labels).withColumnRenamed("lang", "_lang"))
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= MOST_LANGUAGES else by_lang
+    joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     mark = F.coalesce("lang_threshold", F.lit(PREDICT))
     return joined.select(
         "doc_id", "held_out", "score", "predicted", mark.alias("lang_threshold"), F.when(F.col("score") >= mark, 1).otherwise(0).alias("lang_flag")
