@@ -61,14 +61,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, with doc_id, size, source_size, target, taken, offset, slope,
     order and row, in no particular order: how many of the document's words the mix takes, repeats
-    counted. row is a hash of source and text, which tells rows of one id apart.
+    counted. row is a hash of the whole row, which tells rows of one id apart.
 
     A null text has no words and gives none. Documents without an id, and repeated rows, count each
-    as a document. An empty table gives no rows. Only doc_id, source and text are read.
+    as a document. An empty table gives no rows.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("row")))
-    keyed = sizes.withColumn("order", key)
+    #: Of the text too, so that rows of one id, or of none, don't meet in one bucket.
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(docs).alias("row"), key.alias("order")))
+    keyed = sizes
     keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("order", 1, 7), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int"))
     sums = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,8 +86,9 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
-def row_key() -> Column:
-    return F.xxhash64("source", "text")
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a whole row (maps, which have no order, left out), which tells rows of one id apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
 
 
 def taken_words(offset: Column) -> Column:
@@ -117,8 +119,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     readings = training_order(mix(docs)).filter(2 * F.col("words") >= F.col("size"))
     readings = readings.select("doc_id", "row", "position", "order")
     #: Whole rows travel as one column, so that no name of docs can clash.
-    texts = docs.select(F.col("doc_id").alias("_id"), row_key().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
-    texts = texts.dropDuplicates(["_id", "_row"])
+    texts = docs.select(F.col("doc_id").alias("_id"), row_key(docs).alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"))
+    texts = texts.dropDuplicates(["_id", "_row"])  # equal rows: each has readings of its own
     joined = texts.join(readings, (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
     return joined.orderBy("position", "order").select("_whole.*")
 
@@ -126,7 +128,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes and its first training position, range-sorted
     by that; documents that are not taken have none and come last."""
-    mixed = mix(table(spark, sf_dir, "documents"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     first = F.when(F.col("taken") > 0, F.round(position_of(F.col("offset").cast("double") / F.col("target"), F.col("slope")), 9))
     ordered = mixed.withColumn("position", first).orderBy(F.col("position").asc_nulls_last(), "order", "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -135,7 +137,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
 by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 weighed AS (

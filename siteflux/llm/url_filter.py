@@ -1,7 +1,8 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact hash join.
 
 An entry is a host and a path; its canonical form is the two joined, like ``example.com/en/``. A url
-meets an entry if its host is the entry's or a subdomain of it and its path starts with the entry's.
+meets an entry if its host is the entry's or a subdomain of it and its path starts with the entry's. Rules
+judge the host as the url has it, the list the canonical one, without user, port and closing dots.
 Entries' paths end with ``/``. A url is therefore looked up under every suffix of its host and every
 prefix of its path that ends with ``/``, as deep as the deepest entry.
 
@@ -59,6 +60,11 @@ def _after_scheme(url: Column) -> Column:
     return F.coalesce(F.get(F.split(url, "://", 2), F.lit(1)), F.lit(""))
 
 
+def canonical_host(host: Column) -> Column:
+    """A host as entries are listed: without user, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", ""), r"\.+\z", "")
+
+
 def _upto(name: str, mark: str, k: Column) -> Column:
     return F.call_function("substring_index", F.col(name), F.lit(mark), k)
 
@@ -129,23 +135,25 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         F.when(F.length("_head") < F.length("path"), F.concat("_head", F.lit("/"))).otherwise(F.col("_head")),
     )
     heads = rows.filter("host != ''").select("host", "_head").distinct()
-    names = F.split("host", r"\.")
-    depth = F.least(F.size(names), F.lit(labels))
-    suffixes = F.transform(F.sequence(F.lit(1), depth), lambda k: _upto("host", ".", -k))
+    heads = heads.withColumn("_canon", canonical_host(F.col("host")))
+
+    def suffixes(name: str, is_rule: bool) -> Column:
+        depth = F.least(F.size(F.split(name, r"\.")), F.lit(labels))
+        return F.transform(F.sequence(F.lit(1), depth), lambda k: F.struct(_upto(name, ".", -k).alias("s"), F.lit(is_rule).alias("r")))
     slashes = F.size(F.split("_head", "/")) - 1
     prefixes = F.when(
         slashes > 0,
         F.transform(F.sequence(F.lit(1), slashes), lambda k: F.concat(_upto("_head", "/", k), F.lit("/"))),
     ).otherwise(F.array().cast("array<string>"))
     probes = (
-        heads.select("host", "_head", F.explode(suffixes).alias("_suffix"), prefixes.alias("_prefixes"))
+        heads.select("host", "_head", F.explode(F.concat(suffixes("host", True), suffixes("_canon", False))).alias("_suffix"), prefixes.alias("_prefixes"))
         .select("host", "_head", "_suffix", F.explode("_prefixes").alias("_prefix"))
-        .select("host", "_head", F.concat("_suffix", "_prefix").alias("key"))
+        .select("host", "_head", F.concat("_suffix.s", "_prefix").alias("key"), F.col("_suffix.r").alias("is_rule"))
     )
     possible = blocked_bloom(listed, "key", n).may_hold(probes, "key")
     exact = listed.select("key", F.col("verdict").alias("_verdict"), "is_rule")
     exact = F.broadcast(exact) if n <= BROADCAST_BLOCKS else exact
-    hits = possible.join(exact, "key")
+    hits = possible.join(exact, ["key", "is_rule"])
     verdicts = hits.groupBy("host", "_head").agg(
         F.max(F.when(F.col("is_rule"), F.struct(F.length("key").alias("n"), F.col("key"), F.col("_verdict")))).alias("_rule"),
         F.max(F.when(~F.col("is_rule"), F.col("_verdict"))).alias("_listed"),
@@ -180,8 +188,8 @@ fit AS (
   SELECT u.rid, x.rule, x.verdict, row_number() OVER (PARTITION BY u.rid ORDER BY length(x.rule) DESC) AS k
   FROM urls u JOIN rules x ON (u.host = x.host OR ends_with(u.host, '.' || x.host)) AND starts_with(u.path, x.path)),
 bad AS (
-  SELECT DISTINCT u.rid FROM urls u JOIN listed l
-  ON (u.host = l.host OR ends_with(u.host, '.' || l.host)) AND starts_with(u.path, '/'))
+  SELECT DISTINCT u.rid FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*\\z', ''), '\\.+\\z', '') AS canon FROM urls) u JOIN listed l
+  ON (u.canon = l.host OR ends_with(u.canon, '.' || l.host)) AND starts_with(u.path, '/'))
 SELECT u.page_id, u.host, u.path, f.rule,
        coalesce(f.verdict, CASE WHEN b.rid IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls u LEFT JOIN fit f ON u.rid = f.rid AND f.k = 1 LEFT JOIN bad b ON u.rid = b.rid
