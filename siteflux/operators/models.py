@@ -47,7 +47,7 @@ class BlockedBoosting:
 
     def _booster(self, rounds: int) -> GBTRegressor:
         extra = {"weightCol": self.weight} if self.weight else {}
-        return GBTRegressor(featuresCol="_x", labelCol=self.outcome, predictionCol="prediction", maxIter=rounds, seed=self.seed, **self.settings, **extra)
+        return GBTRegressor(featuresCol="__vector", labelCol=self.outcome, predictionCol="prediction", maxIter=rounds, seed=self.seed, **self.settings, **extra)
 
     def _vectors(self, data: DataFrame) -> DataFrame:
         """Nulls and NaN of numbers become the training rows' median, beside a column that marks them."""
@@ -81,7 +81,7 @@ class BlockedBoosting:
         self.medians = {f: 0.0 if found[f] is None else float(found[f]) for f in numbers}
         self.stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep").fit(data) for c in self.categorical]
         inputs = [x for f in self.features for x in ([f"_{f}"] if f in self.categorical else [f"_{f}", f"_{f}_none"])]
-        self.stages.append(VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="error"))
+        self.stages.append(VectorAssembler(inputCols=inputs, outputCol="__vector", handleInvalid="error"))
         rows = cut(self._vectors(data).withColumn("_fold", fold_of(self.block, self.folds, self.seed)))
         self.best, self.held_out = [], None
         for k in range(self.folds):
@@ -97,7 +97,7 @@ class BlockedBoosting:
         return self
 
     def _plain(self, data: DataFrame) -> DataFrame:
-        return data.drop("_x", "_fold", *[f"_{c}" for c in self.features], *[f"_{c}_none" for c in self.medians])
+        return data.drop("__vector", "_fold", *[f"_{c}" for c in self.features], *[f"_{c}_none" for c in self.medians])
 
     def save(self, path: str) -> None:
         """The model as the library writes it, and what its inputs need as a table beside it."""

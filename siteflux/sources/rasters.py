@@ -41,8 +41,9 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
             q = p + 8 if size <= 4 else struct.unpack(end + "I", data[p + 8 : p + 12])[0]
             tags[_TAGS[tag]] = struct.unpack(fmt, data[q : q + size])
     w, h, kind = tags["width"][0], tags["height"][0], f"{end}{_KINDS[tags['kind'][0]]}{tags['bits'][0] // 8}"
-    if tags["packing"][0] not in (1, 8, 32946):
-        raise ValueError("only plain and deflated TIFFs are read")
+    unpack = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(tags["packing"][0])
+    if unpack is None:
+        raise ValueError("only plain, LZW-packed and deflated TIFFs are read")
     out = np.zeros((h, w), kind)
     if "tiles" in tags:
         tw, th = tags["tile_w"][0], tags["tile_h"][0]
@@ -53,7 +54,7 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
         blocks, where = [(i, 0, min(rows, h - i), w) for i in range(0, h, rows)], zip(tags["strips"], tags["sizes"])
     for (i, j, bh, bw), (q, size) in zip(blocks, where):
         raw = data[q : q + size]
-        part = np.frombuffer(raw if tags["packing"][0] == 1 else zlib.decompress(raw), kind)[: bh * bw].reshape(bh, bw)
+        part = np.frombuffer(unpack(raw), kind)[: bh * bw].reshape(bh, bw)
         if tags["predictor"][0] == 2:
             part = np.cumsum(part, 1, dtype=part.dtype)
         out[i : i + bh, j : j + bw] = part[: h - i, : w - j]
@@ -61,6 +62,46 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
     return out, {"scale": tags.get("scale"), "tie": tags.get("tie"), "nodata": float(nodata[0].strip(b"\0 ")) if nodata else None}
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from their high bits on, which grow one code early."""
+    start = [bytes([k]) for k in range(256)] + [b"", b""]
+    out, known, last, width, bits, held = bytearray(), list(start), b"", 9, 0, 0
+    for byte in data:
+        bits, held = bits << 8 | byte, held + 8
+        while held >= width:
+            held -= width
+            code, bits = bits >> held, bits & (1 << held) - 1
+            if code == 257:
+                return bytes(out)
+            if code == 256:
+                known, last, width = list(start), b"", 9
+                continue
+            entry = known[code] if code < len(known) else last + last[:1]
+            if last:
+                known.append(last + entry[:1])
+            out += entry
+            last = entry
+            width = 9 + sum(len(known) >= n for n in (511, 1023, 2047))
+    return bytes(out)
+
+
+def tiff_tiles(cells: DataFrame, left: float, top: float, dx: float, dy: float, tile: int = 512, nodata: float = -999999.0, name: str = "tile") -> DataFrame:
+    """path and content of GeoTIFFs of a cell table (i, j, value), one for each tile that has cells; missing
+    and null cells are nodata. A task holds one tile."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
+        a = np.full((tile, tile), nodata, "float64")
+        v = pdf["value"].to_numpy(float)
+        a[pdf["i"] - ti * tile, pdf["j"] - tj * tile] = np.where(np.isnan(v), nodata, v)
+        data = encode_tiff(a, (dx, dy), (left + tj * tile * dx, top - ti * tile * dy), nodata)
+        return pd.DataFrame({"path": [f"{name}_{ti}_{tj}.tif"], "content": [data]})
+
+    at = lambda c: F.floor(F.col(c) / tile).cast("long").alias(f"t{c}")
+    typed = cells.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("value").cast("double"), at("i"), at("j"))
+    return typed.groupBy("ti", "tj").applyInPandas(run, "path string, content binary")
+
+
 def encode_tiff(cells: np.ndarray, scale: tuple[float, float], origin: tuple[float, float], nodata: float | None = None) -> bytes:
     """A little-endian TIFF with one deflated strip."""
     a = np.ascontiguousarray(cells.astype(cells.dtype.newbyteorder("<")))
@@ -220,6 +261,40 @@ def read_zarr(spark: SparkSession, path: str) -> DataFrame:
     return _nan_null(files.mapInPandas(run, "file string, index array<long>, value double"))
 
 
+def zarr_template(shape: list[int], chunks: list[int], kind: str = "<f8") -> bytes:
+    """The description of an array that regions are written into later; cells that are never written read as missing."""
+    return json.dumps({"zarr_format": 2, "shape": shape, "chunks": chunks, "dtype": kind, "compressor": {"id": "zlib", "level": 1}, "fill_value": None, "order": "C", "filters": None}).encode()
+
+
+def zarr_chunks(cells: DataFrame, axes: list[str], chunks: list[int], kind: str = "<f8") -> DataFrame:
+    """path and content of the chunks that a table of cells (positions on the axes, value) touches: a region
+    write, if its edges are the chunks'. A task holds one chunk; missing cells are NaN."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = [int(pdf[f"_c{k}"].iloc[0]) for k in range(len(axes))]
+        a = np.full(chunks, np.nan)
+        a[tuple(pdf[x].to_numpy() - c * n for x, c, n in zip(axes, at, chunks))] = pdf["value"]
+        return pd.DataFrame({"path": [".".join(map(str, at))], "content": [zlib.compress(a.astype(kind).tobytes(), 1)]})
+
+    places = [F.floor(F.col(x) / n).cast("long").alias(f"_c{k}") for k, (x, n) in enumerate(zip(axes, chunks))]
+    typed = cells.select(*[F.col(x).cast("long").alias(x) for x in axes], F.col("value").cast("double"), *places)
+    return typed.groupBy(*[f"_c{k}" for k in range(len(axes))]).applyInPandas(run, "path string, content binary")
+
+
+def combined(frames: list[DataFrame], coordinates: dict[str, list[float]]) -> DataFrame:
+    """The cells (index, value) of several arrays of one grid, with the coordinates of their axes as columns. Axes have
+    bounded lists of coordinates, which travel as literals; the arrays follow each other on the first axis, whose
+    list goes on from array to array."""
+    out, before = None, 0
+    for f in frames:
+        whole = f.withColumn("index", F.transform("index", lambda v, k: v + F.when(k == 0, before).otherwise(0)))
+        out = whole if out is None else out.unionByName(whole)
+        first = next(iter(coordinates.values()))
+        before += len(first) // len(frames)
+    at = [F.get(F.array(*[F.lit(float(v)) for v in values]), F.get("index", F.lit(k)).cast("int")).alias(name) for k, (name, values) in enumerate(coordinates.items())]
+    return out.select(*at, "value")
+
+
 def write_zarr(values: np.ndarray, chunks: tuple[int, ...]) -> dict[str, bytes]:
     """File names and contents of a Zarr (version 2) array, zlib-packed."""
     meta = {"zarr_format": 2, "shape": list(values.shape), "chunks": list(chunks), "dtype": values.dtype.str, "compressor": {"id": "zlib", "level": 1}, "fill_value": None, "order": "C", "filters": None}

@@ -24,6 +24,22 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).filter("value != ''")
 
 
+def save_files(files: DataFrame, folder: str) -> int:
+    """Writes (path, content) rows as files, through Spark's own file systems, one at a time by way of the
+    driver: for layers and tiles, which are few and small, not for cubes. Returns their number."""
+    context, n = files.sparkSession.sparkContext, 0
+    hadoop = context._jvm.org.apache.hadoop.fs
+    for row in files.toLocalIterator():
+        at = hadoop.Path(f"{folder}/{row['path']}")
+        out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(bytearray(row["content"]))
+        finally:
+            out.close()
+        n += 1
+    return n
+
+
 def stacked(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

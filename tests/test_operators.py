@@ -119,6 +119,61 @@ def test_gev_recovers_parameters(spark):
     assert abs(stats.gev_likelihood(df, ["g"], "x", 2.0).first()["return_level"] - want) < 0.15
 
 
+def test_boosting_keeps_rows_with_nulls(spark, tmp_path):
+    rows = [(i % 8, float(i % 13) if i % 4 else None, ["a", "b", None][i % 3], float(i % 13) * 0.5) for i in range(240)]
+    d = spark.createDataFrame(rows, "b int, x double, c string, y double")
+    make = lambda: models.BlockedBoosting(["x", "c"], "y", "b", None, ["c"], {**models.SETTINGS, "stepSize": 0.3, "minInstancesPerNode": 1, "minInfoGain": 0.0}, rounds=4, folds=2, patience=2, keep_held_out=True)
+    m = make().fit(d)
+    out = m.predict(d)
+    assert out.count() == 240 and out.columns == [*d.columns, "prediction"] and m.held_out.count() == 240 and out.filter("prediction IS NULL").count() == 0
+    m.save(str(tmp_path))
+    again = make().load(str(tmp_path)).predict(d)
+    assert sorted(r["prediction"] for r in again.collect()) == sorted(r["prediction"] for r in out.collect())
+
+
+def test_impute_from_far(spark):
+    d = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 1e6, 3.0, None), (3, None, 1.0, None), (4, 40.0, 0.0, None), (5, 50.0, 0.0, 7.0)], "k int, x double, y double, v double")
+    out = {r["k"]: r["v"] for r in spatial.impute_nearest(d, "k", "x", "y", ["v"], 1.0).collect()}
+    assert out == {1: 5.0, 2: 7.0, 3: None, 4: 7.0, 5: 7.0}
+    assert spatial.impute_nearest(d.filter("v IS NULL"), "k", "x", "y", ["v"], 1.0).count() == 3
+
+
+def test_events_by_day_equal_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    e = spark.createDataFrame([(k, int(a), int(a + b)) for k, (a, b) in enumerate(zip(rng.integers(0, 4000, 40), rng.integers(0, 300, 40)))], "event int, a int, b int")
+    hour = lambda c: F.timestamp_add("HOUR", F.col(c), F.lit("2020-01-01").cast("timestamp_ntz"))
+    e = e.select("event", hour("a").alias("start"), hour("b").alias("end"))
+    f = spark.createDataFrame([(i, int(a), int(a + b)) for i, (a, b) in enumerate(zip(rng.integers(0, 4000, 60), rng.integers(-5, 3000, 60)))], "id int, a int, b int").select("id", hour("a").alias("t"), hour("b").alias("u"))
+    middle = F.col("start") + (F.col("end") - F.col("start")) / 2
+    for most in (10_000, 0):
+        monkeypatch.setattr(events, "SMALL_CATALOGUE", most)
+        one, two = events.inside(f, "t", e), f.join(e, F.col("t").between(F.col("start"), F.col("end")))
+        assert one.count() == two.count() and "BroadcastNestedLoopJoin" not in one._jdf.queryExecution().toString()
+        assert events.in_force(f, "t", "u", e).count() == f.join(e, (F.col("t") <= middle) & (F.col("u") >= middle)).count()
+
+
+def test_shapes(spark):
+    cells = spark.createDataFrame([(i, j, 0.0) for i in range(3) for j in range(4)], "i int, j int, value double")
+    assert raster.require_shape(cells, 3, 4) is cells
+    for bad in (cells.filter("i + j > 0"), cells.unionByName(cells), cells.limit(0)):
+        with pytest.raises(ValueError):
+            raster.require_shape(bad, 3, 4)
+
+
+def test_reach_equals_plain(spark):
+    rng = np.random.default_rng(9)
+    links = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 30, 70), rng.integers(0, 30, 70), rng.integers(0, 5, 70))}
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src int, dst int, weight double")
+    got = {(r["source"], r["node"]): r["dist"] for r in graph.reach(e, spark.range(30).select(F.col("id").cast("int").alias("node")), 6.0).collect()}
+    want = {(s, s): 0.0 for s in range(30)}
+    for _ in range(40):
+        for (a, b), w in links.items():
+            for s in range(30):
+                if (s, a) in want and want[s, a] + w <= 6 and want[s, a] + w < want.get((s, b), 99):
+                    want[s, b] = want[s, a] + w
+    assert got == want
+
+
 def test_folds_keep_blocks_whole(spark):
     f = spark.range(100).select((F.col("id") % 10).alias("b")).withColumn("f", models.fold_of("b", 5, 1))
     assert f.groupBy("b").agg(F.countDistinct("f").alias("n")).filter("n > 1").count() == 0

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siteflux.sources import rasters, tables, vectors
+from siteflux.streaming import series
 
 
 def test_tiff_round_trip(spark, tmp_path):
@@ -63,3 +64,56 @@ def test_streaming_daily_max(spark, tmp_path):
     q.awaitTermination(120)
     got = {str(r["date"]): r["value_max"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["2024-01-01"] == 7.0 and got["2024-01-02"] == 2.0
+
+
+def test_lists_and_typed_csv(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("NC\n\n  SC \n")
+    assert [r["value"] for r in tables.lines(spark, str(tmp_path / "a.txt")).collect()] == ["NC", "SC"]
+    (tmp_path / "b.csv").write_text("x,id,v\n1,007,2.5\n2,08,\n")
+    got = tables.csv(spark, str(tmp_path / "b.csv"), "x int, id string, v double", ("x",)).collect()
+    assert [tuple(r) for r in got] == [("007", 2.5), ("08", None)]
+
+
+def test_point_layer_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([(1.5, -2.0, "a", 7), (3.0, 4.0, None, 8), (0.0, 0.0, "é", None)], "x double, y double, name string, n int").coalesce(1)
+    assert tables.save_files(vectors.point_files(d, "x", "y", ["name", "n"]), str(tmp_path)) == 3
+    got = vectors.read_layer(spark, str(tmp_path), ["name", "n"]).orderBy("record").collect()
+    assert [(r["ring"][0]["x"], r["ring"][0]["y"], r["name"], r["n"]) for r in got] == [(1.5, -2.0, "a", "7"), (3.0, 4.0, None, "8"), (0.0, 0.0, "é", None)]
+    assert vectors.point_files(d.limit(0), "x", "y", ["name"]).count() == 0
+
+
+def test_tiles_and_regions(spark, tmp_path):
+    cells = spark.range(70).select((F.col("id") / 10).cast("int").alias("i"), (F.col("id") % 10).alias("j"), F.when(F.col("id") != 3, F.col("id").cast("double")).alias("value"))
+    assert tables.save_files(rasters.tiff_tiles(cells, 100.0, 50.0, 2.0, 3.0, tile=4), str(tmp_path / "t")) == 6
+    got = {(r["x"], r["y"]): r["value"] for r in rasters.read_tiffs(spark, str(tmp_path / "t")).filter("value IS NOT NULL").collect()}
+    assert got == {(101.0 + 2 * (k % 10), 48.5 - 3 * (k // 10)): float(k) for k in range(70) if k != 3}
+    z = tmp_path / "z"
+    z.mkdir()
+    (z / ".zarray").write_bytes(rasters.zarr_template([7, 10], [4, 5]))
+    for part in (cells.filter("i < 4"), cells.filter("i >= 4")):  # two regions
+        tables.save_files(rasters.zarr_chunks(part, ["i", "j"], [4, 5]), str(z))
+    cube = rasters.read_zarr(spark, str(z))
+    assert {tuple(r["index"]): r["value"] for r in cube.filter("value IS NOT NULL").collect()} == {(k // 10, k % 10): float(k) for k in range(70) if k != 3}
+    both = rasters.combined([cube, cube], {"t": [float(t) for t in range(14)], "lat": [40.0 + j for j in range(10)]})
+    assert both.agg(F.max("t"), F.max("lat")).first()[:] == (13.0, 49.0) and both.count() == 140
+
+
+def test_lzw():
+    raw, codes = bytes(range(256)) * 3 + b"aaaaabababab", []
+    for k in range(0, len(raw), 200):
+        codes += [256, *raw[k : k + 200]]
+    codes.append(257)
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    assert rasters.unpack_lzw(packed) == raw
+    run = "".join(f"{c:09b}" for c in (256, 97, 258, 259, 257))  # a, aa, aaa
+    assert rasters.unpack_lzw(bytes(int(run[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(run), 8))) == b"aaaaaa"
+
+
+def test_stream_totals(spark, tmp_path):
+    rows = spark.range(48).select(F.lit("k").alias("k"), F.timestamp_add("HOUR", F.col("id"), F.lit("2024-01-01").cast("timestamp")).alias("ts"), F.lit(1.0).alias("v"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = series.rolling_total(series.read_files(spark, str(tmp_path / "in"), rows.schema), ["k"], "ts", "v", 6)
+    series.write_table(out, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    totals = [r["total"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert max(totals) == 6.0 and len(totals) > 20
