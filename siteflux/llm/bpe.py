@@ -29,7 +29,7 @@ from .textbatch import lean
 
 VOCABULARY = "byte_bpe_50k.json"
 #: About so many bytes in each half of a worker's two caches: of pre-tokens, and of fields.
-PIECE_BYTES, FIELD_BYTES = 15_000_000, 45_000_000
+PIECE_BYTES, FIELD_BYTES = 20_000_000, 90_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -93,7 +93,7 @@ class Bpe:
         self.pieces = regex.compile(self.PATTERN)
         self.edge = regex.compile(r"\s")
         self.by_piece = _Kept(self.merge, PIECE_BYTES, lambda ids: 60 + 36 * len(ids))
-        self.by_field = _Kept(self._field, FIELD_BYTES, lambda x: 0 if x is None else 180 + len(x[0]) + len(x[2]))
+        self.by_field = _Kept(self._field, FIELD_BYTES, lambda x: 0 if x is None else 180 + len(x[0]) + len(x[1]))
         self.marks = {c: self._known(self.merge(c)) for c in ".,;:!?"}
 
     def merge(self, piece: str) -> list[int]:
@@ -137,11 +137,11 @@ class Bpe:
         by_piece = self.by_piece
         return [i for piece in self.pieces.findall(text) for i in by_piece[piece]]
 
-    def _known(self, ids: list[int]) -> tuple[str, int, bytes]:
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.strings.__getitem__, ids))
+    def _known(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(str, ids)), b"".join(map(self.strings.__getitem__, ids))
 
     def _field(self, field: str):
-        """What follows a single space: its ids as text, their count and their bytes; None if white
+        """What follows a single space: its ids as text and their bytes; None if white
         space at an end of it may belong to a longer run."""
         if field.isalpha():
             return self._known(self.merge(" " + field))
@@ -149,8 +149,8 @@ class Bpe:
             return None
         word, mark = field[:-1], field[-1]
         if mark in self.marks and word.isalpha():  # a word and a mark are two pre-tokens
-            (ids, n, back), (more, m, end) = self.by_field[word], self.marks[mark]
-            return f"{ids},{more}", n + m, back + end
+            (ids, back), (more, end) = self.by_field[word], self.marks[mark]
+            return f"{ids},{more}", back + end
         return self._known(self._plain(" " + field))
 
     def encode(self, text: str) -> list[int]:
@@ -170,9 +170,10 @@ class Bpe:
         if not any(s in text for s in self.special):
             first, *rest = text.split(" ")
             fields = list(map(self.by_field.__getitem__, rest))
-            if rest and None not in fields and first and not self.edge.match(first[-1]):
+            if rest and all(fields) and first and not self.edge.match(first[-1]):
                 fields.insert(0, self._known(self._plain(first)))
-                return sum(map(itemgetter(1), fields)), ",".join(map(itemgetter(0), fields)), b"".join(map(itemgetter(2), fields))
+                joined = ",".join(map(itemgetter(0), fields))
+                return joined.count(",") + 1, joined, b"".join(map(itemgetter(1), fields))
         ids = self.encode(text)
         return len(ids), ",".join(map(str, ids)), b"".join(map(self.strings.__getitem__, ids))
 
