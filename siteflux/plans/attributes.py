@@ -56,11 +56,13 @@ def rolling_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_type", "hour", ts.full_window(F.col("n"), 5, ["event_type"], "hour", how="sum").alias("last_five"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber * 1000000000 + l_partkey AS l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_quantity > 25 THEN l_quantity END AS quantity FROM lineitem)
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000000000 + l_partkey * 1000000000 + l_suppkey * 1000 + l_quantity::BIGINT AS l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_quantity > 25 THEN l_quantity END AS quantity FROM lineitem)
 SELECT l_orderkey, arg_min(flag, l_linenumber) FILTER (flag IS NOT NULL) AS flag, arg_min(quantity, l_linenumber) FILTER (quantity IS NOT NULL) AS quantity FROM x GROUP BY l_orderkey""")
 def first_known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
-    x = x.select("l_orderkey", (F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("l_linenumber"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("quantity"))
+    x = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    #: One order of all rows, as line numbers repeat within an order.
+    place = F.col("l_linenumber") * F.lit(10**15) + F.col("l_partkey") * F.lit(10**9) + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")
+    x = x.select("l_orderkey", place.alias("l_linenumber"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("quantity"))
     return tables.first_known(x, ["l_orderkey"], "l_linenumber")
 
 
