@@ -7,7 +7,8 @@ bounds touch and a point under its own, so joins are equi-joins that Spark can d
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,44 +131,59 @@ def polygon_lists(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
 
 def clip(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:
-    """The part of a ring inside a box: one half-plane after the other."""
-    for axis, limit, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0)):
-        out: list[tuple[float, float]] = []
-        for k, q in enumerate(ring):
-            p = ring[k - 1]
-            a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
-            if (a >= 0) != (b >= 0):
-                t = a / (a - b)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-            if b >= 0:
-                out.append(q)
-        ring = out
-    return ring
-
-
-def clipped_area(ring: Column, *box: Column) -> Column:
-    """Area of the part of a ring inside a box (x0, y0, x1, y1)."""
-
-    def one(r, *limits) -> float:
-        c = clip([(p["x"], p["y"]) for p in r], *limits)
-        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(c, [*c[1:], *c[:1]]))) / 2
+    """The part of a ring inside a box."""
+    x, y, _ = clip_rings(np.array([p[0] for p in ring], float), np.array([p[1] for p in ring], float), np.array([0, len(ring)]), *[np.array([v]) for v in (x0, y0, x1, y1)])
+    return list(zip(x.tolist(), y.tolist()))
 
-    @F.pandas_udf("double")
-    def areas(rings: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(rings, x0, y0, x1, y1)], dtype="float64")
 
-    return areas(ring, *[b.cast("double") for b in box])
+def clip_rings(x: np.ndarray, y: np.ndarray, ends: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of each ring inside its box, one half-plane after the other. The rings lie one behind the other
+    in x and y, between successive ends."""
+    for axis, limit, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0)):
+        sizes = np.diff(ends)
+        of, before, some = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(x)) - 1, sizes > 0
+        before[ends[:-1][some]] = ends[1:][some] - 1
+        b = sign * ((x, y)[axis] - limit[of])
+        a = b[before]
+        stays, crosses = b >= 0, (a >= 0) != (b >= 0)
+        t = a / np.where(crosses, a - b, 1.0)
+        keep = np.stack([crosses, stays], 1).ravel()
+        x, y = (np.stack([c[before] + t * (c - c[before]), c], 1).ravel()[keep] for c in (x, y))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, crosses.astype(int) + stays, len(sizes)))]).astype("int64")
+    return x, y, ends
+
+
+def clipped(ring: Column, *limits: Column) -> Column:
+    """The part of each ring inside its box (x0, y0, x1, y1); empty where they don't meet."""
+
+    @F.arrow_udf("array<struct<x:double,y:double>>")
+    def run(rings: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+        sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in rings.flatten().flatten())
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
+        x, y, ends = clip_rings(x, y, ends, *[v.to_numpy(zero_copy_only=False) for v in (x0, y0, x1, y1)])
+        return pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+
+    #: Else a filter on the result would work it out twice.
+    run = run.asNondeterministic()
+    return run(ring, *[v.cast("double") for v in limits])
 
 
 def grid_overlap(polygons: DataFrame, polygon: str, x0: float, y0: float, step: float) -> DataFrame:
     """polygon, i, j, overlap_area: the cells of a regular grid that each polygon covers in part.
-    Cells come from the polygon's bounds, so no grid is built. Positive areas only."""
+
+    A polygon is first cut into the grid's rows and each part then into cells, so that a long outline is copied
+    once for a row rather than for a cell, and only cells within a part's bounds arise. Positive areas only."""
     first = lambda c, o: F.floor((F.col(c) - o) / step).cast("long")
-    cells = polygons.select(polygon, "ring", *bounds(F.col("ring")))
-    cells = cells.withColumn("i", F.explode(F.sequence(first("ymin", y0), first("ymax", y0)))).withColumn("j", F.explode(F.sequence(first("xmin", x0), first("xmax", x0))))
-    left, low = x0 + F.col("j") * step, y0 + F.col("i") * step
-    part = clipped_area(F.col("ring"), left, low, left + step, low + step)
-    return cells.select(polygon, "i", "j", part.alias("overlap_area")).filter("overlap_area > 0")
+    rows = polygons.select(polygon, "ring", *bounds(F.col("ring")))
+    rows = rows.withColumn("i", F.explode(F.sequence(first("ymin", y0), first("ymax", y0))))
+    low = y0 + F.col("i") * step
+    rows = rows.select(polygon, "i", clipped(F.col("ring"), F.col("xmin"), low, F.col("xmax"), low + step).alias("ring"))
+    rows = rows.select(polygon, "i", "ring", *bounds(F.col("ring")))
+    cells = rows.withColumn("j", F.explode(F.sequence(first("xmin", x0), first("xmax", x0))))
+    left = x0 + F.col("j") * step
+    cells = cells.select(polygon, "i", "j", clipped(F.col("ring"), left, low, left + step, low + step).alias("ring"))
+    return cells.select(polygon, "i", "j", area(F.col("ring")).alias("overlap_area")).filter("overlap_area > 0")
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -23,10 +23,10 @@ def uniform_weights(df: DataFrame, by: str, name: str = "candidate_weight") -> D
     return df.withColumn(name, 1.0 / F.count("*").over(Window.partitionBy(by)))
 
 
-def fit_logistic(df: DataFrame, x: str, y: str, weight: str | None = None, c: float | None = 1.0, steps: int = 50, tol: float = 1e-10) -> tuple[float, float]:
+def fit_logistic(df: DataFrame, x: str, y: str, weight: str | None = None, c: float | None = 1.0, steps: int = 50, tol: float = 1e-10, start: tuple[float, float] = (0.0, 0.0)) -> tuple[float, float]:
     """Intercept and slope of a weighted logistic regression with an L2 penalty of 1 / (2 c) on the
-    slope (none, if c is None). Newton steps; each is one aggregate of five numbers."""
-    b0 = b1 = 0.0
+    slope (none, if c is None). Newton steps from start; each is one aggregate of five numbers."""
+    b0, b1 = start
     w = F.col(weight) if weight else F.lit(1.0)
     for _ in range(steps):
         p = logistic(F.lit(b0) + F.lit(b1) * F.col(x))
@@ -50,9 +50,9 @@ def em_reweight(df: DataFrame, by: str, x: str, y: str, weight: str, tol: float
     The model is fitted with the weights; each record's weights then follow prior * p^y (1 - p)^(1 - y),
     normalized. Stops when no weight moves by tol. Lineage is cut every few rounds; only aggregates
     reach the driver."""
-    state = cut(normalized(df, by, weight).withColumn("_prior", F.col(weight)))
+    state, b0, b1 = cut(normalized(df, by, weight).withColumn("_prior", F.col(weight))), 0.0, 0.0
     for k in range(rounds):
-        b0, b1 = fit_logistic(state, x, y, weight)
+        b0, b1 = fit_logistic(state, x, y, weight, start=(b0, b1))
         p = logistic(F.lit(b0) + F.lit(b1) * F.col(x))
         new = normalized(state.withColumn("_w", F.col("_prior") * bernoulli(p, F.col(y))), by, "_w")
         if k % keep == keep - 1 or k < 2:

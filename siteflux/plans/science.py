@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import events as ev
-from ..operators import graph, models, stats
+from ..operators import graph, models, sampling, stats
+from ..operators.iterate import cut
 from ..sources.tables import table
 from .registry import query
 
@@ -203,22 +204,35 @@ def harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulation_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean-square error of three estimators on a simulated field: all addresses, uniform candidate
-    weights, and reweighted candidates. Truth: intercept -3, slope -2."""
-    field = stats.random_field(spark, 24, 24, 9.0, seed=112263)
+    """Mean-square error and skill of four estimators on simulated fields, for two seeds: all addresses, random
+    assignment of the records to candidates (1,000 replicates), uniform candidate weights, and reweighted
+    candidates. Truth: intercept -3, slope -2."""
+    out = None
+    for seed in (112263, 112264):
+        rows = _simulated(spark, seed)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _simulated(spark: SparkSession, seed: int, size: int = 24, block: int = 4) -> DataFrame:
+    """seed, model, b0, b1, mse and skill of each estimator on one field."""
+    field = stats.random_field(spark, size, size, 9.0, seed=seed)
     p = physics.logistic(F.lit(-3.0) - 2.0 * F.col("value"))
-    u = F.pmod(F.xxhash64("i", "j"), F.lit(100_000)) / 100_000.0
-    sites = field.select((F.col("i") * 24 + F.col("j")).alias("id"), (F.floor(F.col("i") / 4) * 6 + F.floor(F.col("j") / 4)).alias("polygon"), F.col("value").alias("x"), p.alias("p"), (u < p).cast("int").alias("y")).persist()
-    claims = sites.filter(F.pmod(F.xxhash64("id"), F.lit(5)) < 2).select(F.col("id").alias("record"), "polygon", F.col("y").alias("outcome"))
-    pairs = claims.join(sites.select("polygon", "x"), "polygon").withColumn("weight", F.lit(1.0))
+    u = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(100_000)) / 100_000.0
+    sites = field.select((F.col("i") * size + F.col("j")).alias("id"), (F.floor(F.col("i") / block) * (size // block) + F.floor(F.col("j") / block)).alias("polygon"), F.col("value").alias("x"), p.alias("p"), (u < p).cast("int").alias("y"))
+    sites = cut(sites)
+    claims = sites.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(5)) < 2).select(F.col("id").alias("record"), "polygon", F.col("y").alias("outcome"))
+    places = sites.select("polygon", F.col("id").alias("candidate"), "x")
+    pairs = cut(claims.join(places, "polygon").withColumn("weight", F.lit(1.0)))
+    counts = claims.groupBy("polygon").agg(F.sum("outcome").alias("num_presence"), F.sum(1 - F.col("outcome")).alias("num_absence"))
+    drawn = sampling.assign(counts, places, "polygon", "candidate", 1000, seed).groupBy("candidate", "flooded").agg(F.count("*").cast("double").alias("weight"))
     fits = {
         "address": stats.fit_logistic(sites, "x", "y"),
-        "uniform": stats.fit_logistic(stats.normalized(pairs, "record", "weight"), "x", "outcome", "weight"),
+        "assigned": stats.fit_logistic(cut(drawn.join(places, "candidate")), "x", "flooded", "weight"),
+        "uniform": stats.fit_logistic(cut(stats.normalized(pairs, "record", "weight")), "x", "outcome", "weight"),
         "reweighted": stats.em_reweight(pairs, "record", "x", "outcome", "weight", tol=1e-3, rounds=15)[1:],
     }
-    out = None
-    for name, (b0, b1) in fits.items():
-        q = physics.logistic(F.lit(b0) + F.lit(b1) * F.col("x"))
-        row = sites.agg(F.round(F.avg(F.pow(F.col("p") - q, F.lit(2.0))), 6).alias("mse")).select(F.lit(name).alias("model"), F.lit(round(b0, 4)).alias("b0"), F.lit(round(b1, 4)).alias("b1"), "mse")
-        out = row if out is None else out.unionByName(row)
-    return out
+    models_ = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(b0).alias("b0"), F.lit(b1).alias("b1")) for name, (b0, b1) in fits.items()])
+    each = sites.select("p", "x", F.explode(models_).alias("_m")).select("p", "x", "_m.*").withColumn("q", physics.logistic(F.col("b0") + F.col("b1") * F.col("x")))
+    scores = stats.skill(each, "p", "q", ["model", "b0", "b1"])
+    return scores.select(F.lit(seed).alias("seed"), "model", F.round("b0", 4).alias("b0"), F.round("b1", 4).alias("b1"), F.round("mse", 6).alias("mse"), F.round("skill", 4).alias("skill"))

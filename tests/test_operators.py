@@ -186,3 +186,53 @@ def test_empty_tables(spark):
     assert raster.distance_transform(cells, 1.0, 1.0).count() == 0
     dry = spark.createDataFrame([(0, 0, False)], "i int, j int, site boolean")
     assert raster.distance_transform(dry, 1.0, 1.0).first()["dist"] is None
+
+
+def test_tiles_join_seamlessly(spark, monkeypatch):
+    monkeypatch.setattr(raster, "TILE", 5)
+    rng = np.random.default_rng(3)
+    z = {(i, j): None if rng.random() < 0.1 else float(rng.integers(0, 40)) for i in range(-3, 14) for j in range(17) if rng.random() > 0.05}
+    cells = spark.createDataFrame([(i, j, v) for (i, j), v in z.items()] + [(None, 1, 2.0)], "i long, j long, value double")
+    at = lambda i, j: z.get((i, j))
+
+    tpi = {(r["i"], r["j"]): r["tpi"] for r in raster.position_index(cells, 5).collect()}
+    steep = {(r["i"], r["j"]): r["slope_x1000"] for r in raster.slope(cells, 2.0, 1.0).collect()}
+    forms = {(r["i"], r["j"]): r["form"] for r in raster.landforms(cells, 3, 2.0, 1.0).collect()}
+    assert set(tpi) == set(steep) == set(forms) == set(z)
+    for (i, j), v in z.items():
+        near = [x for a, b in raster.circle(5) if (x := at(i + a, j + b)) is not None]
+        assert tpi[i, j] == (None if v is None else int((v - sum(near) / len(near)) * 100))
+        ring = [at(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+        assert (steep[i, j] is None) == (None in ring)
+        if v is None:
+            assert forms[i, j] is None
+            continue
+        lower = higher = 0
+        for a, b in raster.D8.values():
+            seen = [math.degrees(math.atan((x - v) / math.hypot(a * r * 2.0, b * r))) for r in (1, 2, 3) if (x := at(i + a * r, j + b * r)) is not None]
+            if seen and abs(max(seen) + min(seen)) >= 1:
+                higher, lower = higher + (max(seen) > -min(seen)), lower + (max(seen) <= -min(seen))
+        assert forms[i, j] == raster.FORMS[lower][higher]
+
+
+def test_distances_equal_plain(spark):
+    rng = np.random.default_rng(4)
+    sites = {(int(i), int(j)) for i, j in zip(rng.integers(0, 20, 12), rng.integers(0, 50, 12))}
+    cells = spark.createDataFrame([(i, j, (i, j) in sites) for i in range(20) for j in range(50) if rng.random() > 0.1 or (i, j) in sites], "i int, j int, site boolean")
+    for r in raster.distance_transform(cells, 3.0, 2.0).collect():
+        want = min(math.hypot(3 * (r["i"] - a), 2 * (r["j"] - b)) for a, b in sites)
+        assert r["dist"] == pytest.approx(want) and (r["near_i"], r["near_j"]) in sites
+    none = raster.distance_transform(cells.withColumn("site", F.lit(False)), 3.0, 2.0)
+    assert none.filter("dist IS NULL AND near_i IS NULL").count() == cells.count()
+
+
+def test_overlaps_add_up_to_areas(spark):
+    rng = np.random.default_rng(5)
+    rings = []
+    for k in range(30):
+        turn, far = np.sort(rng.uniform(0, 2 * np.pi, 9)), rng.uniform(1, 9, 9)
+        rings.append((k, [(float(20 + f * np.cos(t)), float(-3 + f * np.sin(t))) for t, f in zip(turn, far)]))
+    shapes = spark.createDataFrame([*rings, (30, []), (31, None)], "id int, ring array<struct<x:double,y:double>>")
+    parts = {r["id"]: r["a"] for r in spatial.grid_overlap(shapes, "id", 0.5, 0.5, 1.7).groupBy("id").agg(F.sum("overlap_area").alias("a")).collect()}
+    whole = {r["id"]: r["a"] for r in shapes.filter("id < 30").select("id", spatial.area(F.col("ring")).alias("a")).collect()}
+    assert set(parts) == set(whole) and all(parts[k] == pytest.approx(whole[k]) for k in whole)
