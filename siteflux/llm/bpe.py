@@ -74,6 +74,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.require(spec)
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         symbols = byte_symbols()
@@ -96,6 +97,16 @@ class Bpe:
         self.by_field = _Kept(self._field, FIELD_BYTES, lambda x: 0 if x is None else 180 + len(x[0]) + len(x[1]))
         self.marks = {c: self._known(self.merge(c)) for c in ".,;:!?"}
 
+    @staticmethod
+    def require(spec: dict) -> None:
+        """An error for a file of another kind than this class reads, rather than other ids."""
+        model, cutter, back = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        extras = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+        extras += [k for k in ("lstrip", "rstrip", "single_word") if any(x.get(k) for x in spec.get("added_tokens", []))]
+        kinds = (model.get("type", "BPE"), cutter.get("type"), back.get("type"), spec.get("normalizer"))
+        if kinds != ("BPE", "ByteLevel", "ByteLevel", None) or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or extras:
+            raise ValueError(f"not a plain byte-level BPE file: {kinds}, {cutter}, {extras}")
+
     def merge(self, piece: str) -> list[int]:
         """The ids of one pre-token."""
         ids = list(map(self.byte_ids.__getitem__, piece.encode()))

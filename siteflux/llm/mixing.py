@@ -14,7 +14,7 @@ gives the words that are still missing.
 
 Scale. Running word offsets need no window over a whole source: documents fall into ``BUCKETS`` hash
 buckets of their source; sums of buckets are added up first, and each bucket then runs its own
-window. Everything is a DataFrame expression.
+window. The sources themselves are ranked and added up in range-sorted parts. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -37,25 +37,39 @@ def position_of(part: Column, slope: Column) -> Column:
     return F.when(part <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * part / (b + root))
 
 
+def running(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """df with _place and _before_<column>: the number of rows, and each column's sum, ahead of a row in an
+    order without ties. Range-sorted parts run their own windows; only one row a part is added up in one task."""
+    rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("_part", F.shiftright("_id", 33)))
+    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    starts = sums.select("_part", start("_n").alias("_n"), *[start(f"_sum_{c}").alias(f"_sum_{c}") for c in columns])
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"_before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}
+    placed = rows.withColumns({"_place": F.coalesce(F.count("*").over(inside), F.lit(0)), **own}).join(starts, "_part")
+    total = {"_place": F.col("_place") + F.col("_n"), **{f"_before_{c}": F.col(f"_before_{c}") + F.col(f"_sum_{c}") for c in columns}}
+    return placed.withColumns(total).drop("_id", "_part", "_n", *[f"_sum_{c}" for c in columns])
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, weight, slope and target of each source of (source, size)."""
+    """source, source_size, weight, slope and target of each source of (source, size). However many sources
+    there are, no task sees them all; three numbers reach the driver."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighed = by_source.withColumn("weight", F.pmod(rank - 1, F.lit(3)) + 1)
-    weighed = weighed.withColumn("_cap", MAX_REPEATS * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(rest)
-    levels = weighed.withColumn("_level", level)
-    fits = F.col("_level") * F.col("weight") <= F.col("_cap")
-    shared = F.min(F.when(fits, F.struct((F.col("_cap") / F.col("weight")).alias("r"), "_level"))).over(everything)["_level"]
-    target = F.least(F.coalesce(F.col("_shared") * F.col("weight"), F.col("_cap").cast("double")), F.col("_cap").cast("double"))
+    by_name = F.col("source").asc_nulls_last()
+    weighed = running(by_source, [by_name], []).withColumn("weight", F.pmod("_place", F.lit(3)) + 1).drop("_place")
+    weighed = weighed.withColumn("_cap", MAX_REPEATS * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("weight"))
+    levels = cut(running(weighed, [F.col("_ratio"), by_name], ["_cap", "weight"]))
+    size, weight = levels.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(size).cast("long") - F.col("_before__cap")).cast("double") / (F.lit(weight).cast("long") - F.col("_before_weight"))
+    fitting = levels.withColumn("_level", level).filter(F.col("_level") * F.col("weight") <= F.col("_cap"))
+    #: The level of the first that fits; those after it have lower ones, as too much counts as capped there.
+    shared = fitting.agg(F.max("_level")).first()[0]
+    cap = F.col("_cap").cast("double")
+    target = F.least(F.coalesce(F.lit(shared).cast("double") * F.col("weight"), cap), cap)
     slope = F.element_at(F.array(*[F.lit(x) for x in SLOPES]), F.col("weight").cast("int"))
-    return levels.withColumn("_shared", shared).select(
-        "source", "source_size", "weight", slope.alias("slope"), target.alias("target")
-    )
+    return levels.select("source", "source_size", "weight", slope.alias("slope"), target.alias("target"))
 
 
 def mix(docs: DataFrame) -> DataFrame:

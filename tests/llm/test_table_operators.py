@@ -94,6 +94,21 @@ def test_mixing(documents, clash):
     assert "_key" in out.columns and abs(out.select(F.sum(F.size(F.split("text", " ")))).first()[0] - sum(want.values())) < 60 * len(want)
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {None: 40, "": 3, **{f"s{k}": rng.choice([0, 1, 5, 5, 400]) for k in range(900)}}
+    rows = spark.createDataFrame([(s, n - n // 2) for s, n in sizes.items()] + [(s, n // 2) for s, n in sizes.items()], "source string, size long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many range-sorted parts
+    try:
+        got = {r["source"]: r for r in mixing.source_targets(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = plain_targets(sizes)
+    assert set(got) == set(want) and all(math.isclose(got[s]["target"], want[s], rel_tol=1e-9) and got[s]["source_size"] == sizes[s] for s in want)
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    assert [got[s]["weight"] for s in names] == [k % 3 + 1 for k in range(len(names))]
+
+
 def test_mixing_edges(documents):
     assert mixing.mix(documents([])).count() == 0
     assert [r["taken"] for r in mixing.mix(documents([None, "", " "])).collect()] == [0, 0, 0]

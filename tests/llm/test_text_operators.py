@@ -234,6 +234,14 @@ def test_bpe_equals_library(documents, clash):
     assert d[0]["n_tokens"] == 0 and d[3]["ids"] == ids[3] and d[3]["decoded_sha256"] == hashlib.sha256(texts[2].encode()).hexdigest()
 
 
+def test_other_tokenizer_files_are_refused():
+    plain = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "decoder": {"type": "ByteLevel"}}
+    bpe.Bpe.require(plain)
+    for other in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Metaspace"}}, {"model": {"type": "BPE", "ignore_merges": True}}, {"decoder": None}):
+        with pytest.raises(ValueError):
+            bpe.Bpe.require(plain | other)
+
+
 def test_invalid_bytes_decode_like_library():
     from tokenizers import Tokenizer
 
