@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, mpeg_audio, near_dedup, pii, quality, substring_dedup, toxicity, url_filter
+from . import ann, bpe, mixing, mpeg_audio, near_dedup, pii, quality, simhash, substring_dedup, toxicity, url_filter, vector_codes, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLES = {
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
 }
