@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,15 @@ def first_nodes(*frames: DataFrame, key: str) -> DataFrame:
     return first_source(list(frames), [key])
 
 
-def reach(edges: DataFrame, sources: DataFrame, cutoff: float, most_steps: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """source, node, dist: the shortest travel time to every node within the cutoff, each source
-    itself included. Weights are not below 0. The frontier moves a stride of up to four edges at a time and
-    only better distances go on, so cycles end."""
+    itself included. Weights are not below 0, else the search might not end, so it raises an error. The frontier moves a stride of
+    up to four edges at a time and only better distances go on, until none is left, so cycles end."""
+    if edges.filter("weight < 0").take(1):
+        raise ValueError("travel times are not below 0")
     known = frontier = cut(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("dist")).distinct())
     e = _strides(edges.filter(F.col("weight") <= cutoff).select(F.col("src").alias("node"), "dst", "weight"), cutoff)
-    for k in range(most_steps):
+    for k in itertools.count():
         step = frontier.join(e, "node").select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
         step = step.filter(F.col("dist") <= cutoff).groupBy("source", "node").agg(F.min("dist").alias("dist"))
         old = known.groupBy("source", "node").agg(F.min("dist").alias("_old"))

@@ -137,23 +137,23 @@ def mosaic(frames: list[DataFrame]) -> DataFrame:
 
 
 def rasterized(shapes: DataFrame, shape: str, burn: str, cells: DataFrame, left: float, top: float, dx: float, dy: float, tile: float, fill=None) -> DataFrame:
-    """cells with the burn value of the last shape that holds their centre, else fill."""
+    """cells with the burn value of the last shape that holds their centre, else fill; holes burn nothing."""
     from . import spatial
 
     centres = cells.select("i", "j", (left + (F.col("j") + 0.5) * dx).alias("x"), (top - (F.col("i") + 0.5) * dy).alias("y"))
-    p = spatial._point_tile(centres, "x", "y", tile)
-    g = spatial._tiles(shapes.select(shape, burn, "ring", *spatial.bounds(F.col("ring"))), tile)
-    hits = p.join(g, ["_tx", "_ty"]).filter(spatial.contains(F.col("ring"), F.col("x"), F.col("y")))
-    last = hits.groupBy("i", "j").agg(F.max_by(burn, shape).alias("value"))
+    #: The burn value travels with the shape's id, one key for both.
+    named = shapes.withColumn("_named", F.struct(F.col(shape).alias("id"), F.col(burn).alias("burn")))
+    last = spatial._hits(centres, named, "_named", "x", "y", tile).groupBy("i", "j").agg(F.max_by("_named.burn", "_named.id").alias("value"))
     return cells.select("i", "j").join(last, ["i", "j"], "left").select("i", "j", F.coalesce("value", F.lit(fill)).alias("value"))
 
 
-def flow_paths(cells: DataFrame, dy: float, dx: float, most: int = 1000) -> DataFrame:
+def flow_paths(cells: DataFrame, dy: float, dx: float, most: int | None = None) -> DataFrame:
     """i, j, dist, end_i, end_j: the length of the flow path of each cell down to its stream or sink.
 
     cells has direction (D8) and stop (true at streams). Successors double: after k rounds a cell knows
-    its 2^k-th successor. Paths off the raster end at their last cell; cycles, and paths over ``most``
-    steps, have null."""
+    its 2^k-th successor, and rounds go on until every path has ended or none ends that hadn't before, which is a
+    cycle. Paths off the raster end at their last cell; cycles have null, as do paths of over ``most`` steps where
+    that is given."""
     di, dj, length = step_of(F.col("direction"), dy, dx)
     moved = cells.select("i", "j", (F.col("i") + F.when(F.col("stop"), 0).otherwise(di)).alias("ni"), (F.col("j") + F.when(F.col("stop"), 0).otherwise(dj)).alias("nj"), F.when(F.col("stop"), 0.0).otherwise(length).alias("dist"))
     here = cells.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.lit(True).alias("_in"))
@@ -164,13 +164,14 @@ def flow_paths(cells: DataFrame, dy: float, dx: float, most: int = 1000) -> Data
     state = cut(state)
     #: True ends step nowhere from the start; a cycle only comes back to itself.
     ends = cut(state.filter("i = ni AND j = nj").select("ni", "nj", F.lit(True).alias("_end")))
-    for _ in range(max(1, int(np.ceil(np.log2(most))))):
-        nxt = state.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("ni").alias("_i"), F.col("nj").alias("_j"), F.col("dist").alias("_d"))
-        state = cut(state.join(nxt, ["ni", "nj"]).select("i", "j", F.col("_i").alias("ni"), F.col("_j").alias("nj"), (F.col("dist") + F.col("_d")).alias("dist")))
-        if not state.join(ends, ["ni", "nj"], "left_anti").take(1):
-            break
+    state, left, before = state.withColumn("_n", ((F.col("i") != F.col("ni")) | (F.col("j") != F.col("nj"))).cast("long")), None, None
+    while left is None or (left and left != before):
+        #: A longer path's later cells have paths of every shorter length, so a round in which none ends leaves only cycles.
+        nxt = state.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("ni").alias("_i"), F.col("nj").alias("_j"), F.col("dist").alias("_d"), F.col("_n").alias("_m"))
+        state = cut(state.join(nxt, ["ni", "nj"]).select("i", "j", F.col("_i").alias("ni"), F.col("_j").alias("nj"), (F.col("dist") + F.col("_d")).alias("dist"), (F.col("_n") + F.col("_m")).alias("_n")))
+        before, left = left, state.join(ends, ["ni", "nj"], "left_anti").count()
     joined = state.join(ends, ["ni", "nj"], "left")
-    ok = F.col("_end").isNotNull()
+    ok = F.col("_end").isNotNull() & (F.lit(most is None) | (F.col("_n") <= F.lit(most or 0)))
     return joined.select("i", "j", F.when(ok, F.col("dist")).alias("dist"), F.when(ok, F.col("ni")).alias("end_i"), F.when(ok, F.col("nj")).alias("end_j"))
 
 
@@ -254,18 +255,18 @@ def allocated(distances: DataFrame, sites: DataFrame) -> DataFrame:
     return distances.join(s, ["near_i", "near_j"], "left").select("i", "j", "value")
 
 
-def flood_fill(cells: DataFrame, most: int = 200) -> DataFrame:
+def flood_fill(cells: DataFrame) -> DataFrame:
     """i, j of the cells inside mask that four-neighbour steps reach from a seed.
 
     Labels spread to neighbours and then jump to their label's label, so the rounds follow the
-    logarithm of a region's width rather than the width."""
+    logarithm of a region's width rather than the width. They go on until no label changes."""
     inside = cut(cells.filter("mask").select("i", "j", "seed", F.struct("i", "j").alias("p")))
     steps = [(0, 1), (1, 0), (0, -1), (-1, 0)]
     offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])).alias("s")
     links = inside.select("p", offsets, "i", "j").select("p", F.struct((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j")).alias("q"))
     links = cut(links.join(inside.select(F.col("p").alias("q")), "q").select("p", "q"))
     label = inside.select("p", F.col("p").alias("l"))
-    for _ in range(most):
+    while True:
         seen = links.join(label.select(F.col("p").alias("q"), "l"), "q").groupBy("p").agg(F.min("l").alias("m"))
         low = label.join(seen, "p", "left").select("p", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
         low = cut(low)

@@ -1,17 +1,21 @@
 """Vector operators on tables: points, polygons as arrays of rings, regular grids.
 
-A polygon is a row with an id and ``ring``, an array of struct(x, y) that closes itself; coordinates are
-metres of one projection. Candidates come from tiles: a polygon is listed under each tile that its
-bounds touch and a point under its own, so joins are equi-joins that Spark can deal out and split.
+A polygon is a row with an id and either ``shape``, an array of struct(part, hole, ring), or, for one ring, ``ring``, an
+array of struct(x, y) that closes itself; coordinates are metres of one projection. Candidates come from the cells of
+a grid: outlines are cut at cells (see tiling) and a point lies in its own, so joins are equi-joins that
+Spark can deal out and split, and a polygon costs its outline and the cells that it covers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tiling import borders, cell_areas, halved, parts, with_shape
+
 
 def _edges(ring: Column) -> Column:
     """struct(x1, y1, x2, y2) of each side."""
@@ -29,12 +33,6 @@ def bounds(ring: Column) -> list[Column]:
     return [F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax")]
 
 
-def _tiles(df: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """df once for each tile that its bounds, widened by margin, touch."""
-    span = lambda a, b: F.sequence(F.floor((F.col(a) - margin) / size).cast("long"), F.floor((F.col(b) + margin) / size).cast("long"))
-    return df.withColumn("_tx", F.explode(span("xmin", "xmax"))).withColumn("_ty", F.explode(span("ymin", "ymax")))
-
-
 def _point_tile(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumn("_tx", F.floor(F.col(x) / size).cast("long")).withColumn("_ty", F.floor(F.col(y) / size).cast("long"))
 
@@ -76,20 +74,75 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     return F.try_divide(mean("x"), 3 * total), F.try_divide(mean("y"), 3 * total)
 
 
+def sides(shape: Column) -> Column:
+    """The sides of all rings of a shape."""
+    return F.flatten(F.transform(shape, lambda r: _edges(r["ring"])))
+
+
+def crosses_odd(sides: Column, x: Column, y: Column) -> Column:
+    """Ray casting over any sides: whether an odd number of them crosses the ray to the right."""
+    crosses = F.filter(
+        sides,
+        lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) + e["x1"]),
+    )
+    return F.size(crosses) % 2 == 1
+
+
+def nearest_side(sides: Column, x: Column, y: Column) -> Column:
+    """Distance to the nearest of some sides."""
+
+    def to_side(e):
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        square = dx * dx + dy * dy
+        t = F.when(square > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / F.when(square > 0, square)).otherwise(F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.sqrt(F.pow(x - e["x1"] - t * dx, F.lit(2.0)) + F.pow(y - e["y1"] - t * dy, F.lit(2.0)))
+
+    return F.array_min(F.transform(sides, to_side))
+
+
+def in_shape(shape: Column, x: Column, y: Column) -> Column:
+    """Whether a point is in a shape: in a part and in none of its holes."""
+    return crosses_odd(sides(shape), x, y)
+
+
+def distance_to_shape(shape: Column, x: Column, y: Column) -> Column:
+    """Distance to the nearest side of any ring, 0 inside; a point in a hole is as far as the hole's outline."""
+    return F.when(in_shape(shape, x, y), F.lit(0.0)).otherwise(nearest_side(sides(shape), x, y))
+
+
+def _over_rings(shape: Column, of: Callable[[Column], Column]) -> Column:
+    """Sum over rings, those of holes less, whichever way they run."""
+    sign = lambda r: F.signum(_signed(r["ring"])) * F.when(r["hole"], -1.0).otherwise(1.0)
+    return F.aggregate(shape, F.lit(0.0), lambda s, r: s + sign(r) * of(r["ring"]))
+
+
+def shape_area(shape: Column) -> Column:
+    return _over_rings(shape, _signed) / 2
+
+
+def shape_centroid(shape: Column) -> tuple[Column, Column]:
+    """Of parts less holes; null without an area."""
+    total = _over_rings(shape, _signed)
+    moment = lambda k: _over_rings(shape, lambda r: F.aggregate(_edges(r), F.lit(0.0), lambda s, e: s + (e[f"{k}1"] + e[f"{k}2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"])))
+    return F.try_divide(moment("x"), 3 * total), F.try_divide(moment("y"), 3 * total)
+
+
+def _hits(points: DataFrame, polygons: DataFrame, polygon: str, x: str, y: str, tile: float) -> DataFrame:
+    """The points joined with the polygons that hold them. Points meet what lies of each polygon in their cell."""
+    p = _point_tile(points, x, y, tile)
+    return p.join(parts(polygons, polygon, tile), ["_tx", "_ty"]).filter(crosses_odd(F.col("sides"), F.col(x), F.col(y)))
+
+
 def within(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, tile: float) -> DataFrame:
-    """point and polygon of each point inside one; in several, the lowest polygon id."""
-    p = _point_tile(points.select(point, x, y), x, y, tile)
-    g = _tiles(polygons.select(polygon, "ring", *bounds(F.col("ring"))), tile)
-    hits = p.join(g, ["_tx", "_ty"]).filter(F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax")))
-    return hits.filter(contains(F.col("ring"), F.col(x), F.col(y))).groupBy(point).agg(F.min(polygon).alias(polygon))
+    """point and polygon of each point inside one; in several, the lowest polygon id. polygons has a column shape,
+    or ring for polygons of one ring."""
+    return _hits(points.select(point, x, y), polygons, polygon, x, y, tile).groupBy(point).agg(F.min(polygon).alias(polygon))
 
 
 def overlapping(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, tile: float) -> DataFrame:
     """Every point with the sorted list of the polygons that hold it, null if none does."""
-    p = _point_tile(points.select(point, x, y), x, y, tile)
-    g = _tiles(polygons.select(polygon, "ring", *bounds(F.col("ring"))), tile)
-    hits = p.join(g, ["_tx", "_ty"]).filter(contains(F.col("ring"), F.col(x), F.col(y)))
-    lists = hits.groupBy(point).agg(F.array_sort(F.collect_set(polygon)).alias(f"{polygon}_values"))
+    lists = _hits(points.select(point, x, y), polygons, polygon, x, y, tile).groupBy(point).agg(F.array_sort(F.collect_set(polygon)).alias(f"{polygon}_values"))
     return points.select(point).join(lists, point, "left")
 
 
@@ -98,35 +151,46 @@ def within_or_nearest(points: DataFrame, polygons: DataFrame, point: str, polygo
     (equals: the lowest id), else null. One row for each point."""
     inside = within(points, polygons, point, polygon, x, y, tile).withColumn("dist", F.lit(0.0))
     rest = _point_tile(points.select(point, x, y).join(inside, point, "left_anti"), x, y, tile)
-    g = _tiles(polygons.select(polygon, "ring", *bounds(F.col("ring"))), tile, most)
-    near = rest.join(g, ["_tx", "_ty"]).withColumn("dist", distance_to(F.col("ring"), F.col(x), F.col(y))).filter(F.col("dist") <= most)
+    near = rest.join(borders(polygons, polygon, tile, most), ["_tx", "_ty"])
+    near = near.withColumn("dist", nearest_side(F.col("sides"), F.col(x), F.col(y))).filter(F.col("dist") <= most)
     best = near.groupBy(point).agg(F.min(F.struct("dist", polygon)).alias("_b")).select(point, F.col(f"_b.{polygon}").alias(polygon), F.col("_b.dist").alias("dist"))
     return points.select(point).join(inside.unionByName(best), point, "left")
 
 
 def _side_cross(a, b) -> Column:
-    """Whether two sides meet."""
+    """Whether two sides meet. Sides on one line meet if their bounds do."""
     turn = lambda px, py, qx, qy, rx, ry: F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
     one = turn(a["x1"], a["y1"], a["x2"], a["y2"], b["x1"], b["y1"]) * turn(a["x1"], a["y1"], a["x2"], a["y2"], b["x2"], b["y2"])
     two = turn(b["x1"], b["y1"], b["x2"], b["y2"], a["x1"], a["y1"]) * turn(b["x1"], b["y1"], b["x2"], b["y2"], a["x2"], a["y2"])
-    return (one <= 0) & (two <= 0)
+    apart = F.lit(False)
+    for k in "xy":
+        apart = apart | (F.greatest(a[f"{k}1"], a[f"{k}2"]) < F.least(b[f"{k}1"], b[f"{k}2"])) | (F.greatest(b[f"{k}1"], b[f"{k}2"]) < F.least(a[f"{k}1"], a[f"{k}2"]))
+    return (one <= 0) & (two <= 0) & ~apart
 
 
 def intersects(a: Column, b: Column) -> Column:
-    """Whether two polygons share a point: sides cross, or one holds the other's first corner."""
+    """Whether two rings share a point: sides cross, or one holds the other's first corner."""
     cross = F.exists(_edges(a), lambda s: F.exists(_edges(b), lambda t: _side_cross(s, t)))
     one, two = F.get(a, F.lit(0)), F.get(b, F.lit(0))
     return cross | contains(a, two["x"], two["y"]) | contains(b, one["x"], one["y"])
 
 
+def polygon_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tile: float) -> DataFrame:
+    """left_id, right_id of the polygons that share a point, each pair once: sides meet in a cell that both pass,
+    or a corner of a part lies in the other polygon."""
+    a, b = (borders(df, k, tile).withColumnRenamed("sides", s) for df, k, s in ((left, left_id, "_a"), (right, right_id, "_b")))
+    cross = F.exists("_a", lambda s: F.exists("_b", lambda t: _side_cross(s, t)))
+    pairs = a.join(b, ["_tx", "_ty"]).filter(cross).select(left_id, right_id)
+    for inner, outer, k, m in ((left, right, left_id, right_id), (right, left, right_id, left_id)):
+        corners = with_shape(inner).select(k, F.explode("shape").alias("_r")).filter(~F.col("_r.hole")).select(k, F.get("_r.ring", F.lit(0)).alias("_c"))
+        held = _hits(corners.select(k, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y")), outer, m, "_x", "_y", tile)
+        pairs = pairs.unionByName(held.select(left_id, right_id))
+    return pairs.distinct()
+
+
 def polygon_lists(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tile: float) -> DataFrame:
     """Every left polygon with the sorted ids of the right ones that it meets, null if none."""
-    a = _tiles(left.select(left_id, F.col("ring").alias("_a"), *bounds(F.col("ring"))), tile).alias("a")
-    b = _tiles(right.select(right_id, F.col("ring").alias("_b"), *bounds(F.col("ring"))), tile).alias("b")
-    near = (F.col("a.xmin") <= F.col("b.xmax")) & (F.col("b.xmin") <= F.col("a.xmax")) & (F.col("a.ymin") <= F.col("b.ymax")) & (F.col("b.ymin") <= F.col("a.ymax"))
-    on = (F.col("a._tx") == F.col("b._tx")) & (F.col("a._ty") == F.col("b._ty")) & near
-    pairs = a.join(b, on).select(left_id, right_id, "_a", "_b").dropDuplicates([left_id, right_id]).filter(intersects(F.col("_a"), F.col("_b")))
-    lists = pairs.groupBy(left_id).agg(F.array_sort(F.collect_list(right_id)).alias(f"{right_id}_values"))
+    lists = polygon_pairs(left, right, left_id, right_id, tile).groupBy(left_id).agg(F.array_sort(F.collect_list(right_id)).alias(f"{right_id}_values"))
     return left.select(left_id).join(lists, left_id, "left")
 
 
@@ -139,51 +203,15 @@ def clip(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: f
 def clip_rings(x: np.ndarray, y: np.ndarray, ends: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The part of each ring inside its box, one half-plane after the other. The rings lie one behind the other
     in x and y, between successive ends."""
-    for axis, limit, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0)):
-        sizes = np.diff(ends)
-        of, before, some = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(x)) - 1, sizes > 0
-        before[ends[:-1][some]] = ends[1:][some] - 1
-        b = sign * ((x, y)[axis] - limit[of])
-        a = b[before]
-        stays, crosses = b >= 0, (a >= 0) != (b >= 0)
-        t = a / np.where(crosses, a - b, 1.0)
-        keep = np.stack([crosses, stays], 1).ravel()
-        x, y = (np.stack([c[before] + t * (c - c[before]), c], 1).ravel()[keep] for c in (x, y))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(of, crosses.astype(int) + stays, len(sizes)))]).astype("int64")
+    for across, limit, sign in ((True, x0, 1.0), (True, x1, -1.0), (False, y0, 1.0), (False, y1, -1.0)):
+        x, y, ends = halved(x, y, ends, limit, np.full(len(ends) - 1, across), sign)
     return x, y, ends
 
 
-def clipped(ring: Column, *limits: Column) -> Column:
-    """The part of each ring inside its box (x0, y0, x1, y1); empty where they don't meet."""
-
-    @F.arrow_udf("array<struct<x:double,y:double>>")
-    def run(rings: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
-        sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in rings.flatten().flatten())
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype("int64")
-        x, y, ends = clip_rings(x, y, ends, *[v.to_numpy(zero_copy_only=False) for v in (x0, y0, x1, y1)])
-        return pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
-
-    #: Else a filter on the result would work it out twice.
-    run = run.asNondeterministic()
-    return run(ring, *[v.cast("double") for v in limits])
-
-
 def grid_overlap(polygons: DataFrame, polygon: str, x0: float, y0: float, step: float) -> DataFrame:
-    """polygon, i, j, overlap_area: the cells of a regular grid that each polygon covers in part.
-
-    A polygon is first cut into the grid's rows and each part then into cells, so that a long outline is copied
-    once for a row rather than for a cell, and only cells within a part's bounds arise. Positive areas only."""
-    first = lambda c, o: F.floor((F.col(c) - o) / step).cast("long")
-    rows = polygons.select(polygon, "ring", *bounds(F.col("ring")))
-    rows = rows.withColumn("i", F.explode(F.sequence(first("ymin", y0), first("ymax", y0))))
-    low = y0 + F.col("i") * step
-    rows = rows.select(polygon, "i", clipped(F.col("ring"), F.col("xmin"), low, F.col("xmax"), low + step).alias("ring"))
-    rows = rows.select(polygon, "i", "ring", *bounds(F.col("ring")))
-    cells = rows.withColumn("j", F.explode(F.sequence(first("xmin", x0), first("xmax", x0))))
-    left = x0 + F.col("j") * step
-    cells = cells.select(polygon, "i", "j", clipped(F.col("ring"), left, low, left + step, low + step).alias("ring"))
-    return cells.select(polygon, "i", "j", area(F.col("ring")).alias("overlap_area")).filter("overlap_area > 0")
+    """polygon, i, j, overlap_area: the cells of a regular grid that each polygon covers in part, less its holes.
+    Outlines are halved until each piece lies in a cell. Positive areas only."""
+    return cell_areas(polygons, polygon, x0, y0, step)
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -240,7 +268,8 @@ def block_of(i: Column, j: Column, rows: int, columns: int, blocks_across: int)
 
 def near_mask(points: DataFrame, polygons: DataFrame, point: str, x: str, y: str, radius: float, tile: float) -> DataFrame:
     """The points inside any polygon or within radius of one: the mask's buffer is never built."""
-    p = _point_tile(points.select(point, x, y), x, y, tile)
-    g = _tiles(polygons.select("ring", *bounds(F.col("ring"))), tile, radius)
-    hits = p.join(g, ["_tx", "_ty"]).filter(distance_to(F.col("ring"), F.col(x), F.col(y)) <= radius)
-    return points.join(hits.select(point).distinct(), point, "left_semi")
+    p, named = points.select(point, x, y), with_shape(polygons).select("shape").withColumn("_k", F.lit(0))
+    inside = _hits(p, named, "_k", x, y, tile).select(point)
+    close = _point_tile(p, x, y, tile).join(borders(named, "_k", tile, radius), ["_tx", "_ty"])
+    close = close.filter(nearest_side(F.col("sides"), F.col(x), F.col(y)) <= radius).select(point)
+    return points.join(inside.unionByName(close).distinct(), point, "left_semi")

@@ -281,18 +281,33 @@ def zarr_chunks(cells: DataFrame, axes: list[str], chunks: list[int], kind: str
     return typed.groupBy(*[f"_c{k}" for k in range(len(axes))]).applyInPandas(run, "path string, content binary")
 
 
-def combined(frames: list[DataFrame], coordinates: dict[str, list[float]]) -> DataFrame:
-    """The cells (index, value) of several arrays of one grid, with the coordinates of their axes as columns. Axes have
-    bounded lists of coordinates, which travel as literals; the arrays follow each other on the first axis, whose
-    list goes on from array to array."""
+def zarr_shape(spark: SparkSession, path: str) -> list[int]:
+    """Cells on each axis of a Zarr (version 2) array, from its description."""
+    return json.loads(_hidden_text(spark, f"{path}/.zarray"))["shape"]
+
+
+def combined(frames: list[DataFrame], coordinates: dict[str, list[float] | DataFrame], lengths: list[int] | None = None) -> DataFrame:
+    """The cells (index, value) of several arrays of one grid, with the coordinates of their axes as columns. The arrays
+    follow each other on the first axis, each with the length of its own: lengths (see zarr_shape()), else
+    one more than the last position that has a cell. An axis' coordinates are a list or a table (position, coordinate) and
+    are joined by position. Those of the first axis must be as many as the arrays' lengths together."""
+    spark = frames[0].sparkSession
+    lengths = lengths or [(f.agg(F.max(F.get("index", F.lit(0)))).first()[0] or -1) + 1 for f in frames]
+    tables = {}
+    for name, values in coordinates.items():
+        listed = values if isinstance(values, DataFrame) else spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "position long, coordinate double")
+        tables[name] = listed.select(F.col("position").cast("long").alias(f"_at_{name}"), F.col("coordinate").alias(name))
+    first = tables[next(iter(tables))].count()
+    if first != sum(lengths):
+        raise ValueError(f"{first} coordinates for arrays of {lengths} cells")
     out, before = None, 0
-    for f in frames:
-        whole = f.withColumn("index", F.transform("index", lambda v, k: v + F.when(k == 0, before).otherwise(0)))
-        out = whole if out is None else out.unionByName(whole)
-        first = next(iter(coordinates.values()))
-        before += len(first) // len(frames)
-    at = [F.get(F.array(*[F.lit(float(v)) for v in values]), F.get("index", F.lit(k)).cast("int")).alias(name) for k, (name, values) in enumerate(coordinates.items())]
-    return out.select(*at, "value")
+    for f, n in zip(frames, lengths):
+        at = [(F.get("index", F.lit(k)).cast("long") + (before if not k else 0)).alias(f"_at_{name}") for k, name in enumerate(tables)]
+        whole = f.select(*at, "value")
+        out, before = whole if out is None else out.unionByName(whole), before + n
+    for name, listed in tables.items():
+        out = out.join(listed, f"_at_{name}", "left")
+    return out.select(*tables, "value")
 
 
 def write_zarr(values: np.ndarray, chunks: tuple[int, ...]) -> dict[str, bytes]:

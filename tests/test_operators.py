@@ -84,6 +84,88 @@ def test_flow_path_strip(spark):
     assert [r["dist"] for r in raster.flow_paths(cycle, 1.0, 1.0, most=8).collect()] == [None, None]
 
 
+def test_long_flow_paths_and_cycles(spark):
+    n = 1300
+    cells = spark.createDataFrame([(0, j, 1, False) for j in range(n)] + [(5, 0, 1, False), (5, 1, 16, False)], "i int, j int, direction int, stop boolean")
+    got = {(r["i"], r["j"]): r["dist"] for r in raster.flow_paths(cells, 1.0, 1.0).collect()}
+    assert got == {(0, j): n - 1.0 - j for j in range(n)} | {(5, 0): None, (5, 1): None}
+    got = {(r["i"], r["j"]): r["dist"] for r in raster.flow_paths(cells, 1.0, 1.0, most=1000).collect()}
+    assert got == {(0, j): n - 1.0 - j if n - 1 - j <= 1000 else None for j in range(n)} | {(5, 0): None, (5, 1): None}
+
+
+def test_reach_refuses_negative_times(spark):
+    e = spark.createDataFrame([(1, 2, -1.0)], "src int, dst int, weight double")
+    with pytest.raises(ValueError):
+        graph.reach(e, spark.createDataFrame([(1,)], "node int"), 3.0)
+
+
+def test_polygons_meet_only_where_sides_do(spark):
+    stairs = [(0, 0), (10, 0), (10, 1), (5, 1), (5, 2), (1, 2), (1, 10), (0, 10)]
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    shape = lambda *rings: [(0, k > 0, [(float(a), float(b)) for a, b in r]) for k, r in enumerate(rings)]
+    rows = [(1, shape(stairs)), (2, shape(square(7, 2, 1))), (3, shape(square(9, 1, 1))), (4, shape(square(-5, -5, 30), square(6, 1.5, 4))), (5, shape(square(7, 2.5, 0.25))), (6, shape(square(10, 5, 1)))]
+    df = spark.createDataFrame(rows, "id int, shape array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>>>>")
+    for tile in (3.0, 100.0):
+        out = {r["id"]: r["o_values"] for r in spatial.polygon_lists(df, df.withColumnRenamed("id", "o"), "id", "o", tile).collect()}
+        #: 4 surrounds all but 2 and 5, which lie in its hole; 3 crosses the hole's outline.
+        assert out == {1: [1, 3, 4], 2: [2, 5], 3: [1, 3, 4], 4: [1, 3, 4, 6], 5: [2, 5], 6: [4, 6]}
+
+
+def _star(rng, corners, x, y, far):
+    turn = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    return [(float(x + f * np.cos(t)), float(y + f * np.sin(t))) for t, f in zip(turn, rng.uniform(far / 3, far, corners))]
+
+
+def _odd(rings, x, y):
+    sides = [(*a, *b) for r in rings for a, b in zip(r, r[1:] + r[:1])]
+    return sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for a, b, c, d in sides) % 2 == 1
+
+
+def test_cells_give_the_same_as_whole_shapes(spark):
+    rng = np.random.default_rng(8)
+    shapes = []
+    for k in range(25):
+        x, y, far = *rng.uniform(-20, 20, 2), rng.uniform(0.5, 25)
+        shapes.append((k, [_star(rng, 12, x, y, far), _star(rng, 7, x, y, far / 3)]))
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.uniform(-30, 30, (300, 2)))] + [(1000 + k, 2.0 * k, 2.0 * k) for k in range(-5, 6)]
+    g = spark.createDataFrame([(k, [(0, n > 0, r) for n, r in enumerate(s)]) for k, s in shapes], "id int, shape array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>>>>")
+    p = spark.createDataFrame(points, "p int, x double, y double")
+    want = {i: [k for k, s in shapes if _odd(s, x, y)] or None for i, x, y in points}
+    for tile in (2.0, 13.0):
+        assert {r["p"]: r["id_values"] for r in spatial.overlapping(p, g, "p", "id", "x", "y", tile).collect()} == want
+    whole = {(r["p"], r["id"]): r["d"] for r in p.crossJoin(g).select("p", "id", spatial.distance_to_shape(F.col("shape"), F.col("x"), F.col("y")).alias("d")).collect()}
+    got = {r["p"]: (r["id"], r["dist"]) for r in spatial.within_or_nearest(p, g, "p", "id", "x", "y", 2.0, 3.0).collect()}
+    for i, _, _ in points:
+        low = min((d, k) for (q, k), d in whole.items() if q == i)
+        assert got[i] == (want[i][0], 0.0) if want[i] else got[i] == ((low[1], low[0]) if low[0] <= 3 else (None, None))
+    near = {r["p"] for r in spatial.near_mask(p, g, "p", "x", "y", 1.5, 2.0).collect()}
+    assert near == {i for i, _, _ in points if min(d for (q, _), d in whole.items() if q == i) <= 1.5}
+
+
+def test_tiling_costs_the_outline_and_the_cells(spark):
+    from siteflux.operators import tiling
+
+    n = 4000
+    ring = [(1000 * math.cos(2 * math.pi * k / n), 1000 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    g = spark.createDataFrame([(1, ring)], "id int, ring array<struct<x:double,y:double>>")
+    for tile in (100.0, 25.0):
+        cells, sides = tiling.parts(g, "id", tile).agg(F.count("*"), F.sum(F.size("sides"))).first()
+        edge, edge_sides = tiling.borders(g, "id", tile).agg(F.count("*"), F.sum(F.size("sides"))).first()
+        assert math.pi * (1000 / tile) ** 2 <= cells <= math.pi * (1000 / tile + 1.5) ** 2
+        assert sides <= 1.2 * n + 4 * cells and edge <= 14 * 1000 / tile and edge_sides <= 1.2 * n
+    area = lambda step: tiling.cell_areas(g, "id", 0.0, 0.0, step).agg(F.sum("overlap_area")).first()[0]
+    assert area(30.0) == pytest.approx(n / 2 * 1e6 * math.sin(2 * math.pi / n))
+
+
+def test_odd_shapes(spark):
+    rows = [(1, None), (2, []), (3, [(0, False, [])]), (4, [(0, False, [(0.0, 0.0), (1.0, 1.0)])]), (5, [(0, False, [(0.0, 0.0), (float("nan"), 1.0), (1.0, 1.0)])]), (None, [(0, False, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])])]
+    g = spark.createDataFrame(rows, "id int, shape array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>>>>")
+    p = spark.createDataFrame([(1, 3.0, 1.0), (2, None, 1.0), (3, float("nan"), 1.0)], "p int, x double, y double")
+    assert [(r["p"], r["id"]) for r in spatial.within(p, g, "p", "id", "x", "y", 1.0).collect()] == [(1, None)]
+    assert spatial.within(p, g.limit(0), "p", "id", "x", "y", 1.0).count() == 0
+    assert spatial.grid_overlap(g, "id", 0.0, 0.0, 1.0).agg(F.sum("overlap_area")).first()[0] == 8.0
+
+
 def test_weights_and_quantile(spark):
     d = spark.createDataFrame([(1, 0.2), (1, 0.6)], "r int, p double")
     for y, want in ((1, [0.25, 0.75]), (0, [2 / 3, 1 / 3])):

@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siteflux.sources import rasters, tables, vectors
@@ -42,6 +43,60 @@ def test_wkb(spark):
     assert vectors.masked(spark.createDataFrame(out), 5, 5, 6, 6).count() == 0
 
 
+def _wkb_polygon(rings, extra=0, code=3, srid=None):
+    flag = 0x20000000 if srid is not None else 0
+    out = struct.pack("<BI", 1, code | flag) + (struct.pack("<I", srid) if flag else b"") + struct.pack("<I", len(rings))
+    for r in rings:
+        out += struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) + struct.pack("<d", 9.0) * extra for p in r)
+    return out
+
+
+def test_wkb_keeps_holes_heights_and_references():
+    outer, hole = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 4.0)]
+    want = [(0, False, outer[:-1]), (0, True, hole[:-1])]
+    plain = _wkb_polygon([outer, hole])
+    kinds = [plain, _wkb_polygon([outer, hole], 1, 1003), _wkb_polygon([outer, hole], 1, 2003), _wkb_polygon([outer, hole], 2, 3003)]
+    kinds += [_wkb_polygon([outer, hole], 1, 0x80000003), _wkb_polygon([outer, hole], 2, 0xC0000003), _wkb_polygon([outer, hole], 0, 3, 5070), _wkb_polygon([outer, hole], 1, 0x80000003, 5070)]
+    assert all(vectors.wkb_shape(k) == want for k in kinds)
+    two = struct.pack("<BII", 1, 6, 2) + plain + _wkb_polygon([outer])
+    assert vectors.wkb_shape(two) == want + [(1, False, outer[:-1])]
+    assert vectors.wkb_shape(struct.pack("<BIddd", 1, 1001, 1.0, 2.0, 3.0)) == [(0, False, [(1.0, 2.0)])]
+
+
+def test_points_in_holes_are_outside(spark):
+    from siteflux.operators import spatial
+
+    outer, hole = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]
+    shapes = vectors.shapes_of_wkb(spark.createDataFrame([(7, _wkb_polygon([outer, hole])), (8, None)], "poly int, g binary"), "poly", "g")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 3.0, 3.0), (3, 11.0, 5.0)], "p int, x double, y double")
+    out = {r["p"]: (r["poly"], r["dist"]) for r in spatial.within_or_nearest(points, shapes, "p", "poly", "x", "y", 2.5, 2.0).collect()}
+    assert out == {1: (7, 1.0), 2: (7, 0.0), 3: (7, 1.0)}
+    assert shapes.select(spatial.shape_area(F.col("shape"))).first()[0] == 96
+
+
+def test_shapefile_holes(spark, tmp_path):
+    rings = [[(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)], [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)], [(20, 0), (20, 1), (21, 1), (21, 0), (20, 0)], [(50, 0), (51, 0), (51, 1), (50, 0)]]
+    flat = [p for r in rings for p in r]
+    body = struct.pack("<I4d2I", 5, 0, 0, 51, 10, len(rings), len(flat)) + struct.pack("<4I", 0, 5, 10, 15) + b"".join(struct.pack("<dd", *p) for p in flat)
+    (tmp_path / "a.shp").write_bytes(bytes(100) + struct.pack(">II", 1, len(body) // 2) + body)
+    shape = vectors.read_shapes(spark, str(tmp_path / "a.shp")).first()["shape"]
+    assert [(r["part"], r["hole"], len(r["ring"])) for r in shape] == [(0, False, 4), (1, False, 4), (0, True, 4), (2, False, 3)]
+
+
+def test_combined_arrays_of_unequal_length(spark):
+    cube = lambda n: spark.createDataFrame([([t, k], 10.0 * t + k) for t in range(n) for k in range(2)], "index array<long>, value double")
+    times = [100.0 + t for t in range(8)]
+    for lengths in (None, [3, 5]):
+        out = rasters.combined([cube(3), cube(5)], {"t": times, "lat": [40.0, 41.0]}, lengths).collect()
+        assert {(r["t"], r["lat"]): r["value"] for r in out} == {(100.0 + t, 40.0 + k): 10.0 * (t if t < 3 else t - 3) + k for t in range(8) for k in range(2)}
+    table = spark.createDataFrame(list(enumerate(times)), "position int, coordinate double")
+    gap = cube(3).filter(F.get("index", F.lit(0)) < 2)  # the last time of the first array has no cells
+    out = rasters.combined([gap, cube(5)], {"t": table, "lat": [40.0, 41.0]}, [3, 5]).collect()
+    assert len(out) == 14 and {r["t"] for r in out} == {*times} - {102.0}
+    with pytest.raises(ValueError):
+        rasters.combined([gap, cube(5)], {"t": table, "lat": [40.0, 41.0]})
+
+
 def test_file_numbers_and_chunks(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "event_0007_x"))
     df = spark.read.parquet(str(tmp_path / "event_0007_x")).select(F.regexp_extract("_metadata.file_path", r"event_(\d+)", 1).cast("int").alias("e"))
