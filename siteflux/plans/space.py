@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import raster, spatial
+from ..operators import overlay, raster, spatial, tiling
 from ..sources.tables import table
 from .registry import query
 
@@ -247,3 +247,144 @@ def spatial_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey FROM s WHERE sqrt(pow(x - ax - t * (b_x - ax), 2) + pow(y - ay - t * (b_y - ay), 2)) <= 2.5 UNION SELECT c_custkey FROM hit""")
 def near_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.near_mask(_points(spark, sf_dir), _triangles(spark, sf_dir), "c_custkey", "x", "y", 2.5, 500.0).select("c_custkey")
+
+
+#: The triangles again, each with a smaller one as a hole.
+_HOLED = f"""{_TRI},
+inner_tri AS (SELECT poly, px + 0.4 * (x1 - px) AS x1, py + 0.4 * (y1 - py) AS y1, px + 0.4 * (x2 - px) AS x2, py + 0.4 * (y2 - py) AS y2, px + 0.4 * (x3 - px) AS x3, py + 0.4 * (y3 - py) AS y3
+  FROM (SELECT *, 0.5 * x1 + 0.25 * x2 + 0.25 * x3 AS px, 0.5 * y1 + 0.25 * y2 + 0.25 * y3 AS py FROM tri)),
+both_e AS (SELECT * FROM e UNION ALL SELECT poly, x1, y1, x2, y2 FROM inner_tri UNION ALL SELECT poly, x2, y2, x3, y3 FROM inner_tri UNION ALL SELECT poly, x3, y3, x1, y1 FROM inner_tri),
+in_both AS (SELECT p.c_custkey, e.poly FROM pt p JOIN both_e e ON (e.ay > p.y) <> (e.b_y > p.y) AND p.x < (e.b_x - e.ax) * (p.y - e.ay) / (e.b_y - e.ay) + e.ax GROUP BY ALL HAVING count(*) % 2 = 1)
+"""
+
+
+def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.get("ring", F.lit(k))
+    middle = lambda c: 0.5 * at(0)[c] + 0.25 * at(1)[c] + 0.25 * at(2)[c]
+    hole = F.transform("ring", lambda p: F.struct(*[(middle(c) + 0.4 * (p[c] - middle(c))).alias(c) for c in "xy"]))
+    return _triangles(spark, sf_dir).select("poly", tiling.polygon(F.col("ring"), hole).alias("shape"))
+
+
+@query(f"""WITH {_HOLED} SELECT p.c_custkey, array_to_string(list_sort(list(h.poly) FILTER (h.poly IS NOT NULL)), ',') AS polys
+FROM pt p LEFT JOIN in_both h ON h.c_custkey = p.c_custkey GROUP BY p.c_custkey""")
+def points_in_holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons that hold each point, where a point in a hole is outside."""
+    out = spatial.overlapping(_points(spark, sf_dir), _holed(spark, sf_dir), "c_custkey", "poly", "x", "y", 500.0)
+    return out.select("c_custkey", F.array_join("poly_values", ",").alias("polys"))
+
+
+@query(f"""WITH {_HOLED}, h AS (SELECT c_custkey, min(poly) AS poly FROM in_both GROUP BY c_custkey),
+s AS (SELECT p.c_custkey, p.x, p.y, e.*, greatest(0.0, least(1.0, ((p.x - ax) * (b_x - ax) + (p.y - ay) * (b_y - ay)) / ((b_x - ax) * (b_x - ax) + (b_y - ay) * (b_y - ay)))) AS t
+  FROM pt p, both_e e WHERE p.c_custkey NOT IN (SELECT c_custkey FROM h)),
+d AS (SELECT c_custkey, poly, min(sqrt(pow(x - ax - t * (b_x - ax), 2) + pow(y - ay - t * (b_y - ay), 2))) AS d FROM s GROUP BY ALL),
+b AS (SELECT c_custkey, poly, d FROM d WHERE d <= 400 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, poly) = 1)
+SELECT p.c_custkey, coalesce(h.poly, b.poly) AS poly, round(CASE WHEN h.poly IS NOT NULL THEN 0.0 ELSE b.d END, 5) AS dist
+FROM pt p LEFT JOIN h ON h.c_custkey = p.c_custkey LEFT JOIN b ON b.c_custkey = p.c_custkey""")
+def nearest_holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygon that holds each point, else the nearest outline, holes' outlines included."""
+    out = spatial.within_or_nearest(_points(spark, sf_dir), _holed(spark, sf_dir), "c_custkey", "poly", "x", "y", 500.0, 400.0)
+    return out.withColumn("dist", F.round("dist", 5))
+
+
+@query(f"""WITH {_HOLED}, a AS (SELECT t.poly, abs((t.x2 - t.x1) * (t.y3 - t.y1) - (t.x3 - t.x1) * (t.y2 - t.y1)) / 2 AS a, (t.x1 + t.x2 + t.x3) / 3 AS cx, (t.y1 + t.y2 + t.y3) / 3 AS cy,
+  (h.x1 + h.x2 + h.x3) / 3 AS hx, (h.y1 + h.y2 + h.y3) / 3 AS hy FROM tri t JOIN inner_tri h ON h.poly = t.poly)
+SELECT poly, round(a * 0.84, 4) AS area, round((cx - 0.16 * hx) / 0.84, 4) AS cx, round((cy - 0.16 * hy) / 0.84, 4) AS cy FROM a""")
+def holed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = F.col("shape")
+    cx, cy = spatial.shape_centroid(shape)
+    return _holed(spark, sf_dir).select("poly", F.round(spatial.shape_area(shape), 4).alias("area"), F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
+
+
+@query(f"""WITH {_HOLED}, turns AS (SELECT a.poly, b.poly AS other, a.ax, a.ay, a.b_x, a.b_y, b.ax AS px, b.ay AS py, b.b_x AS qx, b.b_y AS qy,
+  sign((a.b_x - a.ax) * (b.ay - a.ay) - (a.b_y - a.ay) * (b.ax - a.ax)) * sign((a.b_x - a.ax) * (b.b_y - a.ay) - (a.b_y - a.ay) * (b.b_x - a.ax)) AS one,
+  sign((b.b_x - b.ax) * (a.ay - b.ay) - (b.b_y - b.ay) * (a.ax - b.ax)) * sign((b.b_x - b.ax) * (a.b_y - b.ay) - (b.b_y - b.ay) * (a.b_x - b.ax)) AS two FROM both_e a, both_e b),
+met AS (SELECT DISTINCT poly, other FROM turns WHERE one <= 0 AND two <= 0 AND greatest(ax, b_x) >= least(px, qx) AND greatest(px, qx) >= least(ax, b_x) AND greatest(ay, b_y) >= least(py, qy) AND greatest(py, qy) >= least(ay, b_y)),
+corner AS (SELECT t.poly, b.poly AS other FROM tri t JOIN both_e b ON (b.ay > t.y1) <> (b.b_y > t.y1) AND t.x1 < (b.b_x - b.ax) * (t.y1 - b.ay) / (b.b_y - b.ay) + b.ax GROUP BY ALL HAVING count(*) % 2 = 1),
+pairs AS (SELECT * FROM met UNION SELECT * FROM corner UNION SELECT other, poly FROM corner)
+SELECT poly, array_to_string(list_sort(list(other)), ',') AS others FROM pairs GROUP BY poly""")
+def holed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons that each one meets: triangles with holes, so that bounds don't tell."""
+    g = _holed(spark, sf_dir)
+    out = spatial.polygon_lists(g, g.withColumnRenamed("poly", "other"), "poly", "other", 500.0)
+    return out.select("poly", F.array_join("other_values", ",").alias("others"))
+
+
+#: The middle of a box is its hole.
+_FRAMES = f"""{_BOXES}, fr AS (SELECT *, x0 + (x1 - x0) * 0.25 AS hx0, x1 - (x1 - x0) * 0.25 AS hx1, y0 + (y1 - y0) * 0.25 AS hy0, y1 - (y1 - y0) * 0.25 AS hy1 FROM bx)"""
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = (lambda c, k=k: F.get("ring", F.lit(k))[c] for k in (0, 2))
+    inset = lambda c: (high(c) - low(c)) * 0.25
+    hole = spatial.box(low("x") + inset("x"), low("y") + inset("y"), high("x") - inset("x"), high("y") - inset("y"))
+    return _boxes(spark, sf_dir).select("id", tiling.polygon(F.col("ring"), hole).alias("shape"))
+
+
+@query(f"""WITH {_FRAMES}, cut AS (SELECT id, i, j, greatest(0, least(x1, (j + 1) * 50.0) - greatest(x0, j * 50.0)) * greatest(0, least(y1, (i + 1) * 50.0) - greatest(y0, i * 50.0)) AS a,
+  greatest(0, least(hx1, (j + 1) * 50.0) - greatest(hx0, j * 50.0)) * greatest(0, least(hy1, (i + 1) * 50.0) - greatest(hy0, i * 50.0)) AS h
+  FROM (SELECT fr.*, unnest(generate_series(floor(x0 / 50)::BIGINT, floor(x1 / 50)::BIGINT)) AS j FROM fr) a, LATERAL (SELECT unnest(generate_series(floor(y0 / 50)::BIGINT, floor(y1 / 50)::BIGINT)) AS i))
+SELECT id, i, j, round(a - h, 3) AS overlap_area FROM cut WHERE a - h > 1e-6""")
+def holed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.grid_overlap(_frames(spark, sf_dir), "id", 0.0, 0.0, 50.0)
+    return out.filter("overlap_area > 1e-6").withColumn("overlap_area", F.round("overlap_area", 3))
+
+
+@query(f"""WITH {_CELLS}, {_FRAMES}, c AS (SELECT i, j, -1000 + (j + 0.5) * 300.0 AS x, 1100 - (i + 0.5) * 25.0 AS y FROM cells)
+SELECT c.i, c.j, coalesce(arg_max(b.id % 10, b.id), -1)::BIGINT AS value FROM c LEFT JOIN fr b ON c.x >= b.x0 AND c.x < b.x1 AND c.y >= b.y0 AND c.y < b.y1
+  AND NOT (c.x >= b.hx0 AND c.x < b.hx1 AND c.y >= b.hy0 AND c.y < b.hy1) GROUP BY c.i, c.j""")
+def rasterize_holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = _frames(spark, sf_dir).withColumn("burn", F.col("id") % 10)
+    return raster.rasterized(shapes, "id", "burn", _cells(spark, sf_dir), -1000.0, 1100.0, 300.0, 25.0, 500.0, fill=-1)
+
+
+@query(f"""WITH {_BOXES}, b AS (SELECT s_nationkey AS nation, bx.* FROM bx JOIN supplier ON s_suppkey = id),
+xs AS (SELECT nation, x, lead(x) OVER (PARTITION BY nation ORDER BY x) AS x2 FROM (SELECT nation, x0 AS x FROM b UNION SELECT nation, x1 FROM b)),
+ys AS (SELECT nation, y, lead(y) OVER (PARTITION BY nation ORDER BY y) AS y2 FROM (SELECT nation, y0 AS y FROM b UNION SELECT nation, y1 FROM b)),
+c AS (SELECT xs.nation, x, x2, y, y2, EXISTS (SELECT 1 FROM b WHERE b.nation = xs.nation AND b.x0 <= x AND b.x1 >= x2 AND b.y0 <= y AND b.y1 >= y2) AS on_ FROM xs JOIN ys ON ys.nation = xs.nation WHERE x2 IS NOT NULL AND y2 IS NOT NULL),
+n AS (SELECT *, lag(on_, 1, false) OVER (PARTITION BY nation, y ORDER BY x) <> on_ AS w, lead(on_, 1, false) OVER (PARTITION BY nation, y ORDER BY x) AS e0,
+  lag(on_, 1, false) OVER (PARTITION BY nation, x ORDER BY y) <> on_ AS s, lead(on_, 1, false) OVER (PARTITION BY nation, x ORDER BY y) AS n0 FROM c)
+SELECT nation, round(sum(CASE WHEN on_ THEN (x2 - x) * (y2 - y) ELSE 0 END), 2) AS area,
+  round(sum((w::INT + (on_ AND NOT e0 AND x2 = (SELECT max(x2) FROM xs WHERE xs.nation = n.nation))::INT) * (y2 - y) + (s::INT + (on_ AND NOT n0 AND y2 = (SELECT max(y2) FROM ys WHERE ys.nation = n.nation))::INT) * (x2 - x)), 2) AS outline
+FROM n GROUP BY nation""")
+def dissolved_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area and length of the outline of the union of each nation's boxes, which overlap."""
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    out = overlay.dissolve(_boxes(spark, sf_dir).join(s, "id"), "nation")
+    length = F.aggregate(spatial.sides(F.col("shape")), F.lit(0.0), lambda t, e: t + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+    return out.select("nation", F.round(spatial.shape_area(F.col("shape")), 2).alias("area"), F.round(length, 2).alias("outline"))
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, z AS (SELECT i, j, (value >= 120)::INT AS zone FROM cells),
+part(zone, i, j, li, lj) AS (SELECT zone, i, j, i, j FROM z UNION SELECT p.zone, n.i, n.j, p.li, p.lj FROM part p JOIN z n ON n.zone = p.zone AND abs(n.i - p.i) + abs(n.j - p.j) = 1),
+parts AS (SELECT zone, i, j, min((li, lj)) AS label FROM part GROUP BY ALL),
+frame AS (SELECT zone, i, j FROM (SELECT DISTINCT zone FROM z), (SELECT unnest(generate_series((SELECT min(i) - 1 FROM z), (SELECT max(i) + 1 FROM z))) AS i), (SELECT unnest(generate_series(-1, {WIDTH})) AS j)),
+gap AS (SELECT * FROM frame EXCEPT SELECT zone, i, j FROM z),
+outside(zone, i, j) AS (SELECT zone, i, j FROM gap WHERE j = -1 UNION SELECT o.zone, g.i, g.j FROM outside o JOIN gap g ON g.zone = o.zone AND abs(g.i - o.i) <= 1 AND abs(g.j - o.j) <= 1),
+pits AS (SELECT * FROM gap EXCEPT SELECT * FROM outside),
+pit(zone, i, j, li, lj) AS (SELECT zone, i, j, i, j FROM pits UNION SELECT p.zone, n.i, n.j, p.li, p.lj FROM pit p JOIN pits n ON n.zone = p.zone AND abs(n.i - p.i) <= 1 AND abs(n.j - p.j) <= 1),
+holes AS (SELECT zone, i, j, min((li, lj)) AS label FROM pit GROUP BY ALL)
+SELECT zone, (SELECT count(*) * 100.0 FROM z WHERE z.zone = p.zone) AS area, count(DISTINCT label) AS parts, (SELECT count(DISTINCT h.label) FROM holes h WHERE h.zone = p.zone) AS holes FROM parts p GROUP BY zone""")
+def dissolved_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster's cells as boxes of 10 by 10, dissolved by zone: its area, parts and holes. Cells that only touch at a corner
+    are parts of their own, and gaps that do are one hole."""
+    c = _cells(spark, sf_dir)
+    x, y = F.col("j") * 10.0, F.col("i") * 10.0
+    zones = overlay.dissolve(c.select((F.col("value") >= 120).cast("int").alias("zone"), spatial.box(x, y, x + 10, y + 10).alias("ring")), "zone", step=1.0)
+    count = lambda hole: F.size(F.filter("shape", lambda r: r["hole"] == hole)).cast("long")
+    return zones.select("zone", F.round(spatial.shape_area(F.col("shape")), 2).alias("area"), count(False).alias("parts"), count(True).alias("holes"))
+
+
+@query(f"""WITH {_BOXES} SELECT id, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) * 12.5 + 32 * 12.5 * 12.5 * sin(pi() / 32), 1) AS area FROM bx""")
+def buffered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of buffers of 12.5 around boxes, whose arcs have 16 sides in a quarter."""
+    out = overlay.buffer(_boxes(spark, sf_dir), "id", 12.5, step=1e-6)
+    return out.select("id", F.round(spatial.shape_area(F.col("shape")), 1).alias("area"))
+
+
+@query(f"""WITH {_HOLED}, s AS (SELECT p.c_custkey, p.x, p.y, e.*, greatest(0.0, least(1.0, ((p.x - ax) * (b_x - ax) + (p.y - ay) * (b_y - ay)) / ((b_x - ax) * (b_x - ax) + (b_y - ay) * (b_y - ay)))) AS t FROM pt p, both_e e)
+SELECT c_custkey FROM s WHERE sqrt(pow(x - ax - t * (b_x - ax), 2) + pow(y - ay - t * (b_y - ay), 2)) <= 1.3 UNION SELECT c_custkey FROM in_both""")
+def buffered_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points in the union of all buffers around polygons with holes: the mask as a shape of its own."""
+    shapes = _holed(spark, sf_dir).withColumn("mask", F.lit(0))
+    mask = overlay.buffer(shapes, "mask", 1.3, quarter=64)
+    return spatial.within(_points(spark, sf_dir), mask, "c_custkey", "mask", "x", "y", 500.0).select("c_custkey")

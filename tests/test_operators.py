@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteflux.functions import keys, physics
-from siteflux.operators import events, graph, models, raster, sampling, spatial, stats, timeseries
+from siteflux.operators import events, graph, models, overlay, raster, sampling, spatial, stats, timeseries
 from siteflux.operators.matching import PrefixMatch
 
 
@@ -318,3 +318,58 @@ def test_overlaps_add_up_to_areas(spark):
     parts = {r["id"]: r["a"] for r in spatial.grid_overlap(shapes, "id", 0.5, 0.5, 1.7).groupBy("id").agg(F.sum("overlap_area").alias("a")).collect()}
     whole = {r["id"]: r["a"] for r in shapes.filter("id < 30").select("id", spatial.area(F.col("ring")).alias("a")).collect()}
     assert set(parts) == set(whole) and all(parts[k] == pytest.approx(whole[k]) for k in whole)
+
+
+SHAPES = "g int, shape array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>>>>"
+
+
+def _inside_rows(spark, shapes, points):
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "p int, x double, y double")
+    held = p.crossJoin(shapes).filter(spatial.in_shape(F.col("shape"), F.col("x"), F.col("y")))
+    return {(r["g"], r["p"]) for r in held.select("g", "p").collect()}
+
+
+def test_dissolved_shapes_hold_what_their_polygons_hold(spark):
+    rng = np.random.default_rng(11)
+    rows, points = [], rng.uniform(-12, 12, (400, 2))
+    for k in range(14):
+        x, y, far = *rng.uniform(-8, 8, 2), rng.uniform(1, 6)
+        rows.append((k % 3 if k % 3 else None, [_star(rng, 9, x, y, far)]))
+    square = [(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)]
+    rows += [(7, [square, [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0)]]), (7, [square[::-1]]), (8, [square, [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0)]]), (9, [])]
+    df = spark.createDataFrame([(g, [(0, n > 0, r) for n, r in enumerate(s)]) for g, s in rows], SHAPES)
+    out = overlay.dissolve(df, "g")
+    want = {(g, k) for g, s in rows for k, (x, y) in enumerate(points) if s and _odd(s, x, y)}
+    assert _inside_rows(spark, out, points) == want
+    areas = {r["g"]: r["a"] for r in out.select("g", spatial.shape_area(F.col("shape")).alias("a")).collect()}
+    assert areas[7] == 36 and areas[8] == 32 and set(areas) == {None, 1, 2, 7, 8}
+    assert out.select(F.explode("shape.ring").alias("r")).filter(F.size("r") < 3).count() == 0
+
+
+def test_shared_sides_cancel_though_their_corners_differ(spark):
+    box = lambda a, b, c, d: [(float(x), float(y)) for x, y in ((a, b), (c, b), (c, d), (a, d))]
+    rows = [(1, [(0, False, r)]) for r in (box(0, 0, 2, 1), box(0, 1, 1, 2), box(1, 1, 2, 3), box(0, 2, 1, 3), box(5, 5, 6, 6))]
+    shape = overlay.dissolve(spark.createDataFrame(rows, SHAPES), "g").first()["shape"]
+    assert sorted(sorted((p["x"], p["y"]) for p in r["ring"]) for r in shape) == [[(0, 0), (0, 3), (2, 0), (2, 3)], [(5, 5), (5, 6), (6, 5), (6, 6)]]
+
+
+def test_buffers_hold_what_is_near(spark):
+    rng = np.random.default_rng(12)
+    shapes = [(k, [_star(rng, 8, *rng.uniform(-8, 8, 2), rng.uniform(2, 6))]) for k in range(5)]
+    shapes.append((5, [[(-9.0, -9.0), (9.0, -9.0), (9.0, 9.0), (-9.0, 9.0)], [(-4.0, -4.0), (-4.0, 4.0), (4.0, 4.0), (4.0, -4.0)]]))
+    df = spark.createDataFrame([(g, [(0, n > 0, r) for n, r in enumerate(s)]) for g, s in shapes], SHAPES)
+    points, radius = rng.uniform(-13, 13, (400, 2)), 1.5
+    got = _inside_rows(spark, overlay.buffer(df, "g", radius, quarter=64), points)
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "p int, x double, y double")
+    far = p.crossJoin(df).select("g", "p", spatial.distance_to_shape(F.col("shape"), F.col("x"), F.col("y")).alias("d")).collect()
+    clear = {(r["g"], r["p"]) for r in far if abs(r["d"] - radius) > 2e-3}
+    assert len(clear) > 2390 and got & clear == {(r["g"], r["p"]) for r in far if r["d"] <= radius} & clear
+    closed = overlay.buffer(df.filter("g = 5"), "g", 4.5).first()["shape"]
+    assert [r["hole"] for r in closed] == [False]  # the hole is filled
+
+
+def test_unions_of_nothing(spark):
+    none = spark.createDataFrame([], SHAPES)
+    assert overlay.dissolve(none, "g").count() == 0 and overlay.buffer(none, "g", 1.0).count() == 0
+    flat = spark.createDataFrame([(1, None), (2, []), (3, [(0, False, [(1.0, 1.0), (2.0, 2.0)])])], SHAPES)
+    assert overlay.dissolve(flat, "g").count() == 0 and overlay.buffer(flat, "g", 1.0).count() == 0
