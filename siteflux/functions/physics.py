@@ -88,3 +88,21 @@ def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
     rho = _A * F.sqrt(_C - _N * q) / _N
     theta = _N * F.radians(lon - _LON0)
     return rho * F.sin(theta), _RHO0 - rho * F.cos(theta)
+
+
+def albers_inverse(x: Column, y: Column, steps: int = 6) -> tuple[Column, Column]:
+    """Latitude and longitude in degrees of projected metres: Newton steps from the sphere's latitude, a loop within
+    one expression. Null where no place projects there."""
+    rho, theta = F.sqrt(x * x + (_RHO0 - y) * (_RHO0 - y)), F.atan2(x, _RHO0 - y)
+    q = (_C - F.pow(rho * (_N / _A), F.lit(2.0))) / _N
+    whole = _q(math.pi / 2)
+
+    def step(at: Column, _: Column) -> Column:
+        s = F.sin(at["phi"])
+        part = 1 - F.pow(_E * s, F.lit(2.0))
+        off = at["q"] / (1 - _E**2) - s / part + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E)
+        return F.struct((at["phi"] + part * part / (2 * F.cos(at["phi"])) * off).alias("phi"), at["q"].alias("q"))
+
+    start = F.struct(F.asin(F.when(F.abs(q) < whole, q / whole)).alias("phi"), q.alias("q"))
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["phi"]
+    return F.degrees(phi), F.lit(_LON0) + F.degrees(theta / _N)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,57 @@ def resampled(cells: DataFrame, template: DataFrame, ratio_y: float, ratio_x: fl
     return t.join(s, ["_i", "_j"], "left").select("i", "j", "value")
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Where a raster's cells lie: the left edge of column 0, the top edge of row 0, and a cell's width and height."""
+
+    left: float
+    top: float
+    dx: float
+    dy: float
+
+    def centre(self) -> tuple[Column, Column]:
+        return self.left + (F.col("j") + 0.5) * self.dx, self.top - (F.col("i") + 0.5) * self.dy
+
+    def place(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """Row and column with fractions; whole numbers are centres of cells."""
+        return (self.top - y) / self.dy - 0.5, (x - self.left) / self.dx - 0.5
+
+
+def warped(cells: DataFrame, grid: Grid, template: DataFrame, to: Grid, to_source: Callable[[Column, Column], tuple[Column, Column]], bilinear: bool = False) -> DataFrame:
+    """i, j and value of the template's cells, on the grid to, from cells on another grid and in another projection.
+
+    to_source turns x and y of the template's projection into those of the cells'. Only cells within the bounds of what
+    the template asks for are read on. Nearest: the cell that a centre falls in. Bilinear: the four cells around it by
+    distance, of which those without a value don't count; each cell goes to the four blocks of two by two that it is in,
+    so that a template's cell meets one row. Null where no cell counts or no place projects there."""
+    v, u = grid.place(*to_source(*to.centre()))
+    asked = template.select("i", "j", v.alias("_v"), u.alias("_u"))
+    half = 0.0 if bilinear else 0.5
+    known = F.col("_v").isNotNull() & F.col("_u").isNotNull()
+    asked = asked.withColumns({n: F.when(known, F.floor(F.col(c) + half)).cast("long") for n, c in (("_i", "_v"), ("_j", "_u"))})
+    top, bottom, left, right = asked.agg(F.min("_i"), F.max("_i"), F.min("_j"), F.max("_j")).first()
+    if top is None:
+        return template.select("i", "j", F.lit(None).cast("double").alias("value"))
+    near = cells.filter(F.col("i").between(top, bottom + 1) & F.col("j").between(left, right + 1))
+    near = near.select(F.col("i").cast("long").alias("_i"), F.col("j").cast("long").alias("_j"), F.col("value").cast("double").alias("_value"))
+    if not bilinear:
+        return asked.join(near, ["_i", "_j"], "left").select("i", "j", F.col("_value").alias("value"))
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in corners])).alias("_c")
+    blocks = near.filter("_value IS NOT NULL").select("_i", "_j", "_value", moves)
+    blocks = blocks.groupBy((F.col("_i") - F.col("_c.a")).alias("_i"), (F.col("_j") - F.col("_c.b")).alias("_j")).agg(
+        *[F.max(F.when((F.col("_c.a") == a) & (F.col("_c.b") == b), F.col("_value"))).alias(f"_{a}{b}") for a, b in corners]
+    )
+    fv, fu = F.col("_v") - F.col("_i"), F.col("_u") - F.col("_j")
+    share = {(a, b): (fv if a else 1 - fv) * (fu if b else 1 - fu) for a, b in corners}
+    total = weight = F.lit(0.0)
+    for (a, b), w in share.items():
+        there = F.col(f"_{a}{b}").isNotNull()
+        total, weight = total + F.when(there, w * F.col(f"_{a}{b}")).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
+    return asked.join(blocks, ["_i", "_j"], "left").select("i", "j", F.when(weight > 0, total / weight).alias("value"))
+
+
 def mosaic(frames: list[DataFrame]) -> DataFrame:
     """The first valid value of each cell, by the frames' order."""
     ranked = None

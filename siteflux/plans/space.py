@@ -388,3 +388,45 @@ def buffered_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = _holed(spark, sf_dir).withColumn("mask", F.lit(0))
     mask = overlay.buffer(shapes, "mask", 1.3, quarter=64)
     return spatial.within(_points(spark, sf_dir), mask, "c_custkey", "mask", "x", "y", 500.0).select("c_custkey")
+
+
+def _inverse_sql(steps: int = 6) -> str:
+    """Latitude and longitude of projected x and y by the same Newton steps, one query around the other."""
+    e = f"{_K['e']!r}"
+    out = f"""SELECT *, {_K['lon0']!r} + degrees(atan2(x, {_K['rho0']!r} - y) / {_K['n']!r}) AS lon, asin(q / {physics._q(physics.math.pi / 2)!r}) AS phi
+FROM (SELECT *, ({_K['c']!r} - pow(sqrt(x * x + pow({_K['rho0']!r} - y, 2)) * {_K['n']!r} / {_K['a']!r}, 2)) / {_K['n']!r} AS q FROM xy)"""
+    for _ in range(steps):
+        out = f"""SELECT * EXCLUDE (phi), phi + pow(1 - pow({e} * sin(phi), 2), 2) / (2 * cos(phi)) * (q / (1 - {e} * {e}) - sin(phi) / (1 - pow({e} * sin(phi), 2)) + ln((1 - {e} * sin(phi)) / (1 + {e} * sin(phi))) / (2 * {e})) AS phi FROM ({out})"""
+    return out
+
+
+_FROM, _TO = raster.Grid(-100.0, 47.0, 0.1, 0.02), raster.Grid(-310_000.0, 2_650_000.0, 8000.0, 2500.0)
+
+
+@query(f"""WITH {_CELLS}, src AS (SELECT i, j, CASE WHEN k % 11 <> 3 THEN value END AS value FROM cells),
+xy AS (SELECT i, j, {_TO.left!r} + (j + 0.5) * {_TO.dx!r} AS x, {_TO.top!r} - (i + 0.5) * {_TO.dy!r} AS y FROM cells),
+at_ AS (SELECT i, j, ({_FROM.top!r} - degrees(phi)) / {_FROM.dy!r} - 0.5 AS v, (lon - ({_FROM.left!r})) / {_FROM.dx!r} - 0.5 AS u FROM ({_inverse_sql()})),
+c AS (SELECT a.i, a.j, s.value, CASE WHEN o.a = 1 THEN v - floor(v) ELSE 1 - v + floor(v) END * CASE WHEN o.b = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END AS w
+  FROM at_ a, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b) JOIN src s ON s.i = floor(v) + o.a AND s.j = floor(u) + o.b WHERE s.value IS NOT NULL),
+b AS (SELECT i, j, sum(w * value) / sum(w) AS value FROM c GROUP BY i, j HAVING sum(w) > 0)
+SELECT a.i, a.j, n.value AS nearest, round(b.value, 4) AS bilinear FROM at_ a LEFT JOIN src n ON n.i = floor(a.v + 0.5) AND n.j = floor(a.u + 0.5) LEFT JOIN b ON b.i = a.i AND b.j = a.j""")
+def raster_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of degrees on a grid of projected metres, by nearest cells and by bilinear means."""
+    c = _cells(spark, sf_dir)
+    source = c.withColumn("value", F.when(F.col("k") % 11 != 3, F.col("value")))
+
+    def degrees(x, y):
+        lat, lon = physics.albers_inverse(x, y)
+        return lon, lat
+
+    near, smooth = (raster.warped(source, _FROM, c, _TO, degrees, bilinear) for bilinear in (False, True))
+    return near.withColumnRenamed("value", "nearest").join(smooth, ["i", "j"]).select("i", "j", "nearest", F.round("value", 4).alias("bilinear"))
+
+
+@query(f"""SELECT c_custkey, round(25 + (c_custkey % 240) / 10.0, 9) AS lat, round(-120 + (c_custkey % 530) / 10.0, 9) AS lon FROM customer""")
+def albers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected and back: the degrees that went in."""
+    c = table(spark, sf_dir, "customer", "c_custkey")
+    x, y = physics.albers(25 + (F.col("c_custkey") % 240) / 10.0, -120 + (F.col("c_custkey") % 530) / 10.0)
+    lat, lon = physics.albers_inverse(x, y)
+    return c.select("c_custkey", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))

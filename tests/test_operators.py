@@ -373,3 +373,28 @@ def test_unions_of_nothing(spark):
     assert overlay.dissolve(none, "g").count() == 0 and overlay.buffer(none, "g", 1.0).count() == 0
     flat = spark.createDataFrame([(1, None), (2, []), (3, [(0, False, [(1.0, 1.0), (2.0, 2.0)])])], SHAPES)
     assert overlay.dissolve(flat, "g").count() == 0 and overlay.buffer(flat, "g", 1.0).count() == 0
+
+
+def test_albers_there_and_back(spark):
+    rng = np.random.default_rng(13)
+    d = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(20, 55, 300), rng.uniform(-130, -60, 300))] + [(23.0, -96.0)], "lat double, lon double")
+    x, y = physics.albers(F.col("lat"), F.col("lon"))
+    lat, lon = physics.albers_inverse(F.col("x"), F.col("y"))
+    again = d.select("lat", "lon", x.alias("x"), y.alias("y")).select("*", lat.alias("lat2"), lon.alias("lon2"))
+    x2, y2 = physics.albers(F.col("lat2"), F.col("lon2"))
+    worst = again.select(F.max(F.hypot(F.col("x") - x2, F.col("y") - y2)), F.max(F.abs(F.col("lat") - F.col("lat2"))), F.max(F.abs(F.col("lon") - F.col("lon2")))).first()
+    assert worst[0] < 1e-6 and worst[1] < 1e-11 and worst[2] < 1e-11
+    far = spark.createDataFrame([(0.0, 3e7)], "x double, y double").select(*physics.albers_inverse(F.col("x"), F.col("y"))).first()
+    assert far[0] is None
+
+
+def test_warp_of_a_plane_is_exact(spark):
+    cells = spark.createDataFrame([(i, j, 3.0 * i - 2.0 * j) for i in range(12) for j in range(9)], "i int, j int, value double")
+    template = spark.createDataFrame([(i, j) for i in range(8) for j in range(8)], "i int, j int")
+    out = raster.warped(cells, raster.Grid(0, 12, 1, 1), template, raster.Grid(1, 11, 0.9, 1.1), lambda x, y: (x, y), bilinear=True).collect()
+    for r in out:
+        row, column = 12 - (11 - (r["i"] + 0.5) * 1.1) - 0.5, 1 + (r["j"] + 0.5) * 0.9 - 0.5
+        assert r["value"] == pytest.approx(3 * row - 2 * column)
+    none = raster.warped(cells, raster.Grid(0, 12, 1, 1), template, raster.Grid(500, 11, 1, 1), lambda x, y: (x, y), bilinear=True)
+    assert none.count() == 64 and none.filter("value IS NOT NULL").count() == 0
+    assert raster.warped(cells, raster.Grid(0, 12, 1, 1), template.limit(0), raster.Grid(0, 12, 1, 1), lambda x, y: (x, y)).count() == 0
