@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteflux.functions import keys, physics
-from siteflux.operators import events, graph, models, overlay, raster, sampling, spatial, stats, timeseries
+from siteflux.operators import events, graph, leafwise, models, overlay, parallel, raster, sampling, spatial, stats, timeseries
 from siteflux.operators.matching import PrefixMatch
 
 
@@ -398,3 +398,80 @@ def test_warp_of_a_plane_is_exact(spark):
     none = raster.warped(cells, raster.Grid(0, 12, 1, 1), template, raster.Grid(500, 11, 1, 1), lambda x, y: (x, y), bilinear=True)
     assert none.count() == 64 and none.filter("value IS NOT NULL").count() == 0
     assert raster.warped(cells, raster.Grid(0, 12, 1, 1), template.limit(0), raster.Grid(0, 12, 1, 1), lambda x, y: (x, y)).count() == 0
+
+
+def _plain_tree(bins, g, h, s, widths):
+    """Best-first growth with every split of every leaf tried row by row."""
+    score = lambda a, b: max(abs(a) - s.l1, 0.0) ** 2 / (b + s.l2)
+    value = lambda m: float(-s.rate * np.sign(g[m].sum()) * max(abs(g[m].sum()) - s.l1, 0.0) / (h[m].sum() + s.l2))
+    leaves = [(np.ones(len(g), bool), 0)]
+    while len(leaves) < s.leaves:
+        best = (s.least_gain, None)
+        for n, (m, deep) in enumerate(leaves):
+            if deep == s.depth:
+                continue
+            for f, width in enumerate(widths):
+                for cut_ in range(1, width):
+                    for missing in (False, True):
+                        left = m & (((bins[:, f] > 0) & (bins[:, f] <= cut_)) | ((bins[:, f] == 0) & missing))
+                        right = m & ~left
+                        if min(left.sum(), right.sum()) >= s.least_rows:
+                            gain = score(g[left].sum(), h[left].sum()) + score(g[right].sum(), h[right].sum()) - score(g[m].sum(), h[m].sum())
+                            if gain > best[0] + 1e-9:
+                                best = (gain, n, left, right, deep + 1)
+        if best[1] is None:
+            break
+        _, n, left, right, deep = best
+        leaves[n : n + 1] = [(left, deep), (right, deep)]
+    out = np.zeros(len(g))
+    for m, _ in leaves:
+        out[m] = value(m) if len(leaves) > 1 else 0.0
+    return out, len(leaves)
+
+
+def test_leafwise_trees_equal_a_plain_search(spark):
+    rng = np.random.default_rng(14)
+    n = 160
+    bins = np.stack([rng.integers(0, 6, n), rng.integers(1, 5, n), rng.integers(0, 3, n)], 1)
+    y, w = bins[:, 0] * 1.5 + np.where(bins[:, 1] > 2, 7, 0) + rng.normal(size=n), rng.uniform(0.5, 2, n)
+    rows = spark.createDataFrame([(k, [int(b) for b in bins[k]], float(y[k]), float(w[k]), False) for k in range(n)], "id long, bins array<int>, y double, w double, held boolean")
+    for leaves, depth, l1, l2, gain in ((5, 4, 1.0, 10.0, 0.1), (5, 2, 0.0, 1.0, 0.0), (4, 4, 30.0, 5.0, 40.0), (2, 4, 1e9, 1.0, 0.0)):
+        s = leafwise.with_settings(rate=0.5, leaves=leaves, depth=depth, least_rows=9, l1=l1, l2=l2, least_gain=gain, rows=1.0, columns=1.0)
+        made = leafwise.Booster([False] * 3, [6, 5, 3], s, 1).fit(rows, 3)
+        pred = np.full(n, (w * y).sum() / w.sum())
+        for tree in made.trees:
+            step, count = _plain_tree(bins, (pred - y) * w, w, s, [6, 5, 3])
+            assert tree.predict(bins) == pytest.approx(step) and tree.feature.count(-1) == count
+            pred += step
+        assert len(made.trees) == (3 if l1 < 1e9 else 0)
+
+
+def test_leafwise_boosting_of_blocks(spark):
+    rng = np.random.default_rng(15)
+    rows = [(int(k % 12), float(rng.uniform()) if k % 9 else None, ["a", "b", None][k % 3], k) for k in range(600)]
+    d = spark.createDataFrame([(b, x, c, (x or 0.5) * 4 + (c == "a") * 2.0) for b, x, c, _ in rows] + [(1, 0.5, "a", None)], "block int, x double, c string, y double")
+    make = lambda **k: leafwise.LeafwiseBoosting(["x", "c"], "y", "block", None, ["c"], leafwise.with_settings(rate=0.4, least_rows=5, l2=1.0, least_gain=0.0), rounds=8, folds=3, patience=3, **k)
+    one, many = make(threads=1, keep_held_out=True).fit(d), make(threads=3).fit(d)
+    assert one.best == many.best and len(one.best) == 3
+    first, second = one.predict(d).collect(), many.predict(d).collect()
+    assert sorted(r["prediction"] for r in first) == pytest.approx(sorted(r["prediction"] for r in second))
+    assert len(first) == 601 and one.held_out.count() == 601
+    known = [r for r in first if r["y"] is not None]
+    assert np.mean([(r["prediction"] - r["y"]) ** 2 for r in known]) < 0.2 * np.var([r["y"] for r in known])
+    unseen = spark.createDataFrame([(1, None, "zz", 0.0)], d.schema)
+    assert one.predict(unseen).first()["prediction"] is not None
+
+
+def test_side_by_side_keeps_order_and_stops_at_a_failure(spark):
+    import time
+
+    assert parallel.side_by_side([lambda k=k: spark.range(k).count() for k in (5, 3, 8)], 3) == [5, 3, 8]
+    began = time.time()
+
+    def bad():
+        raise ValueError("no")
+
+    slow = lambda: spark.range(4).repartition(2).mapInPandas(lambda b: (time.sleep(60), b)[1], "id long").count()
+    with pytest.raises(ValueError):
+        parallel.side_by_side([slow, bad, slow, slow], 2)
+    assert time.time() - began < 50
