@@ -11,7 +11,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,42 +24,66 @@ _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "
 _KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """The first band of a plain or deflated TIFF in strips or tiles, and its tags: scale (pixel size),
-    tie (raster and map point), nodata."""
-    end = "<" if data[:2] == b"II" else ">"
-    if struct.unpack(end + "H", data[2:4])[0] != 42:
+Reader = Callable[[int, int], bytes]
+
+
+def _of(data: bytes) -> Reader:
+    """Reads (offset, size) of a whole file that is there."""
+    return lambda at, size: data[at : at + size]
+
+
+def tiff_layout(read: Reader) -> dict:
+    """What the head of a classic TIFF says of its first band: shape, kind, blocks (row, column, rows, columns, offset, size),
+    packing, predictor, scale (pixel size), tie (raster and map point), nodata. Only the head is read."""
+    end = "<" if read(0, 2) == b"II" else ">"
+    if struct.unpack(end + "H", read(2, 2))[0] != 42:
         raise ValueError("not a classic TIFF")
-    at = struct.unpack(end + "I", data[4:8])[0]
+    at = struct.unpack(end + "I", read(4, 4))[0]
+    count = struct.unpack(end + "H", read(at, 2))[0]
+    entries = read(at + 2, 12 * count)
     tags: dict = {"packing": (1,), "predictor": (1,), "kind": (1,)}
-    for k in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        p = at + 2 + 12 * k
-        tag, code, n = struct.unpack(end + "HHI", data[p : p + 8])
+    for p in range(0, 12 * count, 12):
+        tag, code, n = struct.unpack(end + "HHI", entries[p : p + 8])
         if tag in _TAGS and code in _TYPES:
             fmt = f"{end}{n}s" if code == 2 else end + _TYPES[code] * n
             size = struct.calcsize(fmt)
-            q = p + 8 if size <= 4 else struct.unpack(end + "I", data[p + 8 : p + 12])[0]
-            tags[_TAGS[tag]] = struct.unpack(fmt, data[q : q + size])
+            tags[_TAGS[tag]] = struct.unpack(fmt, entries[p + 8 : p + 8 + size] if size <= 4 else read(struct.unpack(end + "I", entries[p + 8 : p + 12])[0], size))
     w, h, kind = tags["width"][0], tags["height"][0], f"{end}{_KINDS[tags['kind'][0]]}{tags['bits'][0] // 8}"
-    unpack = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(tags["packing"][0])
-    if unpack is None:
+    if tags["packing"][0] not in (1, 5, 8, 32946):
         raise ValueError("only plain, LZW-packed and deflated TIFFs are read")
-    out = np.zeros((h, w), kind)
     if "tiles" in tags:
         tw, th = tags["tile_w"][0], tags["tile_h"][0]
-        blocks = [(i * th, j * tw, th, tw) for i in range(-(-h // th)) for j in range(-(-w // tw))]
+        places = [(i * th, j * tw, th, tw) for i in range(-(-h // th)) for j in range(-(-w // tw))]
         where = zip(tags["tiles"], tags["tile_sizes"])
     else:
         rows = min(tags.get("rows", (h,))[0], h)
-        blocks, where = [(i, 0, min(rows, h - i), w) for i in range(0, h, rows)], zip(tags["strips"], tags["sizes"])
-    for (i, j, bh, bw), (q, size) in zip(blocks, where):
-        raw = data[q : q + size]
-        part = np.frombuffer(unpack(raw), kind)[: bh * bw].reshape(bh, bw)
-        if tags["predictor"][0] == 2:
-            part = np.cumsum(part, 1, dtype=part.dtype)
-        out[i : i + bh, j : j + bw] = part[: h - i, : w - j]
+        places, where = [(i, 0, min(rows, h - i), w) for i in range(0, h, rows)], zip(tags["strips"], tags["sizes"])
     nodata = tags.get("nodata")
-    return out, {"scale": tags.get("scale"), "tie": tags.get("tie"), "nodata": float(nodata[0].strip(b"\0 ")) if nodata else None}
+    return {
+        "shape": (h, w), "kind": kind, "blocks": [(*p, *q) for p, q in zip(places, where)], "packing": tags["packing"][0], "predictor": tags["predictor"][0],
+        "scale": tags.get("scale"), "tie": tags.get("tie"), "nodata": float(nodata[0].strip(b"\0 ")) if nodata else None,
+    }
+
+
+def tiff_block(layout: dict, block: tuple[int, ...], raw: bytes) -> np.ndarray:
+    """The cells of one block, less what lies beyond the raster's edges."""
+    i, j, rows, columns = block[:4]
+    unpack = {1: bytes, 5: unpack_lzw}.get(layout["packing"], zlib.decompress)
+    part = np.frombuffer(unpack(raw), layout["kind"])[: rows * columns].reshape(rows, columns)
+    if layout["predictor"] == 2:
+        part = np.cumsum(part, 1, dtype=part.dtype)
+    h, w = layout["shape"]
+    return part[: h - i, : w - j]
+
+
+def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
+    """The first band of a plain, LZW-packed or deflated TIFF in strips or tiles, and its scale, tie and nodata."""
+    layout = tiff_layout(_of(data))
+    out = np.zeros(layout["shape"], layout["kind"])
+    for block in layout["blocks"]:
+        part = tiff_block(layout, block, data[block[4] : block[4] + block[5]])
+        out[block[0] : block[0] + part.shape[0], block[1] : block[1] + part.shape[1]] = part
+    return out, {k: layout[k] for k in ("scale", "tie", "nodata")}
 
 
 def unpack_lzw(data: bytes) -> bytes:
