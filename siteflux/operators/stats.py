@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,52 +110,163 @@ def gev_return_level(moments: DataFrame, period: float) -> DataFrame:
     return out.withColumn("return_level", level).withColumn("shape", -F.col("k")).drop("k")
 
 
-def gev_likelihood(df: DataFrame, by: list[str], value: str, period: float) -> DataFrame:
-    """The same by maximum likelihood: each group's short series is fitted by simplex search from
-    several shapes. Groups of fewer than five values have null."""
-
-    def loss(q: np.ndarray, x: np.ndarray) -> float:
-        mu, sigma, xi = q[0], np.exp(q[1]), q[2]
-        z = (x - mu) / sigma
-        if abs(xi) < 1e-8:
-            return len(x) * np.log(sigma) + z.sum() + np.exp(-z).sum()
-        t = 1 + xi * z
-        if (t <= 0).any() or abs(xi) > 2:
-            return np.inf
-        return len(x) * np.log(sigma) + (1 + 1 / xi) * np.log(t).sum() + (t ** (-1 / xi)).sum()
-
-    def simplex(start: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
-        points = [start] + [start + d for d in np.diag([0.1 * (x.std() + 1e-9), 0.1, 0.1])]
-        values = [loss(p, x) for p in points]
-        for _ in range(400):
-            order = np.argsort(values)
-            points, values = [points[i] for i in order], [values[i] for i in order]
-            if np.isfinite(values[-1]) and values[-1] - values[0] < 1e-10:
+def _gev_terms(x: np.ndarray, there: np.ndarray, q: np.ndarray, slopes: bool = True) -> tuple[np.ndarray, ...]:
+    """Negative log likelihood of each row of x under q (location, log scale, shape), with gradient and Hessian: infinite off
+    the support. y is log(1 + shape z) / shape and its slopes by the shape, as series near 0."""
+    mu, s, xi = (q[:, k, None] for k in range(3))
+    z = (x - mu) * np.exp(-s)
+    t = np.where(there, 1 + xi * z, 1.0)
+    fine = (t > 0).all(1) & (np.abs(q[:, 2]) < 1)
+    t = np.where(t > 0, t, 1.0)
+    flat = np.abs(xi * z) < 1e-2
+    safe = np.where(xi == 0, 1.0, xi)
+    powers = [(-1.0) ** k * z ** (k + 1) / (k + 1) for k in range(8)]
+    y = np.where(flat, sum(p * xi**k for k, p in enumerate(powers)), np.log(t) / safe)
+    w = np.exp(-y)
+    each = np.where(there, s + (1 + xi) * y + w, 0.0)
+    loss = np.where(fine, each.sum(1), np.inf)
+    if not slopes:
+        return (loss,)
+    y1 = np.where(flat, sum(k * p * xi ** (k - 1) for k, p in enumerate(powers) if k), (z / t - y) / safe)
+    y2 = np.where(flat, sum(k * (k - 1) * p * xi ** (k - 2) for k, p in enumerate(powers) if k > 1), (-((z / t) ** 2) - 2 * y1) / safe)
+    a = 1 + xi - w
+    fz, fzz, fx = a / t, (1 + xi) * (w - xi) / t**2, y + a * y1
+    fzx, fxx = (1 + w * y1) / t - a * z / t**2, y1 * (2 + w * y1) + a * y2
+    total = lambda v: np.where(there, v, 0.0).sum(1)
+    scale = np.exp(-q[:, 1])
+    g = np.stack([-total(fz) * scale, there.sum(1) - total(fz * z), total(fx)], 1)
+    h = np.empty((len(x), 3, 3))
+    h[:, 0, 0], h[:, 1, 1], h[:, 2, 2] = total(fzz) * scale**2, total(fzz * z * z + fz * z), total(fxx)
+    h[:, 0, 1] = h[:, 1, 0] = total(fzz * z + fz) * scale
+    h[:, 0, 2] = h[:, 2, 0] = -total(fzx) * scale
+    h[:, 1, 2] = h[:, 2, 1] = -total(fzx * z)
+    return loss, g, h
+
+
+def gev_newton(x: np.ndarray, there: np.ndarray, rounds: int = 100, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Location, log scale and shape of each row of x (cells where there is true) by damped Newton steps on all rows at once,
+    and whether the score equations hold. Rows are brought to mean 0 and deviation 1 first."""
+    n = there.sum(1)
+    mean = np.where(there, x, 0.0).sum(1) / np.maximum(n, 1)
+    deviation = np.sqrt(np.where(there, (x - mean[:, None]) ** 2, 0.0).sum(1) / np.maximum(n, 1))
+    unit = np.where(there, (x - mean[:, None]) / np.where(deviation > 0, deviation, 1.0)[:, None], 0.0)
+    best, done = np.zeros((len(x), 3)), np.zeros(len(x), bool)
+    sigma = np.sqrt(6) / np.pi
+    for shape in (0.05, -0.1, 0.25, -0.3):
+        rows = np.flatnonzero(~done & (deviation > 0))
+        if not len(rows):
+            break
+        q = np.tile([-0.5772 * sigma, np.log(sigma), shape], (len(rows), 1))
+        spread = np.abs(unit[rows]).max(1) / sigma + 1
+        q[:, 2] = np.sign(shape) * np.minimum(abs(shape), 0.9 / spread)  # on the support
+        still = np.arange(len(rows))
+        for _ in range(rounds):
+            part, on = unit[rows[still]], there[rows[still]]
+            loss, g, h = _gev_terms(part, on, q[still])
+            solved = np.abs(g).max(1) <= tol * n[rows[still]]
+            done[rows[still[solved]]] = True
+            still, part, on, loss, g, h = (v[~solved] for v in (still, part, on, loss, g, h))
+            if not len(still):
                 break
-            mid = np.mean(points[:-1], 0)
-            tries = [mid + a * (mid - points[-1]) for a in (1.0, 2.0, 0.5, -0.5)]
-            got = [loss(p, x) for p in tries]
-            best = int(np.argmin(got))
-            if got[best] < values[-1]:
-                points[-1], values[-1] = tries[best], got[best]
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [loss(p, x) for p in points[1:]]
-        return values[0], points[0]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna().to_numpy(float)
-        row = {c: pdf[c].iloc[0] for c in by} | {"shape": None, "scale": None, "location": None, "return_level": None}
-        if len(x) >= 5 and x.std() > 0:
-            sigma = x.std() * np.sqrt(6) / np.pi
-            _, (mu, s, xi) = min((simplex(np.array([x.mean() - 0.5772 * sigma, np.log(sigma), a]), x) for a in (0.0, 0.1, -0.1)), key=lambda r: r[0])
-            y = -np.log(1 - 1 / period)
-            row |= {"shape": xi, "scale": np.exp(s), "location": mu, "return_level": mu - np.exp(s) * np.log(y) if abs(xi) < 1e-8 else mu + np.exp(s) * (y**-xi - 1) / xi}
-        return pd.DataFrame([row])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["shape double", "scale double", "location double", "return_level double"])
-    return df.select(*by, value).groupBy(*by).applyInPandas(fit, schema)
+            values, vectors = np.linalg.eigh(h)
+            bent = np.maximum(np.abs(values), 1e-3 * n[rows[still], None])
+            step = -np.einsum("nij,nj->ni", vectors, np.einsum("nji,nj->ni", vectors, g) / bent)
+            step *= np.minimum(1.0, 1.0 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
+            open_, share = np.arange(len(still)), 1.0
+            for _ in range(30):
+                tried = q[still[open_]] + share * step[open_]
+                better = _gev_terms(part[open_], on[open_], tried, slopes=False)[0] <= loss[open_] + 1e-12 * np.abs(loss[open_])
+                q[still[open_[better]]] = tried[better]
+                open_, share = open_[~better], share / 2
+                if not len(open_):
+                    break
+            still = np.delete(still, open_)  # no step is better any more
+            if not len(still):
+                break
+        good = done[rows]
+        best[rows[good]] = q[good]
+    best[:, 0], best[:, 1] = mean + deviation * best[:, 0], best[:, 1] + np.log(np.where(deviation > 0, deviation, 1.0))
+    return best, done
+
+
+#: Numbers of the series that are worked on at a time.
+TOGETHER = 200_000
+
+
+def gev_likelihood(df: DataFrame, by: list[str], value: str, period: float) -> DataFrame:
+    """The same by maximum likelihood: Newton steps for all series of an Arrow batch at once. Groups of fewer than five
+    values, of equal ones, or whose likelihood has no maximum with a shape between -1 and 1 have null. A series is one row in a
+    task, as a cell's yearly maxima are few."""
+    x = F.col(value).cast("double")
+    series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(~F.isnan(x), x))).alias("_x"))
+    y, kinds = float(-np.log(1 - 1 / period)), dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = 0
+            sizes = pc.list_value_length(b.column(len(by))).to_numpy()
+            while a < b.num_rows:
+                z = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), TOGETHER)))
+                part, width = b.slice(a, z - a), max(1, int(sizes[a:z].max()))
+                there = np.arange(width) < sizes[a:z, None]
+                values = np.zeros(there.shape)
+                values[there] = part.column(len(by)).flatten().to_numpy()
+                q, ok = gev_newton(values, there & (sizes[a:z, None] >= 5))
+                mu, sigma, xi = q[:, 0], np.exp(q[:, 1]), q[:, 2]
+                small = np.abs(xi) < 1e-8
+                level = mu + sigma * np.where(small, -np.log(y), (y**-xi - 1) / np.where(small, 1.0, xi))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(by)], *[pa.array(v, mask=~ok) for v in (xi, sigma, mu, level)]], [*by, "shape", "scale", "location", "return_level"])
+                a = z
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["shape double", "scale double", "location double", "return_level double"])
+    return series.mapInArrow(run, schema)
+
+
+def gev_scores(df: DataFrame, fits: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n and the score equations of each group at its fitted shape, scale and location, per value and in units of the scale:
+    0 at the maximum of the likelihood."""
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).join(fits, by)
+    z, xi = (F.col(value) - F.col("location")) / F.col("scale"), F.col("shape")
+    t = 1 + xi * z
+    w = F.pow(t, -1 / xi)
+    by_z = (1 + xi - w) / t
+    by_shape = F.log(t) / xi + (1 + xi - w) * (z / t - F.log(t) / xi) / xi
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(by_z).alias("by_location"), F.avg(1 - by_z * z).alias("by_scale"), F.avg(by_shape).alias("by_shape"))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], bins: int = 1024, small: int = 4096) -> DataFrame:
+    """by, share and value: exact quantiles between the two nearest ranks, of groups of any size.
+
+    A rank's value lies between bounds that tighten: rows between them are counted in bins, and the bounds become the least and
+    largest value of the bin with the rank. Once few rows are left, or equal ones, the value is picked. No task holds more
+    of a group than its bins or those few rows. Null, NaN and infinite values don't count; groups without others give no rows."""
+    x = F.col(value).cast("double")
+    known = df.filter(F.abs(x) < float("inf")).select(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("g"), x.alias("x"))
+    groups = known.groupBy("g").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    place = (F.col("m") - 1) * F.col("share")
+    wanted = cut(groups.select("*", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")).select("g", "m", "lo", "hi", "share", F.floor(place).alias("k"), (place - F.floor(place)).alias("part")))
+    ranks = F.explode(F.array("k", F.least(F.col("k") + 1, F.col("m") - 1))).alias("rank")
+    state, done = wanted.select("g", ranks, "lo", "hi", "m", F.lit(0).cast("long").alias("before")).distinct(), None
+    while True:
+        state = cut(state)
+        ready = state.filter((F.col("lo") == F.col("hi")) | (F.col("m") <= small))
+        done = ready if done is None else done.unionByName(ready)
+        state = state.filter((F.col("lo") < F.col("hi")) & (F.col("m") > small))
+        if state.isEmpty():
+            break
+        inside = known.join(state, "g").filter(F.col("x").between(F.col("lo"), F.col("hi")))
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        counts = inside.groupBy("g", "rank", "before", F.least(F.lit(bins - 1), F.floor(share * bins)).alias("bin")).agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        below = F.coalesce(F.sum("m").over(Window.partitionBy("g", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", F.col("before") + below).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("m")))
+        state = counts.select("g", "rank", "lo", "hi", "m", "before")
+    equal = done.filter("lo = hi").select("g", "rank", F.col("lo").alias("v"))
+    few = known.join(done.filter("lo < hi"), "g").filter(F.col("x").between(F.col("lo"), F.col("hi")))
+    few = few.groupBy("g", "rank", "before").agg(F.sort_array(F.collect_list("x")).alias("s")).select("g", "rank", F.get("s", (F.col("rank") - F.col("before")).cast("int")).alias("v"))
+    values = cut(equal.unionByName(few))
+    low, high = (values.select("g", F.col("rank").alias(r), F.col("v").alias(v)) for r, v in (("k", "a"), ("l", "b")))
+    out = wanted.withColumn("l", F.least(F.col("k") + 1, F.col("m") - 1)).join(low, ["g", "k"]).join(high, ["g", "l"])
+    return out.select(*[F.col(f"g.{c}").alias(c) for c in by], "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
 def skill(df: DataFrame, truth: str, predicted: str, by: list[str]) -> DataFrame:

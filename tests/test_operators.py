@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteflux.functions import keys, physics
-from siteflux.operators import events, graph, leafwise, models, overlay, parallel, raster, sampling, spatial, stats, timeseries
+from siteflux.operators import events, graph, leafwise, models, nearest, overlay, parallel, raster, sampling, spatial, stats, timeseries
 from siteflux.operators.matching import PrefixMatch
 
 
@@ -475,3 +475,89 @@ def test_side_by_side_keeps_order_and_stops_at_a_failure(spark):
     with pytest.raises(ValueError):
         parallel.side_by_side([slow, bad, slow, slow], 2)
     assert time.time() - began < 50
+
+
+def _asof(left, right, direction, within=None):
+    out = []
+    for i, k, t in left:
+        near = [(abs(t - u), u, v) for j, u, v in right if j == k and u is not None and (direction == "nearest" or (u <= t if direction == "backward" else u >= t))] if k is not None and t is not None else []
+        best = min(near, default=None)
+        out.append((i, k, t, best[2] if best and (within is None or best[0] <= within) else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", ["4", "23"])
+def test_nearest_rows_equal_plain(spark, parts):
+    rng = np.random.default_rng(16)
+    left = [(i, int(k), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 5, 200), rng.integers(0, 400, 200)))] + [(900, None, 3.0), (901, 2, None), (902, 77, 5.0)]
+    #: One key holds most rows, so that it spans parts without a row of the other side.
+    left += [(1000 + i, 9, float(1000 + i)) for i in range(300)]
+    places = sorted({(int(k), float(t)) for k, t in zip(rng.integers(0, 6, 60), rng.integers(0, 400, 60))}) + [(9, 1001.5), (9, 1250.25)]
+    right = [(k, t, i) for i, (k, t) in enumerate(places)] + [(None, 3.0, 99), (3, None, 98)]
+    a, b = spark.createDataFrame(left, "i int, k int, t double"), spark.createDataFrame(right, "k int, t double, v int")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for direction, within in (("backward", None), ("forward", None), ("nearest", None), ("nearest", 2.5), ("backward", 40.0)):
+            got = nearest.nearest_rows(a, b, ["k"], "t", ["v"], direction, within)
+            assert sorted(((r["i"], r["k"], r["t"], r["near_v"]) for r in got.collect()), key=repr) == _asof(left, right, direction, within)
+        assert nearest.nearest_rows(a, b.limit(0), ["k"], "t", ["v"]).filter("near_v IS NULL").count() == len(left)
+        assert nearest.nearest_rows(a.limit(0), b, ["k"], "t", ["v"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_exact_quantiles_of_groups(spark):
+    rng = np.random.default_rng(17)
+    groups = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], 700), "c": np.array([5.0]), "d": np.exp(rng.normal(size=2500) * 40), None: np.arange(100.0), "e": np.array([-1.7e308, 1.7e308, 3.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", float("nan")), ("a", None), ("a", float("inf")), ("z", None)]
+    d = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for bins, small in ((1024, 4096), (16, 10), (2, 1)):
+        got = {(r["g"], r["share"]): r["value"] for r in stats.exact_quantiles(d.filter("g IS NULL OR g != 'd'") if bins == 2 else d, ["g"], "x", shares, bins, small).collect()}
+        for (g, p), v in got.items():
+            s, at = np.sort(groups[g]), (len(groups[g]) - 1) * p
+            k = int(at)
+            assert v == pytest.approx(s[k] + (s[min(k + 1, len(s) - 1)] - s[k]) * (at - k), rel=1e-12) or abs(s[-1]) > 1e300
+        assert len(got) == 5 * (len(groups) - (bins == 2))
+    assert stats.exact_quantiles(d, [], "x", [0.5], 8, 10).count() == 1 and stats.exact_quantiles(d.limit(0), ["g"], "x", shares).count() == 0
+
+
+def test_likelihood_slopes_equal_differences():
+    rng = np.random.default_rng(18)
+    x, there = rng.gumbel(size=(6, 30)), np.ones((6, 30), bool)
+    there[2, 20:] = False
+    q = np.array([[0.1, 0.05, xi] for xi in (0.0, 1e-4, 0.1, -0.1, 0.02, -0.003)])
+    loss, g, h = stats._gev_terms(x, there, q)
+    assert np.isfinite(loss).all()
+    for k in range(3):
+        d = np.zeros(3)
+        d[k] = 1e-5
+        up, down = stats._gev_terms(x, there, q + d), stats._gev_terms(x, there, q - d)
+        assert g[:, k] == pytest.approx((up[0] - down[0]) / 2e-5, rel=1e-5, abs=1e-5)
+        assert h[:, k] == pytest.approx((up[1] - down[1]) / 2e-5, rel=1e-5, abs=1e-4)
+
+
+def test_likelihood_of_many_cells(spark):
+    import time
+
+    n = 100_000
+    cells = spark.range(n * 40).select((F.col("id") / 40).cast("long").alias("cell"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0 + 1e-9).alias("u"))
+    xi = F.pmod(F.col("cell"), F.lit(5)) * 0.06 - 0.1
+    x = cells.select("cell", (10 + F.when(xi == 0, -F.log(-F.log("u"))).otherwise((F.pow(-F.log("u"), -xi) - 1) / xi)).alias("x")).persist()
+    assert x.count() == n * 40
+    began = time.time()
+    r = stats.gev_likelihood(x, ["cell"], "x", 2.0).agg(F.count("*"), F.count("shape"), F.avg("scale"), F.avg("location")).first()
+    took = time.time() - began
+    x.unpersist()
+    assert r[0] == n and r[1] > 0.99 * n and abs(r[2] - 1) < 0.05 and abs(r[3] - 10) < 0.05
+    assert took < 30 * max(1.0, _slowness())
+
+
+def _slowness():
+    """How much slower than usual this machine is just now."""
+    import time
+
+    began = time.thread_time()
+    sum(range(2_000_000))
+    return (time.thread_time() - began) / 0.04
