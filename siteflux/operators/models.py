@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .iterate import cut
+from .parallel import side_by_side
 
 # The reference settings that have an equivalent here.
 SETTINGS = {"stepSize": 0.01, "maxDepth": 4, "minInstancesPerNode": 1000, "minInfoGain": 0.1, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"}
@@ -38,6 +39,7 @@ class BlockedBoosting:
     patience: int = 100
     min_delta: float = 1e-5
     seed: int = 1
+    threads: int = 4
     keep_held_out: bool = False
     model: object = None
     stages: list = field(default_factory=list)
@@ -83,15 +85,19 @@ class BlockedBoosting:
         inputs = [x for f in self.features for x in ([f"_{f}"] if f in self.categorical else [f"_{f}", f"_{f}_none"])]
         self.stages.append(VectorAssembler(inputCols=inputs, outputCol="__vector", handleInvalid="error"))
         rows = cut(self._vectors(data).withColumn("_fold", fold_of(self.block, self.folds, self.seed)))
-        self.best, self.held_out = [], None
-        for k in range(self.folds):
+        self.held_out = None
+
+        def one(k: int) -> tuple[int, DataFrame | None] | None:
             test, train = rows.filter(F.col("_fold") == k), rows.filter(F.col("_fold") != k)
             if test.isEmpty() or train.isEmpty():
-                continue
-            self.best.append(self._rounds(train, test))
-            if self.keep_held_out:
-                part = self._booster(self.best[-1]).fit(train).transform(test)
-                self.held_out = part if self.held_out is None else self.held_out.unionByName(part)
+                return None
+            best = self._rounds(train, test)
+            return best, self._booster(best).fit(train).transform(test) if self.keep_held_out else None
+
+        found = [x for x in side_by_side([lambda k=k: one(k) for k in range(self.folds)], self.threads) if x]
+        self.best = [n for n, _ in found]
+        for _, part in found if self.keep_held_out else []:
+            self.held_out = part if self.held_out is None else self.held_out.unionByName(part)
         self.held_out = None if self.held_out is None else self._plain(self.held_out)
         self.model = self._booster(max(1, sum(self.best) // max(1, len(self.best)))).fit(rows)
         return self
@@ -119,11 +125,14 @@ class BlockedBoosting:
         return self._plain(self.model.transform(self._vectors(data)))
 
 
-def leave_one_out(data: DataFrame, event: str, events: list, make) -> DataFrame:
-    """data's rows with the prediction of a model that never saw their event."""
+def leave_one_out(data: DataFrame, event: str, events: list, make, threads: int = 4) -> DataFrame:
+    """data's rows with the prediction of a model that never saw their event. Models are fitted side by side, threads at a time."""
+
+    def one(e) -> DataFrame:
+        return make().fit(data.filter(F.col(event) != e)).predict(data.filter(F.col(event) == e))
+
     out = None
-    for e in events:
-        part = make().fit(data.filter(F.col(event) != e)).predict(data.filter(F.col(event) == e))
+    for part in side_by_side([lambda e=e: one(e) for e in events], threads):
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -117,7 +117,8 @@ def nearest_rows(left: DataFrame, right: DataFrame, keys: list[str], at: str, ta
 
     def off(r: str) -> Column:
         a, b = F.col(f"_l.{at}"), F.col(f"{r}._place")
-        return F.abs(a.cast("double") - b.cast("double"))
+        timed = kinds[at].startswith("timestamp") or kinds[at] == "date"
+        return F.abs(F.timestamp_diff("MICROSECOND", b, a) / 1e6 if timed else a.cast("double") - b.cast("double"))
 
     open_ = left.filter(known)
     if direction == "nearest":

@@ -189,14 +189,51 @@ def gev_newton(x: np.ndarray, there: np.ndarray, rounds: int = 100, tol: float =
     return best, done
 
 
+def _gev_simplex(x: np.ndarray) -> np.ndarray:
+    """Location, log scale and shape that a simplex search from several shapes ends at, for a series whose likelihood has no
+    regular maximum."""
+
+    def loss(q: np.ndarray, x: np.ndarray) -> float:
+        mu, sigma, xi = q[0], np.exp(q[1]), q[2]
+        z = (x - mu) / sigma
+        if abs(xi) < 1e-8:
+            return len(x) * np.log(sigma) + z.sum() + np.exp(-z).sum()
+        t = 1 + xi * z
+        if (t <= 0).any() or abs(xi) > 2:
+            return np.inf
+        return len(x) * np.log(sigma) + (1 + 1 / xi) * np.log(t).sum() + (t ** (-1 / xi)).sum()
+
+    def simplex(start: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
+        points = [start] + [start + d for d in np.diag([0.1 * (x.std() + 1e-9), 0.1, 0.1])]
+        values = [loss(p, x) for p in points]
+        for _ in range(400):
+            order = np.argsort(values)
+            points, values = [points[i] for i in order], [values[i] for i in order]
+            if np.isfinite(values[-1]) and values[-1] - values[0] < 1e-10:
+                break
+            mid = np.mean(points[:-1], 0)
+            tries = [mid + a * (mid - points[-1]) for a in (1.0, 2.0, 0.5, -0.5)]
+            got = [loss(p, x) for p in tries]
+            best = int(np.argmin(got))
+            if got[best] < values[-1]:
+                points[-1], values[-1] = tries[best], got[best]
+            else:
+                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+                values = [values[0]] + [loss(p, x) for p in points[1:]]
+        return values[0], points[0]
+
+    sigma = x.std() * np.sqrt(6) / np.pi
+    return min((simplex(np.array([x.mean() - 0.5772 * sigma, np.log(sigma), a]), x) for a in (0.0, 0.1, -0.1)), key=lambda r: r[0])[1]
+
+
 #: Numbers of the series that are worked on at a time.
 TOGETHER = 200_000
 
 
 def gev_likelihood(df: DataFrame, by: list[str], value: str, period: float) -> DataFrame:
     """The same by maximum likelihood: Newton steps for all series of an Arrow batch at once. Groups of fewer than five
-    values, of equal ones, or whose likelihood has no maximum with a shape between -1 and 1 have null. A series is one row in a
-    task, as a cell's yearly maxima are few."""
+    values or of equal ones have null; where the likelihood has no maximum with a shape between -1 and 1, a simplex search ends
+    somewhere. A series is one row in a task, as a cell's yearly maxima are few."""
     x = F.col(value).cast("double")
     series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(~F.isnan(x), x))).alias("_x"))
     y, kinds = float(-np.log(1 - 1 / period)), dict(df.dtypes)
@@ -211,7 +248,10 @@ def gev_likelihood(df: DataFrame, by: list[str], value: str, period: float) -> D
                 there = np.arange(width) < sizes[a:z, None]
                 values = np.zeros(there.shape)
                 values[there] = part.column(len(by)).flatten().to_numpy()
-                q, ok = gev_newton(values, there & (sizes[a:z, None] >= 5))
+                there &= sizes[a:z, None] >= 5
+                q, ok = gev_newton(values, there)
+                for k in np.flatnonzero(~ok & (np.where(there, values, values[:, :1]).std(1) > 0)):
+                    q[k], ok[k] = _gev_simplex(values[k, there[k]]), True
                 mu, sigma, xi = q[:, 0], np.exp(q[:, 1]), q[:, 2]
                 small = np.abs(xi) < 1e-8
                 level = mu + sigma * np.where(small, -np.log(y), (y**-xi - 1) / np.where(small, 1.0, xi))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import events as ev
-from ..operators import graph, models, sampling, stats
+from ..operators import graph, leafwise, models, sampling, stats
 from ..operators.iterate import cut
 from ..sources.tables import table
 from .registry import query
@@ -194,6 +194,51 @@ def spatial_block_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.skill(out, "outcome", "prediction", ["event"]).select("event", F.round("skill", 3).alias("skill"))
 
 
+@query()
+def leafwise_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with trees of five leaves that grow leaf by leaf, with leaf penalties; ten rounds at most."""
+    settings = leafwise.with_settings(rate=0.3, least_rows=20)
+    make = lambda: leafwise.LeafwiseBoosting(["f1", "f2", "o_orderpriority"], "outcome", "block", "w", ["o_orderpriority"], settings, rounds=10, folds=2, patience=5, threads=2)
+    out = models.leave_one_out(_training(spark, sf_dir), "event", [0, 1, 2], make, threads=3)
+    return stats.skill(out, "outcome", "prediction", ["event"]).select("event", F.round("skill", 3).alias("skill"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_totalprice AS y, o_custkey % 50 AS a, month(o_orderdate) AS b FROM orders), s AS (SELECT avg(y) AS start FROM d),
+v AS (SELECT f, v, sum(start - y) AS g, count(*) AS h FROM (SELECT 'a' AS f, a AS v, y FROM d UNION ALL SELECT 'b', b, y FROM d), s GROUP BY f, v),
+l AS (SELECT f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY f) AS g, sum(h) OVER (PARTITION BY f) AS h FROM v WINDOW w AS (PARTITION BY f ORDER BY v)),
+c AS (SELECT *, pow(greatest(abs(gl) - 1, 0), 2) / (hl + 10) + pow(greatest(abs(g - gl) - 1, 0), 2) / (h - hl + 10) - pow(greatest(abs(g) - 1, 0), 2) / (h + 10) AS gain FROM l WHERE hl >= 20 AND h - hl >= 20),
+t AS (SELECT * FROM c WHERE gain > 0.1 ORDER BY gain DESC LIMIT 1)
+SELECT o_orderkey, round(start - coalesce(CASE WHEN CASE t.f WHEN 'a' THEN a ELSE b END <= t.v THEN sign(gl) * greatest(abs(gl) - 1, 0) / (hl + 10) ELSE sign(g - gl) * greatest(abs(g - gl) - 1, 0) / (h - hl + 10) END, 0), 3) AS prediction
+FROM d, s LEFT JOIN t ON true""")
+def leafwise_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of two leaves on all rows: the split of the largest gain, and penalised leaf values."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    rows = o.select("o_orderkey", (F.col("o_custkey") % 50).alias("a"), F.month("o_orderdate").alias("b"), F.col("o_totalprice").alias("y"))
+    settings = leafwise.with_settings(rate=1.0, leaves=2, least_rows=20, rows=1.0, columns=1.0)
+    model = leafwise.LeafwiseBoosting(["a", "b"], "y", "o_orderkey", settings=settings, rounds=1, folds=1).fit(rows)
+    return model.predict(rows).select("o_orderkey", F.round("prediction", 3).alias("prediction"))
+
+
+@query("""SELECT l_returnflag, p AS share, round(CASE p WHEN 0.05 THEN q[1] WHEN 0.5 THEN q[2] ELSE q[3] END, 6) AS value
+FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.05, 0.5, 0.95]) AS q FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'all', quantile_cont(l_extendedprice, [0.05, 0.5, 0.95]) FROM lineitem), (VALUES (0.05::DOUBLE), (0.5), (0.95)) v(p)""")
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the whole table as one group, and of three large ones."""
+    l = table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")  # noqa: E741
+    whole = stats.exact_quantiles(l, [], "l_extendedprice", [0.05, 0.5, 0.95]).select(F.lit("all").alias("l_returnflag"), "share", "value")
+    parts = stats.exact_quantiles(l, ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95])
+    return whole.unionByName(parts).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH m AS (SELECT o_orderpriority, date_trunc('day', o_orderdate) AS m, sum(o_totalprice) AS x FROM orders GROUP BY ALL)
+SELECT o_orderpriority, count(*) AS n, true AS solved, 0.0::DOUBLE AS by_location, 0.0::DOUBLE AS by_scale, 0.0::DOUBLE AS by_shape FROM m GROUP BY o_orderpriority""")
+def gev_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score equations at fits of the days' totals, worked out from the values by themselves: all 0."""
+    m = table(spark, sf_dir, "orders", "o_orderpriority", "o_orderdate", "o_totalprice").groupBy("o_orderpriority", F.date_trunc("day", "o_orderdate").alias("m")).agg(F.sum("o_totalprice").alias("x"))
+    s = stats.gev_scores(m, stats.gev_likelihood(m, ["o_orderpriority"], "x", 2.0), ["o_orderpriority"], "x")
+    names = ("by_location", "by_scale", "by_shape")
+    return s.select("o_orderpriority", "n", F.col("by_shape").isNotNull().alias("solved"), *[F.abs(F.round(c, 6)).alias(c) for c in names])
+
+
 @query("""SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, (o_orderkey % 7)::BIGINT AS small, o_totalprice::DOUBLE AS price FROM orders""")
 def harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.keys import harmonized

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..operators import timeseries as ts
+from ..operators.nearest import nearest_rows
 from ..sources.tables import table
 from .registry import query
 
@@ -214,3 +215,21 @@ def timezone_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "ts", "value")
     text = F.concat(F.date_format(F.col("ts") + F.expr("interval 90 minutes"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     return e.select("event_id", naive(text).alias("naive_ts"), masked_above(F.col("value"), 50.0).alias("masked"), F.year("ts").alias("yr"))
+
+
+@query("""WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), e AS (SELECT event_id, user_id, ts FROM events),
+b AS (SELECT e.event_id, p.event_id AS before, epoch_us(e.ts) - epoch_us(p.ts) AS bd FROM e ASOF JOIN p ON p.user_id = e.user_id AND p.ts <= e.ts),
+f AS (SELECT e.event_id, p.event_id AS after, epoch_us(p.ts) - epoch_us(e.ts) AS fd FROM e ASOF JOIN p ON p.user_id = e.user_id AND p.ts >= e.ts)
+SELECT e.event_id, b.before, f.after, CASE WHEN f.after IS NULL OR bd <= fd THEN b.before ELSE f.after END AS nearest, CASE WHEN least(bd, fd) <= 3600000000 THEN CASE WHEN f.after IS NULL OR bd <= fd THEN b.before ELSE f.after END END AS within_hour
+FROM e LEFT JOIN b USING (event_id) LEFT JOIN f USING (event_id)""")
+def nearest_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event the same user's last purchase until then, the next one from then, the nearer of both, and that if it is within
+    an hour."""
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type")
+    p = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("bought"))
+    events = e.select("event_id", "user_id", "ts")
+    out = events.select("event_id")
+    for name, direction, within in (("before", "backward", None), ("after", "forward", None), ("nearest", "nearest", None), ("within_hour", "nearest", 3600.0)):
+        found = nearest_rows(events, p, ["user_id"], "ts", ["bought"], direction, within)
+        out = out.join(found.select("event_id", F.col("near_bought").alias(name)), "event_id")
+    return out

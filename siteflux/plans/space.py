@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import overlay, raster, spatial, tiling
+from ..operators.iterate import shared_folder
+from ..sources import cubes
 from ..sources.tables import table
 from .registry import query
 
@@ -430,3 +434,16 @@ def albers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = physics.albers(25 + (F.col("c_custkey") % 240) / 10.0, -120 + (F.col("c_custkey") % 530) / 10.0)
     lat, lon = physics.albers_inverse(x, y)
     return c.select("c_custkey", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+@query(f"""WITH {_CELLS} SELECT i, j, CASE WHEN k % 11 <> 3 THEN value END AS value FROM cells WHERE i BETWEEN 7 AND 30 AND j BETWEEN 3 AND 18""")
+def cube_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster written as an array of chunks, and a region of it read back from those chunks that it meets."""
+    c = _cells(spark, sf_dir).select("i", "j", F.when(F.col("k") % 11 != 3, F.col("value")).alias("value"))
+    rows = c.agg(F.max("i")).first()[0] + 1
+    path = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}"
+    cubes.create_cube(path, [rows, WIDTH], [16, 8])
+    cubes.write_cube(c, path, ["i", "j"])
+    known = c.select("i", "j").filter(F.col("i").between(7, 30) & F.col("j").between(3, 18))
+    #: Cells that were never written, at the raster's ends, are null in the array and absent from the table.
+    return cubes.read_cube(spark, path, ["i", "j"], within={"i": (7, 30), "j": (3, 18)}).join(known, ["i", "j"], "left_semi")

@@ -37,7 +37,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .rasters import tiff_block, tiff_layout
+from .rasters import tiff_block, tiff_layout, zarr_template
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: Cells in a partition of a scan, about, and in an Arrow batch.
@@ -368,8 +368,16 @@ def _kept(df: DataFrame, within: dict | None) -> DataFrame:
     return df
 
 
+def create_cube(path: str, shape: list[int], chunks: list[int], kind: str = "<f8") -> None:
+    """An array without cells, for regions to be written into."""
+    store, root = _store(path)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/.zarray") as f:
+        f.write(zarr_template(shape, chunks, kind))
+
+
 def write_cube(cells: DataFrame, path: str, axes: list[str]) -> None:
-    """Writes cells (positions on the axes, value) into a Zarr array that is there; see rasters.zarr_template(). A null value
+    """Writes cells (positions on the axes, value) into a Zarr array that is there; see create_cube(). A null value
     empties its cell. All of it is there afterwards or nothing; regions whose edges are the chunks' may be written side by side."""
     spark, size = cells.sparkSession, _meta(path)["chunks"]
     _register(spark, ZarrCells)
