@@ -14,7 +14,7 @@ are not one component after that, those outside of its largest one meet all othe
 sets, in pairs of bounded blocks: exact, at a cost of their number times the crowd's size.
 
 A leaf is compared twice: signatures part it into groups and drop those without a partner (at an
-estimate 0.2 below the threshold, over five standard errors), and groups that several leaves have in
+estimate 0.25 below the threshold, over five standard errors), and groups that several leaves have in
 common are kept once; then the full sets of a group's members meet and links are confirmed exactly.
 Only a spanning star of each linked group leaves the task, never all its pairs.
 
@@ -431,6 +431,17 @@ def _without(whole: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return whole.join(gone, key, "left_anti").select("_whole.*")
 
 
+#: All pairs that share a shingle, confirmed by whole sets, then what each document reaches.
+ORACLE_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM both_ JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+low AS (SELECT u, min(v) AS low FROM reach GROUP BY u)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, least(w.doc_id, coalesce(low, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.u = w.doc_id"""
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates() of documents at 85 %: the same rules for nulls, repeats and ties."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

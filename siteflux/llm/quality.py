@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
 from .common import frugal, table
-from .textbatch import LOWER, Sums, chunks, lean, runs, words
+from .textbatch import LOWER, PIECE, Sums, chunks, lean, pieces, runs, words
 
 BUCKETS = 1 << 16
 GRADES = 3
@@ -77,6 +77,23 @@ class Ordinal:
         """P(grade >= 1), P(grade >= 2), ... of each text."""
         return _sigmoid(self.raw(coded)[:, None] - self.cuts)
 
+    def tails_of(self, texts: list[bytes]) -> np.ndarray:
+        """The same of whole texts, of which long ones are encoded a piece at a time."""
+        raw, short = np.zeros(len(texts)), [k for k, t in enumerate(texts) if len(t) <= PIECE]
+        raw[short] = self.raw(encode([texts[k] for k in short]))
+        for k, t in enumerate(texts):
+            if len(t) > PIECE:
+                total, n, before = 0.0, 0, b""
+                for part in pieces(t):
+                    coded = encode([part])[0]
+                    total, n = total + float(self.weights[coded].sum()), n + len(coded)
+                    first = part.split(None, 1)[:1]
+                    if first and first[0].translate(LOWER) == before:  # the first word of a piece repeats the one before it
+                        total += float(self.weights[BUCKETS - 1] - self.weights[0])
+                    before = part.rsplit(None, 1)[-1].translate(LOWER) if first else before
+                raw[k] = 3.0 * total / max(1, n)
+        return _sigmoid(raw[:, None] - self.cuts)
+
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
@@ -134,7 +151,7 @@ def _tails(rows: DataFrame, model: Ordinal, text: int | None) -> DataFrame:
         for b in batches:
             column = b.column(1) if text is None else pc.struct_field(b.column(0), [text])
             for i, j, texts in runs(column):
-                tails = sent.value.tails(encode(texts))
+                tails = sent.value.tails_of(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(tails.sum(1)), pa.array(tails[:, 0])], ["_whole", "expected", "tail"])
 
     out = StructType([StructField("_whole", rows.schema["_whole"].dataType), StructField("expected", DoubleType()), StructField("tail", DoubleType())])
@@ -157,12 +174,12 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns; nulls, empties, repeats and empty tables as in score()."""
     return _held(docs, fit(docs, labels)).filter(F.col("tail") >= KEEP).select("_whole.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's expected grade, tail probability and whether it is kept."""
+    """Every document's expected grade, tail probability and whether it is kept; nulls, empties, repeats and empty tables as in score()."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = _tails(docs.select(F.struct("doc_id").alias("_whole"), "text"), fit(docs, labels), None)
     return scored.select("_whole.doc_id", F.col("expected").alias("expected_grade"), F.col("tail").alias("tail_probability"), (F.col("tail") >= KEEP).alias("keep"))

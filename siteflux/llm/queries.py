@@ -21,7 +21,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, table
-from .textbatch import Sums, chunks, text_bytes, words
+from .textbatch import Sums, chunks, text_bytes, word_hashes
 from .url_filter import blocked_bloom
 
 WINDOW = 50
@@ -54,9 +54,8 @@ class Chunk:
         self.order, self.ids = order, ids[order]
         texts = [texts[i] for i in order]
         self.tags = np.array([tag_of(t) if tagged else 0 for t in texts], "int64")
-        self.words = words(texts)
-        self.bounds = self.words.bounds
-        self.hashes = Sums(self.words.data).of(self.words.starts, self.words.ends)
+        self.texts = texts
+        self.hashes, self.bounds = word_hashes(texts)
 
     def rolling(self, width: int) -> np.ndarray:
         """Starts of all runs of so many words inside one document."""
@@ -68,8 +67,7 @@ class Chunk:
 
     def other_runs(self, starts: np.ndarray, width: int) -> np.ndarray:
         """Independent of runs()."""
-        w = self.words
-        return Sums(Sums(w.data, 1).of(w.starts, w.ends), 1).of(starts, starts + width)
+        return Sums(word_hashes(self.texts, which=1)[0], 1).of(starts, starts + width)
 
     def owner(self, starts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, starts, "right") - 1
@@ -390,5 +388,15 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return Repeats(docs, window).apply(docs)
 
 
+#: Windows as texts, one after the other.
+ORACLE_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN first USING (h) WHERE first < doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END AS kept FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes from each row of documents: the same rules for nulls, empties, repeats and empty tables."""
     return Repeats(table(spark, sf_dir, "documents")).digests()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import boosting, labelled
 from .common import cut, frugal, table
-from .textbatch import Sums, chunks, lean, runs, words
+from .textbatch import PIECE, Sums, chunks, lean, pieces, runs, words
 
 BUCKETS = 1 << 15
 STEM = 5  # bytes
@@ -84,8 +84,9 @@ class Network:
             best.append(top)
         return np.concatenate(best, 1), at
 
-    def margins(self, coded: list[np.ndarray], room: int = 1 << 17) -> np.ndarray:
-        """Texts of any length: long ones are passed over in pieces that overlap by the padding."""
+    def tops(self, coded: list[np.ndarray], room: int = 1 << 17, ended: bool = True) -> np.ndarray:
+        """Each text's maxima. Long texts are passed over in pieces, each with the first PAD words of the next one, whose
+        windows count there; texts that haven't ended leave their last PAD words for a later call."""
         top = np.full((len(coded), len(self.shift)), -np.inf, "float32")
         held: list[np.ndarray] = []
         owner: list[int] = []
@@ -101,20 +102,48 @@ class Network:
             size = 0
 
         for i, c in enumerate(coded):
-            c = c.reshape(2, -1)
-            for a in range(0, max(1, c.shape[1]), room):
-                piece = c[:, a : a + room + PAD]
-                held.append(np.concatenate([piece, np.zeros((2, PAD), "int32")], 1))
+            c, a = c.reshape(2, -1), 0
+            while a is not None:
+                last = a + room + PAD >= c.shape[1]
+                piece = c[:, a:] if last else c[:, a : a + room + PAD]
+                held.append(np.concatenate([piece, np.zeros((2, PAD), "int32")], 1) if last and ended else piece)
                 owner.append(i)
                 size += held[-1].shape[1]
+                a = None if last else a + room
                 if size >= room:
                     flush()
         flush()
+        return top
+
+    def _margins(self, top: np.ndarray) -> np.ndarray:
         return np.maximum(top + self.shift, 0) @ self.top + self.bias
 
+    def margins(self, coded: list[np.ndarray], room: int = 1 << 17) -> np.ndarray:
+        """Texts of any length."""
+        return self._margins(self.tops(coded, room))
+
+    def scores_of(self, texts: list[bytes]) -> np.ndarray:
+        """Scores of whole texts, of which long ones are encoded a piece at a time."""
+        top, short = np.full((len(texts), len(self.shift)), -np.inf, "float32"), [k for k, t in enumerate(texts) if len(t) <= PIECE]
+        if short:
+            top[short] = self.tops(encode([texts[k] for k in short]))
+        for k, t in enumerate(texts):
+            if len(t) > PIECE:
+                carry = np.zeros((2, 0), "int32")
+                for part in pieces(t):
+                    c = np.concatenate([carry, encode([part])[0].reshape(2, -1)], 1)
+                    if c.shape[1] > PAD:
+                        top[k] = np.maximum(top[k], self.tops([c], ended=False)[0])
+                    carry = c[:, -PAD:]
+                top[k] = np.maximum(top[k], self.tops([carry])[0])
+        return self._squashed(self._margins(top))
+
     def scores(self, coded: list[np.ndarray]) -> np.ndarray:
+        return self._squashed(self.margins(coded))
+
+    def _squashed(self, margins: np.ndarray) -> np.ndarray:
         a, b = self.scale
-        return 1.0 / (1.0 + np.exp(-np.clip(a * self.margins(coded).astype("float64") + b, -40, 40)))
+        return 1.0 / (1.0 + np.exp(-np.clip(a * margins.astype("float64") + b, -40, 40)))
 
 
 def train(coded: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Network:
@@ -245,7 +274,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches):
         for b in batches:
             for i, j, texts in runs(b.column(2)):
-                s = sent.value.scores(encode(texts))
+                s = sent.value.scores_of(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(s, "float64")], ["doc_id", "lang", "score"])
 
     read = frugal(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("binary").alias("text"))

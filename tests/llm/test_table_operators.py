@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteflux.llm import ann, boosting, labelled, mixing, quality, toxicity, url_filter
+from siteflux.llm import ann, boosting, labelled, mixing, quality, textbatch, toxicity, url_filter
 from siteflux.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -255,6 +255,67 @@ def test_long_texts_score_in_pieces():
     assert np.allclose(net.margins(coded, room=64), net.margins(coded), atol=1e-5)
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [b"", b"one", *[b" ".join([b"Word%d" % k for k in rng.integers(0, 9, n)]) for n in (5, 400, 900)], b"same " * 90]
+    net = toxicity.train(toxicity.encode([b"good words here", b"scum words here"] * 40), np.array([0.0, 1.0] * 40))
+    model = quality.Ordinal(rng.normal(size=quality.BUCKETS), np.array([-0.2, 0.3]))
+    whole, tails = net.scores(toxicity.encode(texts)), model.tails(quality.encode(texts))
+    cut_at = lambda t: iter([t[:60], t[60:61], t[61:]] if t[60:61].isspace() else [t])
+    for module in (toxicity, quality):
+        monkeypatch.setattr(module, "PIECE", 50)
+        monkeypatch.setattr(module, "pieces", lambda t: textbatch.pieces(t, 40))
+    assert np.allclose(net.scores_of(texts), whole, atol=1e-6) and np.allclose(model.tails_of(texts), tails)
+    monkeypatch.setattr(quality, "pieces", cut_at)
+    assert np.allclose(model.tails_of(texts), tails)
+
+
+def test_long_texts_need_little_memory():
+    import tracemalloc
+
+    text = b"Lorem ipsum, dolor sit amet %d " * 600_000
+    net = toxicity.train(toxicity.encode([b"good words here", b"scum words here"] * 40), np.array([0.0, 1.0] * 40))
+    model = quality.Ordinal(np.zeros(quality.BUCKETS), np.array([-0.2, 0.3]))
+    for f in (net.scores_of, model.tails_of):
+        f([text[: 1 << 21]])
+        tracemalloc.start()
+        f([text])
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+
+
+def test_ordinal_gradient_equals_loops():
+    """The likelihood falls to what a plain search by differences can't better."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, (300, 6))
+    score = (x == 1).sum(1) - (x == 2).sum(1) + rng.logistic(size=300)
+    grade = np.where(score < -1, 0, np.where(score < 1, 1, 2))
+    coded = [np.array([10 + v for v in row], "int32") for row in x]
+    counts = np.bincount(grade, minlength=3)
+    model = quality.train(coded, grade, counts)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for row, g in zip(x, grade):
+            s = 3.0 * sum(weights[10 + v] for v in row) / len(row)
+            above = [1.0, *[1 / (1 + np.exp(c - s)) for c in cuts], 0.0]
+            total -= np.log(max(above[g] - above[g + 1], 1e-12))
+        return total / len(grade) + quality.DECAY / 2 * sum(weights[10 + v] ** 2 for v in range(4))
+
+    best = loss(model.weights, model.cuts)
+    assert best < loss(np.zeros(quality.BUCKETS), model.cuts) - 0.05
+    for k in range(4):
+        for d in (0.2, -0.2):
+            w = model.weights.copy()
+            w[10 + k] += d
+            assert loss(w, model.cuts) > best - 1e-3
+    for k in range(2):
+        for d in (0.1, -0.1):
+            c = model.cuts.copy()
+            c[k] += d
+            assert loss(model.weights, c) > best - 1e-3
+
+
 def test_quality(spark, documents, clash):
     rng = random.Random(1)
     good = [" ".join(f"w{rng.randint(0, 200)}" for _ in range(60)) for _ in range(300)]
