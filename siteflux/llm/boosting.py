@@ -84,8 +84,13 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def threshold(probability: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least threshold from which on the held-out precision is at least as asked for."""
+    """The least threshold from which on the held-out precision is at least as asked for: half way to the next lower
+    probability. Rows of one probability go together."""
     order = np.argsort(-probability, kind="stable")
-    hits = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(hits >= precision)
-    return float(max(0.5, probability[order[good[-1]]])) if len(good) else 1.1
+    p, hits = probability[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    last = np.append(p[1:] < p[:-1], True)[: len(p)]
+    good = np.flatnonzero((hits >= precision) & last)
+    if not len(good):
+        return 1.1
+    k = int(good[-1])
+    return float((p[k] + p[k + 1]) / 2) if k + 1 < len(p) else float(p[k] / 2)
