@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import cut
 from .tiling import borders, cell_areas, halved, parts, with_shape
 
 
@@ -128,21 +129,50 @@ def shape_centroid(shape: Column) -> tuple[Column, Column]:
     return F.try_divide(moment("x"), 3 * total), F.try_divide(moment("y"), 3 * total)
 
 
-def _hits(points: DataFrame, polygons: DataFrame, polygon: str, x: str, y: str, tile: float) -> DataFrame:
+#: Cells across a crowded one that is parted, and how often; eight keeps the quotients' digits.
+FAN, LEVELS = 8, 6
+
+
+def _indexed(points: DataFrame, polygons: DataFrame, polygon: str, x: str, y: str, tile: float, dense: int | None) -> tuple[DataFrame, DataFrame]:
+    """points and parts of polygons by cell (_lv, _tx, _ty). Where cells hold more than dense sides they are parted into FAN by
+    FAN smaller ones, again and again, so that the index is as fine as the outlines in a place are close. Without dense all
+    cells are alike, and no count is needed."""
+    size, level, p = tile, 0, _point_tile(points, x, y, tile).withColumn("_lv", F.lit(0))
+    found = parts(polygons, polygon, tile).withColumn("_lv", F.lit(0))
+    if dense is None:
+        return p, found
+    out, cell = None, ["_lv", "_tx", "_ty"]
+    while True:
+        crowded = cut(found.groupBy(*cell).agg(F.sum(F.size("sides")).alias("_n")).filter(F.col("_n") > dense).select(*cell))
+        if level == LEVELS - 1 or crowded.isEmpty():
+            return p, found if out is None else out.unionByName(found)
+        kept = found.join(crowded, cell, "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        size, level = size / FAN, level + 1
+        parent = [F.lit(level - 1).alias("_lv"), *[F.floor(F.col(c) / FAN).cast("long").alias(c) for c in ("_tx", "_ty")]]
+        finer = parts(polygons, polygon, size)
+        found = finer.select(polygon, F.struct(*parent).alias("_up"), F.lit(level).alias("_lv"), "_tx", "_ty", "sides")
+        found = found.join(crowded.select(F.struct(*cell).alias("_up")), "_up", "left_semi").drop("_up")
+        p = p.join(crowded.withColumn("_full", F.lit(True)), cell, "left")
+        own = {c: F.when(F.col("_full"), F.floor(F.col(v) / size).cast("long")).otherwise(F.col(c)) for c, v in (("_tx", x), ("_ty", y))}
+        p = p.withColumns(own | {"_lv": F.when(F.col("_full"), F.lit(level)).otherwise(F.col("_lv"))}).drop("_full")
+
+
+def _hits(points: DataFrame, polygons: DataFrame, polygon: str, x: str, y: str, tile: float, dense: int | None = None) -> DataFrame:
     """The points joined with the polygons that hold them. Points meet what lies of each polygon in their cell."""
-    p = _point_tile(points, x, y, tile)
-    return p.join(parts(polygons, polygon, tile), ["_tx", "_ty"]).filter(crosses_odd(F.col("sides"), F.col(x), F.col(y)))
+    p, g = _indexed(points, polygons, polygon, x, y, tile, dense)
+    return p.join(g, ["_lv", "_tx", "_ty"]).filter(crosses_odd(F.col("sides"), F.col(x), F.col(y)))
 
 
-def within(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, tile: float) -> DataFrame:
+def within(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, tile: float, dense: int | None = None) -> DataFrame:
     """point and polygon of each point inside one; in several, the lowest polygon id. polygons has a column shape,
-    or ring for polygons of one ring."""
-    return _hits(points.select(point, x, y), polygons, polygon, x, y, tile).groupBy(point).agg(F.min(polygon).alias(polygon))
+    or ring for polygons of one ring. dense: cells with more sides are parted; see _indexed()."""
+    return _hits(points.select(point, x, y), polygons, polygon, x, y, tile, dense).groupBy(point).agg(F.min(polygon).alias(polygon))
 
 
-def overlapping(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, tile: float) -> DataFrame:
-    """Every point with the sorted list of the polygons that hold it, null if none does."""
-    lists = _hits(points.select(point, x, y), polygons, polygon, x, y, tile).groupBy(point).agg(F.array_sort(F.collect_set(polygon)).alias(f"{polygon}_values"))
+def overlapping(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, tile: float, dense: int | None = None) -> DataFrame:
+    """Every point with the sorted list of the polygons that hold it, null if none does. dense as in within()."""
+    lists = _hits(points.select(point, x, y), polygons, polygon, x, y, tile, dense).groupBy(point).agg(F.array_sort(F.collect_set(polygon)).alias(f"{polygon}_values"))
     return points.select(point).join(lists, point, "left")
 
 
@@ -227,13 +257,20 @@ def grid_polygons(df: DataFrame, nx: int, ny: int, x0: float, y0: float, step: f
     return g.withColumn("ring", box(left, low, left + step, low + step))
 
 
+def grid_over(points: DataFrame, x: str, y: str, step: float) -> DataFrame:
+    """i, j and ring of the cells, whole multiples of step, that cover the bounds of a table's points; none without points."""
+    first = lambda c: F.floor(F.col(c) / step).cast("long")
+    ends = points.agg(F.min(first(y)).alias("_i0"), F.max(first(y)).alias("_i1"), F.min(first(x)).alias("_j0"), F.max(first(x)).alias("_j1")).filter("_i0 IS NOT NULL AND _j0 IS NOT NULL")
+    g = ends.select(F.explode(F.sequence("_i0", "_i1")).alias("i"), "_j0", "_j1").select("i", F.explode(F.sequence("_j0", "_j1")).alias("j"))
+    left, low = F.col("j") * step, F.col("i") * step
+    return g.withColumn("ring", box(left, low, left + step, low + step))
+
+
 def impute_nearest(df: DataFrame, key: str, x: str, y: str, columns: list[str], tile: float) -> DataFrame:
     """Rows whose columns have a null get all of them from the nearest row that has none (equals: the
     lowest key), however far. The nine tiles around a row are searched, with tiles that double until no
     row is left; a hit counts once it is no farther than a tile is wide. Rows without finite coordinates
     take and give nothing, and stay as they are."""
-    from .iterate import cut
-
     whole = F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull()

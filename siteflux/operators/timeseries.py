@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 
 def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     """date from start to end, both included."""
@@ -82,3 +84,20 @@ def annual_maxima(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFr
 def at_start(value: str, ts: str, start: Column, end: Column) -> Column:
     """Aggregate: the value at the first time inside [start, end]."""
     return F.min_by(F.col(value), F.when(F.col(ts).between(start, end), F.col(ts)))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """df with the number of each row in an order, from 1: rows are range-sorted, a part's rows are counted where they lie, and the
+    parts' counts, one number each, are added up. No window over all rows; nulls come first, equal rows in any order."""
+    spark = df.sparkSession
+    ranged = cut(df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order))
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).orderBy("_part").collect()  # one row a part
+    before, total = {}, 0
+    for r in counts:
+        before[r["_part"]], total = total, total + r["_n"]
+    starts = spark.createDataFrame([*before.items()] or [(0, 0)], "_part long, _start long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.select(*df.columns, (F.col("_start") + inside).alias(name))

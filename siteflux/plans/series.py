@@ -200,10 +200,10 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, rank_no FROM (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority, o_orderstatus) AS rank_no FROM orders)""")
 def change_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of the distinct key of each row: the few keys are ranked, then joined back."""
+    """Number of the distinct key of each row: the keys are numbered over range-sorted parts, then joined back."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus")
     keys = o.select("o_orderpriority", "o_orderstatus").distinct()
-    ranked = keys.withColumn("rank_no", F.dense_rank().over(Window.orderBy("o_orderpriority", "o_orderstatus")))
+    ranked = ts.numbered(keys, ["o_orderpriority", "o_orderstatus"], "rank_no")
     return o.join(ranked, ["o_orderpriority", "o_orderstatus"]).select("o_orderkey", "rank_no")
 
 

@@ -447,3 +447,19 @@ def cube_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = c.select("i", "j").filter(F.col("i").between(7, 30) & F.col("j").between(3, 18))
     #: Cells that were never written, at the raster's ends, are null in the array and absent from the table.
     return cubes.read_cube(spark, path, ["i", "j"], within={"i": (7, 30), "j": (3, 18)}).join(known, ["i", "j"], "left_semi")
+
+
+@query("""WITH b AS (SELECT min(floor((c_nationkey * 7 + c_custkey % 5) / 2.5)) AS i0, max(floor((c_nationkey * 7 + c_custkey % 5) / 2.5)) AS i1, min(floor(c_acctbal / 2.5 / 100)) AS j0, max(floor(c_acctbal / 2.5 / 100)) AS j1 FROM customer),
+g AS (SELECT i, j FROM (SELECT unnest(generate_series(i0::BIGINT, i1::BIGINT)) AS i, j0, j1 FROM b), LATERAL (SELECT unnest(generate_series(j0::BIGINT, j1::BIGINT)) AS j)),
+c AS (SELECT floor((c_nationkey * 7 + c_custkey % 5) / 2.5)::BIGINT AS i, floor(c_acctbal / 2.5 / 100)::BIGINT AS j, count(*) AS n FROM customer GROUP BY ALL)
+SELECT g.i, g.j, 2.5 * g.j AS xmin, 2.5 * g.i AS ymin, coalesce(c.n, 0)::BIGINT AS n FROM g LEFT JOIN c ON c.i = g.i AND c.j = g.j""")
+def grid_over_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of a grid over the bounds of the customers' places, and how many lie in each: an index of cells that parts where
+    outlines are close."""
+    c, k = table(spark, sf_dir, "customer", "c_custkey", "c_acctbal", "c_nationkey"), F.col("c_custkey")
+    points = c.select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), (F.col("c_nationkey") * 7 + k % 5).cast("double").alias("y"))
+    cells = spatial.grid_over(points, "x", "y", 2.5).withColumn("cell", F.struct("i", "j"))
+    held = spatial.within(points, cells.select("cell", "ring"), "c_custkey", "cell", "x", "y", 80.0, dense=64)
+    n = held.groupBy("cell").agg(F.count("*").alias("n"))
+    corner = F.get("ring", F.lit(0))
+    return cells.join(n, "cell", "left").select("i", "j", corner["x"].alias("xmin"), corner["y"].alias("ymin"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

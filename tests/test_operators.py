@@ -561,3 +561,28 @@ def _slowness():
     began = time.thread_time()
     sum(range(2_000_000))
     return (time.thread_time() - began) / 0.04
+
+
+def test_crowded_cells_are_parted(spark):
+    rng = np.random.default_rng(19)
+    near = rng.uniform(0, 1, (60, 2)) * 3  # many small shapes in one corner, few large ones elsewhere
+    shapes = [(k, _star(rng, 20, x, y, 0.2)) for k, (x, y) in enumerate(near)] + [(100 + k, _star(rng, 9, *rng.uniform(0, 200, 2), 60)) for k in range(4)]
+    g = spark.createDataFrame(shapes, "id int, ring array<struct<x:double,y:double>>")
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate([*rng.uniform(0, 3, (150, 2)), *rng.uniform(-20, 200, (100, 2))])]
+    p = spark.createDataFrame(points, "p int, x double, y double")
+    plain = {r["p"]: r["id_values"] for r in spatial.overlapping(p, g, "p", "id", "x", "y", 64.0).collect()}
+    fine = {r["p"]: r["id_values"] for r in spatial.overlapping(p, g, "p", "id", "x", "y", 64.0, dense=100).collect()}
+    assert fine == plain == {i: [k for k, s in shapes if _odd([s], x, y)] or None for i, x, y in points}
+    most = lambda dense: spatial._indexed(p, g, "id", "x", "y", 64.0, dense)[1].groupBy("_lv", "_tx", "_ty").agg(F.sum(F.size("sides")).alias("n")).agg(F.max("n")).first()[0]
+    assert most(None) > 1000 and most(100) <= 300
+
+
+def test_numbers_of_sorted_rows(spark):
+    d = spark.createDataFrame([(k % 37, k) for k in range(200)] + [(None, 500)], "a int, b int").repartition(5)
+    got = timeseries.numbered(d, ["a", "b"], "n", 7).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 202)) and [(r["a"], r["b"]) for r in got[1:]] == sorted((k % 37, k) for k in range(200)) and got[0]["a"] is None
+    assert timeseries.numbered(d.limit(0), ["a"], "n").count() == 0
+
+
+def test_grid_over_no_points(spark):
+    assert spatial.grid_over(spark.createDataFrame([(None, 1.0)], "x double, y double"), "x", "y", 1.0).count() == 0
