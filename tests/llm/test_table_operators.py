@@ -407,3 +407,72 @@ def test_pipeline(spark):
         ids = left
     out = c.run(spark, SF)
     assert out.count() == docs.count() and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def _shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(textbatch.LOWER))
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stages_equal_plain_versions(spark, documents, clash):
+    """Near-dedup, PII, mixing and BPE on rows with nulls, empties, repeats, copies and columns of clashing names."""
+    import hashlib
+
+    import corpus_pipeline as c
+    from siteflux.llm import pii
+
+    rng = random.Random(31)
+    base = [" ".join(rng.choice("red green blue cyan pink gold gray teal".split()) + str(rng.randint(0, 40)) for _ in range(n)) for n in (80, 60, 40, 7, 3, 1)]
+    texts = [*base, base[0] + " tail", base[0].upper(), base[1] + " x y", None, "", " \n", "mail joe@x.org now please sir", "call +1 (578) 555-6437 5755695738806562 or not", base[2], base[2]]
+    stages = dict(c.STAGES)
+    docs = clash(documents(texts))
+    columns = docs.columns
+    kept = stages["near_dedup"](spark, docs, SF)
+    assert kept.columns == columns
+    sets, root = [_shingles(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert got == {i for i in range(len(texts)) if root[i] == i}
+    clean = stages["pii"](spark, kept, SF)
+    assert clean.columns == columns
+    for r in clean.collect():
+        assert (r["text"] is None) == (texts[r["doc_id"]] is None) and pii.base_spans(r["text"] or "") == []
+        assert r["text"] == texts[r["doc_id"]] or "[" in r["text"]
+    mixed = stages["mixing"](spark, clean, SF)
+    assert mixed.columns == columns
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    read = mixed.collect()
+    assert all(words(r["text"]) for r in read)
+    assert sum(words(r["text"]) for r in read) == sum(words(r["text"]) for r in clean.collect())  # one source: each document once
+    out = stages["bpe"](spark, mixed, SF).collect()
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in out) == sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in read)
+
+
+def test_pipeline_of_nothing(spark, documents):
+    import corpus_pipeline as c
+
+    for rows in ([], [None, None], ["", " "]):
+        docs = documents(rows)
+        for name, stage in c.STAGES[1:]:
+            out = stage(spark, docs, SF)
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            assert name == "bpe" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.count() == 0
+    assert c.STAGES[0][1](spark, documents([None, "", None]), SF).count() in (0, 3)  # all alike: as the labels' shares say
+
+
+def test_audio_query_equals_plain_bytes(spark):
+    import hashlib
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["op10_mpeg_audio"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 or (576 if not data else 0))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
