@@ -116,7 +116,28 @@ def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(round(float(v), 4)).alias(n) for n, v in (("b0", b0), ("b1", b1), ("b0_library", m.intercept), ("b1_library", m.coefficients[0]))])
 
 
-@query()
+def _em_sql(rounds: int = 12, steps: int = 8, tol: float = 1e-3) -> str:
+    """Expectation maximisation round by round, each with the Newton steps of its fit; the round at which no weight moves by tol ends it."""
+    parts = ["""o AS MATERIALIZED (SELECT o_custkey, o_orderkey, o_totalprice / 100000 - 2 AS x, (o_orderkey * 7919 % 1000 / 1000.0 < 1 / (1 + exp(1 + o_totalprice / 100000 - 2)))::INT AS y FROM orders),
+w0 AS MATERIALIZED (SELECT o_custkey, o_orderkey, x, arg_min(y, o_orderkey) OVER (PARTITION BY o_custkey)::DOUBLE AS y, 1.0::DOUBLE / count(*) OVER (PARTITION BY o_custkey) AS w, 1.0::DOUBLE / count(*) OVER (PARTITION BY o_custkey) AS prior FROM o),
+s0_end AS MATERIALIZED (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1)"""]
+    for r in range(1, rounds + 1):
+        before = f"s{r - 1}_end"
+        for k in range(steps):
+            now = f"s{r}_end" if k == steps - 1 else f"s{r}_{k}"
+            parts.append(f"""{now} AS MATERIALIZED (SELECT b0 + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS b0, b1 + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b1 FROM (
+  SELECT b0, b1, sum(w * (y - p)) AS g0, sum(w * (y - p) * x) - b1 AS g1, sum(w * p * (1 - p)) AS h0, sum(w * p * (1 - p) * x) AS h1, sum(w * p * (1 - p) * x * x) + 1 AS h2
+  FROM (SELECT d.*, s.b0, s.b1, 1 / (1 + exp(-(s.b0 + s.b1 * d.x))) AS p FROM w{r - 1} d, {before} s) GROUP BY b0, b1))""")
+            before = now
+        parts.append(f"""w{r} AS MATERIALIZED (SELECT o_custkey, o_orderkey, x, y, CASE WHEN sum(v) OVER g > 0 THEN v / sum(v) OVER g ELSE 1.0 / count(*) OVER g END AS w, prior, w AS old
+  FROM (SELECT d.*, prior * CASE WHEN y = 1 THEN p ELSE 1 - p END AS v FROM (SELECT d.*, 1 / (1 + exp(-(s.b0 + s.b1 * d.x))) AS p FROM (SELECT o_custkey, o_orderkey, x, y, w, prior FROM w{r - 1}) d, s{r}_end s) d) WINDOW g AS (PARTITION BY o_custkey))""")
+    moved = " UNION ALL ".join(f"SELECT {r} AS r, max(abs(w - old)) AS moved FROM w{r}" for r in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {r} AS r, o_custkey, o_orderkey, w, b0, b1 FROM w{r}, s{r}_end" for r in range(1, rounds + 1))
+    last = f"(SELECT coalesce(min(r) FILTER (moved < {tol!r}), {rounds}) FROM moved)"
+    return f"WITH {', '.join(parts)}, moved AS ({moved}), every_ AS ({every}) SELECT o_custkey, o_orderkey, round(w, 6) AS weight, round(b0, 5) AS b0, round(b1, 5) AS b1 FROM every_ WHERE r = {last}"
+
+
+@query(_em_sql())
 def em_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate weights after expectation maximisation: records are customers, candidates their
     orders, and a record's outcome is that of one of them."""
