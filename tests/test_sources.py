@@ -35,6 +35,23 @@ def test_netcdf_classic():
     assert axes == ("x",) and values.tolist() == [1.5, 2.5, 3.5]
 
 
+def test_netcdf_files_as_rows(spark, tmp_path):
+    name = lambda s: struct.pack(">I", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    head = b"CDF\x01" + struct.pack(">I", 0) + struct.pack(">II", 10, 2) + name("t") + struct.pack(">I", 2) + name("x") + struct.pack(">I", 3) + struct.pack(">II", 0, 0) + struct.pack(">II", 11, 1)
+    var = name("zeta") + struct.pack(">III", 2, 0, 1) + struct.pack(">II", 0, 0) + struct.pack(">II", 6, 48)
+    (tmp_path / "a.nc").write_bytes(head + var + struct.pack(">I", len(head) + len(var) + 4) + struct.pack(">6d", 1.5, 2.5, float("nan"), 4, 5, 6))
+    rows = {tuple(r["index"]): r["value"] for r in rasters.read_netcdf(spark, str(tmp_path / "a.nc"), "zeta").collect()}
+    assert rows == {(0, 0): 1.5, (0, 1): 2.5, (0, 2): None, (1, 0): 4, (1, 1): 5, (1, 2): 6}
+
+
+def test_bounds_filter_reaches_the_scan(spark, tmp_path):
+    rows = [(k, float(k), 0.0, k + 1.0, 1.0) for k in range(9)]
+    spark.createDataFrame(rows, "id int, xmin double, ymin double, xmax double, ymax double").write.parquet(str(tmp_path / "b"))
+    df = spark.read.parquet(str(tmp_path / "b")).filter(vectors.touching(3.5, 0.5, 5.5, 9.0))
+    assert sorted(r["id"] for r in df.collect()) == [3, 4, 5]
+    assert "PushedFilters: [IsNotNull(xmin), IsNotNull(xmax)" in df._jdf.queryExecution().toString()
+
+
 def test_wkb(spark):
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
     wkb = struct.pack("<BIII", 1, 3, 1, 4) + b"".join(struct.pack("<dd", *p) for p in ring)
