@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,49 @@ def _group(by: str) -> Column:
     return F.struct(F.col(by).alias("name")).alias("g")
 
 
-def _directed(polygons: DataFrame, by: str, step: float) -> DataFrame:
-    """by, ax, ay, bx, by_ of all sides in whole steps: parts run counterclockwise, holes clockwise, so that the inside is on the left."""
-    rings = with_shape(polygons).select(_group(by), F.explode("shape").alias("r"))
+def _directed(polygons: DataFrame, by: str) -> DataFrame:
+    """g, piece, ring of all rings, piece being the polygon: parts run counterclockwise, holes clockwise, so that the inside is on the left."""
+    rings = with_shape(polygons).select(_group(by), F.monotonically_increasing_id().alias("piece"), F.explode("shape").alias("r")).repartition("g", "piece")
     wrong = (_signed(F.col("r.ring")) > 0) == F.col("r.hole")
-    rings = rings.select("g", F.when(wrong, F.reverse("r.ring")).otherwise(F.col("r.ring")).alias("ring"))
-    return _in_steps(rings, step)
+    return rings.select("g", "piece", F.when(wrong, F.reverse("r.ring")).otherwise(F.col("r.ring")).alias("ring"))
 
 
-def _in_steps(rings: DataFrame, step: float) -> DataFrame:
-    s = rings.select("g", F.explode(_edges(F.col("ring"))).alias("e"))
-    s = s.select("g", *[F.round(F.col(f"e.{c}") / step).alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), ("ax", "ay", "bx", "by"))])
-    return s.filter("ax != bx OR ay != by")
+def _neighbours(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the corners before and after each one of rings that lie one behind the other."""
+    ends, at = np.cumsum(sizes), np.arange(len(x))
+    before, after, some = at - 1, at + 1, sizes > 0
+    before[(ends - sizes)[some]], after[ends[some] - 1] = ends[some] - 1, (ends - sizes)[some]
+    return before, after
+
+
+def _on_lattice(rings: DataFrame, step: float) -> DataFrame:
+    """rings in whole steps, without repeated corners, and whether one is convex, which makes it its own union and costs it the corners
+    on straight lines."""
+    kind = dict(rings.dtypes)["g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype("int64")
+            x, y = (np.sign(v) * np.floor(abs(v) / step + 0.5) for v in (c.to_numpy(zero_copy_only=False).astype(float) for c in b.column(2).flatten().flatten()))
+            of, (before, _) = np.repeat(np.arange(len(sizes)), sizes), _neighbours(x, sizes)
+            new = (x != x[before]) | (y != y[before])
+            x, y, of = x[new], y[new], of[new]
+            sizes = np.bincount(of, minlength=len(sizes))
+            before, after = _neighbours(x, sizes)
+            dx, dy, ex, ey = x - x[before], y - y[before], x[after] - x, y[after] - y
+            turn, on = dx * ey - dy * ex, dx * ex + dy * ey
+            bad = np.bincount(of, ~((turn > 0) | ((turn == 0) & (on > 0))), len(sizes))
+            once = np.bincount(of, np.arctan2(turn, on), len(sizes)) < 2 * np.pi + 0.1
+            convex = (bad == 0) & once & (sizes > 2)
+            kept = (turn != 0) | ~convex[of]
+            x, y, sizes = x[kept], y[kept], np.bincount(of[kept], minlength=len(sizes))
+            corners = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), "int32"), corners)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(convex)], ["g", "piece", "ring", "convex"])
+
+    return rings.select("g", "piece", "ring").mapInArrow(run, f"g {kind}, piece long, ring array<struct<x:double,y:double>>, convex boolean")
 
 
 def _net(s: DataFrame) -> DataFrame:
@@ -174,13 +206,8 @@ def _straightened(ring: Column) -> Column:
     return F.transform(F.filter(ring, turns), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
 
 
-def _united(sides: DataFrame, by: str, kind: str, step: float) -> DataFrame:
-    """by and shape: the union of what sides (g, ax, ay, bx, by) wind around."""
-    s = cut(sides.withColumn("m", F.lit(1).cast("long")))
-    length = s.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
-    if length is None:
-        return s.sparkSession.createDataFrame([], f"{by} {kind}, shape array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>>>>")
-    rings = _rings(_bounding(_noded(s, max(8.0, 2 * length))))
+def _shaped(rings: DataFrame, by: str, step: float) -> DataFrame:
+    """by and shape of rings (g, id, ring) in steps."""
     scaled = F.transform("ring", lambda p: F.struct((p["x"] * step).alias("x"), (p["y"] * step).alias("y")))
     flat = rings.select("g", "id", (_signed(F.col("ring")) < 0).alias("hole"), scaled.alias("ring"))
     one = F.struct("hole", "id", F.lit(None).cast("int").alias("part"), "ring")
@@ -188,11 +215,32 @@ def _united(sides: DataFrame, by: str, kind: str, step: float) -> DataFrame:
     return shapes.select(F.col("g.name").alias(by), F.transform("s", lambda r: F.struct(r["part"].alias("part"), r["hole"].alias("hole"), r["ring"].alias("ring"))).alias("shape"))
 
 
+def _united(rings: DataFrame, by: str, step: float) -> DataFrame:
+    """by and shape: the union of what rings (g, piece, ring) wind around. A convex ring that has a group to itself is that
+    group's union; only the others are cut and followed."""
+    rings = cut(_on_lattice(rings, step))
+    alone = rings.groupBy("g").agg(F.count("*").alias("n")).filter("n = 1").select("g")
+    ready = rings.filter("convex").join(alone, "g", "left_semi")
+    done = _shaped(ready.select("g", F.lit(0).cast("long").alias("id"), "ring"), by, step)
+    sides = rings.join(ready.select("g"), "g", "left_anti").select("g", "piece", F.explode(_edges(F.col("ring"))).alias("e"))
+    s = cut(sides.select("g", "piece", *[F.col(f"e.{c}").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), ("ax", "ay", "bx", "by"))]))
+    if s.isEmpty():
+        return done
+    return done.unionByName(_shaped(_rings(_bounds_of(s)), by, step))
+
+
+def _bounds_of(s: DataFrame) -> DataFrame:
+    """The directed sides that bound each group's union."""
+    s = s.withColumn("m", F.lit(1).cast("long"))
+    length = s.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
+    return _bounding(_noded(s, max(8.0, 2 * length)))
+
+
 def dissolve(polygons: DataFrame, by: str, step: float = STEP) -> DataFrame:
     """by and shape: the union of the polygons (shape or ring) that share a value of by, null being one. Polygons may
     share sides, touch or overlap. Parts come before holes, each ring without corners on straight lines; part is null, as
     parts aren't told apart. Values of by whose polygons have no area give no rows."""
-    return _united(_directed(polygons, by, step), by, dict(polygons.dtypes)[by], step)
+    return _united(_directed(polygons, by), by, step)
 
 
 def _offset(ring: np.ndarray, radius: float, quarter: int) -> np.ndarray:
@@ -218,18 +266,16 @@ def _offset(ring: np.ndarray, radius: float, quarter: int) -> np.ndarray:
 def buffer(polygons: DataFrame, key: str, radius: float, quarter: int = QUARTER, step: float = STEP) -> DataFrame:
     """key and shape: what lies within radius, above 0, of each polygon, those that share a key being one. Arcs have quarter
     sides in a quarter circle, with their corners on the circle. Parts and holes as in dissolve()."""
-    rings = with_shape(polygons).select(_group(key), F.explode("shape").alias("r"))
-    wrong = (_signed(F.col("r.ring")) > 0) == F.col("r.hole")
-    rings = rings.filter(_signed(F.col("r.ring")) != 0).select("g", F.when(wrong, F.reverse("r.ring")).otherwise(F.col("r.ring")).alias("ring"))
+    rings = _directed(polygons, key).filter(_signed(F.col("ring")) != 0)
     kind = dict(polygons.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (c.to_numpy(zero_copy_only=False) for c in b.column(1).flatten().flatten())
-                ends = np.cumsum([0, *b.column(1).value_lengths().to_pylist()])
+                x, y = (c.to_numpy(zero_copy_only=False) for c in b.column(2).flatten().flatten())
+                ends = np.cumsum([0, *b.column(2).value_lengths().to_pylist()])
                 moved = [_offset(np.stack([x[i:j], y[i:j]], 1), radius, quarter) for i, j in zip(ends[:-1], ends[1:])]
                 sizes, flat = np.cumsum([0, *map(len, moved)]), np.concatenate(moved)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(sizes, "int32"), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"]))], ["g", "ring"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(sizes, "int32"), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"]))], ["g", "piece", "ring"])
 
-    return _united(_in_steps(rings.mapInArrow(run, f"g struct<name:{kind}>, ring array<struct<x:double,y:double>>"), step), key, kind, step)
+    return _united(rings.mapInArrow(run, f"g struct<name:{kind}>, piece long, ring array<struct<x:double,y:double>>"), key, step)
