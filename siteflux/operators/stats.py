@@ -274,6 +274,21 @@ def gev_scores(df: DataFrame, fits: DataFrame, by: list[str], value: str) -> Dat
     return known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(by_z).alias("by_location"), F.avg(1 - by_z * z).alias("by_scale"), F.avg(by_shape).alias("by_shape"))
 
 
+#: Ranks that tasks get a copy of; of more, those of groups of so many rows.
+BROADCAST, WIDE = 100_000, 1 << 20
+
+
+def _inside(known: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows between the bounds of their groups' ranks. Groups are too few to share the rows out by, so ranks go to the rows; where
+    there are too many of them, only those of large groups do."""
+    within = F.col("x").between(F.col("lo"), F.col("hi"))
+    if state.count() <= BROADCAST:
+        return known.join(F.broadcast(state), "g").filter(within)
+    wide = F.broadcast(state.filter(F.col("n") > WIDE))
+    rest = known.join(wide.select("g").distinct(), "g", "left_anti").join(state.filter(F.col("n") <= WIDE), "g")
+    return known.join(wide, "g").unionByName(rest).filter(within)
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], bins: int = 1024, small: int = 4096) -> DataFrame:
     """by, share and value: exact quantiles between the two nearest ranks, of groups of any size.
 
@@ -286,7 +301,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     place = (F.col("m") - 1) * F.col("share")
     wanted = cut(groups.select("*", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")).select("g", "m", "lo", "hi", "share", F.floor(place).alias("k"), (place - F.floor(place)).alias("part")))
     ranks = F.explode(F.array("k", F.least(F.col("k") + 1, F.col("m") - 1))).alias("rank")
-    state, done = wanted.select("g", ranks, "lo", "hi", "m", F.lit(0).cast("long").alias("before")).distinct(), None
+    state, done = wanted.select("g", ranks, "lo", "hi", "m", F.lit(0).cast("long").alias("before"), F.col("m").alias("n")).distinct(), None
     while True:
         state = cut(state)
         ready = state.filter((F.col("lo") == F.col("hi")) | (F.col("m") <= small))
@@ -294,14 +309,14 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
         state = state.filter((F.col("lo") < F.col("hi")) & (F.col("m") > small))
         if state.isEmpty():
             break
-        inside = known.join(state, "g").filter(F.col("x").between(F.col("lo"), F.col("hi")))
+        inside = _inside(known, state)
         share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        counts = inside.groupBy("g", "rank", "before", F.least(F.lit(bins - 1), F.floor(share * bins)).alias("bin")).agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        counts = inside.groupBy("g", "rank", "before", "n", F.least(F.lit(bins - 1), F.floor(share * bins)).alias("bin")).agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         below = F.coalesce(F.sum("m").over(Window.partitionBy("g", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("before", F.col("before") + below).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("m")))
-        state = counts.select("g", "rank", "lo", "hi", "m", "before")
+        state = counts.select("g", "rank", "lo", "hi", "m", "before", "n")
     equal = done.filter("lo = hi").select("g", "rank", F.col("lo").alias("v"))
-    few = known.join(done.filter("lo < hi"), "g").filter(F.col("x").between(F.col("lo"), F.col("hi")))
+    few = _inside(known, done.filter("lo < hi"))
     few = few.groupBy("g", "rank", "before").agg(F.sort_array(F.collect_list("x")).alias("s")).select("g", "rank", F.get("s", (F.col("rank") - F.col("before")).cast("int")).alias("v"))
     values = cut(equal.unionByName(few))
     low, high = (values.select("g", F.col("rank").alias(r), F.col("v").alias(v)) for r, v in (("k", "a"), ("l", "b")))
