@@ -99,7 +99,8 @@ def nearest_rows(left: DataFrame, right: DataFrame, keys: list[str], at: str, ta
     it (backward), the first at or after it (forward), or the nearer of both, the earlier if they are as near (nearest).
 
     Of right rows that share keys and place one counts, by the hash of what is taken. within: the farthest that counts, in the axis'
-    unit, seconds for times. Left rows without such a row, a place or a key have nulls."""
+    unit, seconds for times. Left rows without such a row, a place or a key have nulls. Columns are named near_ and the taken one;
+    with the direction both there are also before_ and after_, for two walks in all."""
     kinds = dict(left.dtypes)
     row = F.struct(F.col(at).alias("_place"), *[F.col(c) for c in take])
     key, tie = F.struct(*[F.col(k) for k in keys]), F.xxhash64(*[F.col(c) for c in take])
@@ -121,7 +122,7 @@ def nearest_rows(left: DataFrame, right: DataFrame, keys: list[str], at: str, ta
         return F.abs(F.timestamp_diff("MICROSECOND", b, a) / 1e6 if timed else a.cast("double") - b.cast("double"))
 
     open_ = left.filter(known)
-    if direction == "nearest":
+    if direction in ("nearest", "both"):
         #: The second walk carries what the first has found.
         first = joined(open_, False)
         again = first.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], F.col("_r").alias("_before"))
@@ -130,14 +131,16 @@ def nearest_rows(left: DataFrame, right: DataFrame, keys: list[str], at: str, ta
         theirs = theirs.withColumn("_l", F.lit(None).cast(left_type))
         both = joined(again, True)
         earlier = F.col("_r").isNull() | (F.col("_l._before").isNotNull() & (off("_l._before") <= off("_r")))
-        found = both.select("_l", F.when(earlier, F.col("_l._before")).otherwise(F.col("_r")).alias("_r"))
+        found = both.select("_l", F.when(earlier, F.col("_l._before")).otherwise(F.col("_r")).alias("_r"), F.col("_l._before").alias("_before"), F.col("_r").alias("_after"))
     elif direction in ("backward", "forward"):
         found = joined(open_, direction == "forward")
     else:
-        raise ValueError("direction is backward, forward or nearest")
+        raise ValueError("direction is backward, forward, nearest or both")
     if within is not None:
         found = found.withColumn("_r", F.when(off("_r") <= within, F.col("_r")))
-    out = found.select(*[F.col(f"_l.{c}").alias(c) for c in kinds], *[F.col(f"_r.{c}").alias(f"near_{c}") for c in take], F.col("_r._place").alias(f"near_{at}"))
+    named = {"near": "_r", **({"before": "_before", "after": "_after"} if direction == "both" else {})}
+    taken = [F.col(f"{r}.{c}").alias(f"{name}_{to}") for name, r in named.items() for c, to in (*zip(take, take), ("_place", at))]
+    out = found.select(*[F.col(f"_l.{c}").alias(c) for c in kinds], *taken)
     rest = left.filter(~F.coalesce(known, F.lit(False)))
     types = dict(out.dtypes)
     return out.unionByName(rest.select(*left.columns, *[F.lit(None).cast(types[c]).alias(c) for c in out.columns if c not in kinds]))

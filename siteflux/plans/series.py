@@ -228,8 +228,6 @@ def nearest_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type")
     p = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("bought"))
     events = e.select("event_id", "user_id", "ts")
-    out = events.select("event_id")
-    for name, direction, within in (("before", "backward", None), ("after", "forward", None), ("nearest", "nearest", None), ("within_hour", "nearest", 3600.0)):
-        found = nearest_rows(events, p, ["user_id"], "ts", ["bought"], direction, within)
-        out = out.join(found.select("event_id", F.col("near_bought").alias(name)), "event_id")
-    return out
+    found = nearest_rows(events, p, ["user_id"], "ts", ["bought"], "both")
+    close = F.abs(F.timestamp_diff("MICROSECOND", F.col("near_ts"), F.col("ts"))) <= 3_600_000_000
+    return found.select("event_id", F.col("before_bought").alias("before"), F.col("after_bought").alias("after"), F.col("near_bought").alias("nearest"), F.when(close, F.col("near_bought")).alias("within_hour"))
