@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .iterate import cut
 
+#: Rows of either side in a block of pairs, about.
+BLOCK = 2048
+
 
 @dataclass
 class PrefixMatch:
@@ -80,3 +83,21 @@ class PrefixMatch:
 def best_candidates(pairs: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row for each key, the first by order."""
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def in_blocks(left: DataFrame, right: DataFrame, by: list[str], left_id: str, right_id: str, rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """left and right with _l and _r: two rows that share by share one block (by, _l, _r), which has about so many rows of
+    either side, so that a hot value's pairs are dealt out, however few rows they come from. Rows without a partner are left out."""
+    n = left.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("_nl"))
+    n = n.join(right.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("_nr")), by)
+    out = []
+    for df, key, own, other in ((left, left_id, "l", "r"), (right, right_id, "r", "l")):
+        placed = df.join(n, by).withColumn(f"_{own}", F.pmod(F.xxhash64(key), f"_n{own}").cast("int"))
+        out.append(placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).drop("_nl", "_nr").repartition(*by, "_l", "_r"))
+    return out[0], out[1]
+
+
+def blocked_join(left: DataFrame, right: DataFrame, by: list[str], left_id: str, right_id: str, rows: int = BLOCK) -> DataFrame:
+    """The inner join of left and right by equal values, as in_blocks() deals it out."""
+    l, r = in_blocks(left, right, by, left_id, right_id, rows)  # noqa: E741
+    return l.join(r, [*by, "_l", "_r"]).drop("_l", "_r")

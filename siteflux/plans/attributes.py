@@ -82,11 +82,11 @@ def steps_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c.c_custkey AS record, s.s_suppkey AS candidate, 1.0 / count(*) OVER (PARTITION BY c.c_custkey) AS weight FROM customer c JOIN supplier s ON s.s_nationkey = c.c_nationkey""")
 def candidate_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with every candidate of its polygon, by equal weights. The candidates of a polygon are counted
-    before they meet the records, so that a hot polygon needs no window over the pairs."""
+    before they meet the records, so that a hot polygon needs no window over the pairs, and its pairs are dealt out in blocks."""
     s = table(spark, sf_dir, "supplier", F.col("s_nationkey").alias("polygon"), F.col("s_suppkey").alias("candidate"))
     n = s.groupBy("polygon").agg((1.0 / F.count("*")).alias("weight"))
     c = table(spark, sf_dir, "customer", F.col("c_nationkey").alias("polygon"), F.col("c_custkey").alias("record"))
-    return c.join(s.join(n, "polygon"), "polygon").select("record", "candidate", "weight")
+    return matching.blocked_join(c, s.join(n, "polygon"), ["polygon"], "record", "candidate").select("record", "candidate", "weight")
 
 
 @query("""SELECT j.j, i.i, -5.0 + j.j * 2.5 AS xmin, 10.0 + i.i * 2.5 AS ymin, 6.25 AS area FROM generate_series(0, 29) j(j), generate_series(0, 19) i(i)""")
