@@ -5,6 +5,9 @@ on the undirected side. The rest has a winding number on either hand: how many p
 some on one hand and none on the other bound the union; each is followed by the next one at its end, and pointer doubling
 turns them into rings.
 
+Where many polygons lie one over the other, neighbours along a curve that fills the plane are united first, so many at a time, then
+those unions, until few lie over a place: outlines that others cover are gone before they are cut by all of these.
+
 Coordinates lie on a lattice of ``step`` metres, so that crossings meet exactly; sides that come nearer to a
 corner than that are cut there, again and again until none does. A union's corners are so right to a few steps.
 """
@@ -20,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import cut
-from .spatial import _edges, _signed
+from .spatial import _edges, _signed, bounds
 from .tiling import with_shape
+from .timeseries import numbered
 
 #: Lattice in metres.
 STEP = 1e-4
@@ -29,6 +33,8 @@ STEP = 1e-4
 QUARTER = 16
 #: A side is cut at a corner that comes nearer than so many steps.
 NEAR = 0.75
+#: Polygons that are united at a time where more than that lie over a place.
+FAN = 16
 
 
 def _group(by: str) -> Column:
@@ -38,7 +44,9 @@ def _group(by: str) -> Column:
 
 def _directed(polygons: DataFrame, by: str) -> DataFrame:
     """g, piece, ring of all rings, piece being the polygon: parts run counterclockwise, holes clockwise, so that the inside is on the left."""
-    rings = with_shape(polygons).select(_group(by), F.monotonically_increasing_id().alias("piece"), F.explode("shape").alias("r")).repartition("g", "piece")
+    #: The number comes first: beside explode() in one select it would be the ring's.
+    named = with_shape(polygons).select(_group(by), F.monotonically_increasing_id().alias("piece"), "shape")
+    rings = named.select("g", "piece", F.explode("shape").alias("r")).repartition("g", "piece")
     wrong = (_signed(F.col("r.ring")) > 0) == F.col("r.hole")
     return rings.select("g", "piece", F.when(wrong, F.reverse("r.ring")).otherwise(F.col("r.ring")).alias("ring"))
 
@@ -222,13 +230,46 @@ def _united(rings: DataFrame, by: str, step: float) -> DataFrame:
     alone = rings.groupBy("g").agg(F.count("*").alias("n")).filter("n = 1").select("g")
     ready = rings.filter("convex").join(alone, "g", "left_semi")
     done = _shaped(ready.select("g", F.lit(0).cast("long").alias("id"), "ring"), by, step)
-    sides = rings.join(ready.select("g"), "g", "left_anti").select("g", "piece", F.explode(_edges(F.col("ring"))).alias("e"))
+    rest = rings.join(ready.select("g"), "g", "left_anti")
+    sides = rest.select("g", "piece", F.explode(_edges(F.col("ring"))).alias("e"))
     s = cut(sides.select("g", "piece", *[F.col(f"e.{c}").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), ("ax", "ay", "bx", "by"))]))
     if s.isEmpty():
         return done
+    depth = _depth(rest)
+    if depth > FAN:
+        s = s.join(_along_curve(rest), "piece")
+    while depth > FAN:
+        batch = s.select(F.struct("g", F.floor(F.col("n") / FAN).alias("n")).alias("g"), "ax", "ay", "bx", "by")
+        s, depth = cut(_bounds_of(batch)).select("g.g", "g.n", "ax", "ay", "bx", "by"), depth / FAN
     return done.unionByName(_shaped(_rings(_bounds_of(s)), by, step))
 
 
+def _depth(rings: DataFrame) -> float:
+    """How many rings lie over a place of their group's bounds, by their bounds' areas; the largest of all groups."""
+    box = rings.select("g", *bounds(F.col("ring")))
+    covered = F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+    whole = (F.max("xmax") - F.min("xmin")) * (F.max("ymax") - F.min("ymin"))
+    of = box.groupBy("g").agg(F.try_divide(covered, whole).alias("d"))
+    return of.agg(F.max("d")).first()[0] or 0.0
+
+
+def _along_curve(rings: DataFrame) -> DataFrame:
+    """piece and n: numbers of the pieces along a Z-order curve over their lower left corners, group by group."""
+    d = rings.select("g", "piece", *bounds(F.col("ring"))).groupBy("g", "piece").agg(F.min("xmin").alias("x"), F.min("ymin").alias("y"))
+    x0, y0, x1, y1 = d.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    scale = max(x1 - x0, y1 - y0, 1.0) / ((1 << 31) - 1)
+
+    def spread(v: Column) -> Column:
+        """Bits of a number with a free one between each two."""
+        for k, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, k)).bitwiseAND(F.lit(mask))
+        return v
+
+    x, y = (spread(F.floor((F.col(c) - low) / scale).cast("long")) for c, low in (("x", x0), ("y", y0)))
+    placed = d.select(F.xxhash64("g").alias("h"), x.bitwiseOR(F.shiftleft(y, 1)).alias("z"), "piece")
+    return numbered(placed, ["h", "z"], "n").select("piece", "n")
+
+
 def _bounds_of(s: DataFrame) -> DataFrame:
     """The directed sides that bound each group's union."""
     s = s.withColumn("m", F.lit(1).cast("long"))
