@@ -26,6 +26,8 @@ from .parallel import side_by_side
 
 #: Trees between two checkpoints of the predictions.
 KEEP = 16
+#: Rows of a block.
+PACK = 1 << 18
 LEAST_WEIGHT = 1e-3
 
 
@@ -112,23 +114,80 @@ def _mixed(ids: np.ndarray, seed: int) -> np.ndarray:
     return (h >> np.uint64(11)) / float(1 << 53)
 
 
+def _of(b: pa.RecordBatch, name: str, k: int, kind: str) -> np.ndarray:
+    """The array that a binary value holds."""
+    return np.frombuffer(b.column(name)[k].as_buffer(), kind)
+
+
+def packed(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """Rows (id, bins, y, w, fold) as blocks of arrays, about PACK rows each: the distinct bins are cells, and each row has the
+    number of its own, so that trees are worked out once a cell."""
+    names, kinds = ["id", "y", "w", "fold"], ["int64", "float64", "float64", "int32"]
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        bins = t["bins"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(widths))
+        if math.prod(widths) < 1 << 62:
+            key = np.zeros(len(bins), "int64")
+            for f, n in enumerate(widths):
+                key = key * n + bins[:, f]
+            _, first, at = np.unique(key, return_index=True, return_inverse=True)
+            cells = bins[first]
+        else:
+            cells, at = np.unique(bins, axis=0, return_inverse=True)
+        held = [t[n].to_numpy().astype(k) for n, k in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], "binary") for v in (cells.astype("int32"), at.ravel().astype("int32"), *held)], ["cells", "at", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for b in batches:
+            parts.append(b)
+            if sum(p.num_rows for p in parts) >= PACK:
+                yield block(parts)
+                parts = []
+        if sum(p.num_rows for p in parts):
+            yield block(parts)
+
+    return rows.select("bins", *names).mapInArrow(run, ", ".join(f"{n} binary" for n in ("cells", "at", *names)))
+
+
+def fold_sums(blocks: DataFrame) -> dict[int, tuple[float, float]]:
+    """Sums of weighted outcomes and of weights by fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                w, (folds, at) = _of(b, "w", k, "float64"), np.unique(_of(b, "fold", k, "int32"), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(folds), pa.array(np.bincount(at, w * _of(b, "y", k, "float64"))), pa.array(np.bincount(at, w))], ["fold", "wy", "w"])
+
+    sums = blocks.mapInArrow(run, "fold int, wy double, w double").groupBy("fold").agg(F.sum("wy"), F.sum("w"))
+    return {r[0]: (r[1], r[2]) for r in sums.collect()}  # one row a fold
+
+
 class Booster:
-    """Trees over binned rows (id, bins, y, w, held); rows that are held out are only scored."""
+    """Trees over blocks of binned rows; rows that are held out are only scored."""
 
     def __init__(self, categorical: list[bool], widths: list[int], settings: Settings, seed: int):
         self.categorical, self.widths, self.settings, self.seed = categorical, widths, settings, seed
         self.trees: list[Tree] = []
         self.start = 0.0
         self.errors: list[float] = []
+        self.hold: int | None = None
 
     def fit(self, rows: DataFrame, rounds: int, stop: Callable[[list[float]], bool] = lambda errors: False) -> Booster:
-        """errors[t] is the held-out mean square error after t + 1 trees; stop(errors) ends the growth."""
-        first = rows.filter("NOT held").agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w"))).first()[0]
-        self.start = float(first or 0.0)
-        state, since = rows.withColumn("pred", F.lit(self.start)), 0
+        """grown() over rows (id, bins, y, w, held)."""
+        blocks = cut(packed(rows.withColumn("fold", F.col("held").cast("int")), self.widths))
+        wy, w = fold_sums(blocks).get(0, (0.0, 0.0))
+        return self.grown(blocks, rounds, wy / w if w else 0.0, 1, stop)
+
+    def grown(self, blocks: DataFrame, rounds: int, start: float, hold: int | None = None, stop: Callable[[list[float]], bool] = lambda errors: False) -> Booster:
+        """blocks as of packed(). The rows of fold hold are only scored. errors[t] is their mean square error after t + 1 trees;
+        stop(errors) ends the growth."""
+        self.start, self.hold = start, hold
+        state, since = blocks.withColumn("pred", F.lit(None).cast("binary")), 0
         for t in range(rounds):
             if t - since == KEEP:
-                state, since = cut(self._predicted(state, self.trees[since:])), t
+                state, since = cut(self._kept(state, self.trees[since:])), t
             tree, error = self._grown(state, self.trees[since:], t)
             if t and error is not None:
                 self.errors.append(error)
@@ -140,6 +199,19 @@ class Booster:
         self.errors.append(self._histogram(state, self.trees[since:], Tree(), 0, [], rounds)[1])
         return self
 
+    def _cells(self, b: pa.RecordBatch, k: int, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and predictions of the cells of a batch's block k."""
+        cells, known = _of(b, "cells", k, "int32").reshape(-1, len(self.widths)), b.column("pred")[k].is_valid
+        return cells, (_of(b, "pred", k, "float64") if known else self.start) + sum((t.predict(cells) for t in trees), np.zeros(len(cells)))
+
+    def _kept(self, state: DataFrame, trees: list[Tree]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pred = pa.array([self._cells(b, k, trees)[1].tobytes() for k in range(b.num_rows)], "binary")
+                yield pa.RecordBatch.from_arrays([pred if n == "pred" else b.column(n) for n in b.schema.names], b.schema.names)
+
+        return state.mapInArrow(run, state.schema)
+
     def _predicted(self, state: DataFrame, trees: list[Tree]) -> DataFrame:
         width = len(self.widths)
 
@@ -153,25 +225,32 @@ class Booster:
 
     def _histogram(self, state: DataFrame, trees: list[Tree], tree: Tree, leaf: int, columns: list[int], t: int) -> tuple[dict[int, np.ndarray], float | None]:
         """The histograms of a leaf's bagged rows, and the held-out error before this tree."""
-        width, widths, share, seed = len(self.widths), self.widths, self.settings.rows, self.seed * 1_000_003 + t
+        widths, share, seed = self.widths, self.settings.rows, self.seed * 1_000_003 + t
+
+        hold = self.hold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = {f: np.zeros((widths[f], 3)) for f in columns}
             error = np.zeros(3)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                bins = b.column("bins").flatten().to_numpy().reshape(-1, width)
-                y, w, pred = (b.column(n).to_numpy() for n in ("y", "w", "pred"))
-                held = b.column("held").to_numpy(zero_copy_only=False)
-                off = pred + sum(x.predict(bins) for x in trees) - y
-                error += (float((w * off * off)[held].sum()), float(w[held].sum()), int(held.sum()))
-                on = np.flatnonzero(~held & (_mixed(b.column("id").to_numpy(), seed) < share))
-                on = on[tree.leaf_of(bins[on]) == leaf]
-                g, h = (off * w)[on], w[on]
-                for f in columns:
-                    at = bins[on, f]
-                    found[f] += np.stack([np.bincount(at, v, widths[f]) for v in (g, h, np.ones(len(on)))], 1)
+                for k in range(b.num_rows):
+                    cells, pred = self._cells(b, k, trees)
+                    at, fold = _of(b, "at", k, "int32"), _of(b, "fold", k, "int32")
+                    y, w, id_ = _of(b, "y", k, "float64"), _of(b, "w", k, "float64"), _of(b, "id", k, "int64")
+                    held = np.flatnonzero(fold == hold) if hold is not None else at[:0]
+                    if len(held) and len(tree.feature) == 1:
+                        off = pred[at[held]] - y[held]
+                        error += (float((w[held] * off * off).sum()), float(w[held].sum()), len(held))
+                    if not columns:
+                        continue
+                    on = _mixed(id_, seed) < share
+                    if len(tree.feature) > 1:
+                        on &= (tree.leaf_of(cells) == leaf)[at]
+                    on[held] = False
+                    at, w = at[on], w[on]
+                    g, h, n = (np.bincount(at, v, len(cells)) for v in ((pred[at] - y[on]) * w, w, None))
+                    for f in columns:
+                        found[f] += np.stack([np.bincount(cells[:, f], v, widths[f]) for v in (g, h, n)], 1)
             rows = [(f, k, *v) for f, hist in found.items() for k, v in enumerate(hist) if v[2]] + [(-1, 0, *error)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["f", "bin", "g", "h", "n"])
 
@@ -301,17 +380,22 @@ class LeafwiseBoosting:
         w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
         keep = [F.col(self.outcome).cast("double").alias("y"), w.alias("w"), fold_of(self.block, self.folds, self.seed).alias("fold")]
         rows = self._binned(data, keep).filter("w > 0 AND y IS NOT NULL AND NOT isnan(y)")
-        rows = cut(rows.withColumn("id", F.monotonically_increasing_id()))
-        folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
+        blocks = cut(packed(rows.withColumn("id", F.monotonically_increasing_id()), self._widths()))
+        sums = fold_sums(blocks)
+        folds = sorted(sums)
+
+        def start(hold: int | None) -> float:
+            wy, w = (math.fsum(s[k] for f, s in sums.items() if f != hold) for k in (0, 1))
+            return wy / w if w else 0.0
 
         def one(k: int) -> tuple[int, Booster]:
-            booster = self._booster().fit(rows.withColumn("held", F.col("fold") == k), self.rounds, self._stop)
+            booster = self._booster().grown(blocks, self.rounds, start(k), k, self._stop)
             return self._best_round(booster.errors), booster
 
         found = side_by_side([lambda k=k: one(k) for k in folds], self.threads) if len(folds) > 1 else []
         self.best = [r for r, _ in found]
         rounds = max(1, sum(self.best) // len(self.best)) if self.best else self.rounds
-        self.model = self._booster().fit(rows.withColumn("held", F.lit(False)), rounds)
+        self.model = self._booster().grown(blocks, rounds, start(None))
         if self.keep_held_out:
             self.held_out = None
             for k, (n, booster) in zip(folds, found):
